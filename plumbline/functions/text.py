@@ -155,9 +155,9 @@ def body_of(c: Column) -> Column:
     ).otherwise(c)
 
 
-def sections(c: Column, heading_re: str = r"##\s+") -> Column:
+def sections(c: Column, heading_re: str = r"##[ \t]+") -> Column:
     """``array<struct<heading, body>>``: text cut before each heading line, preamble first."""
-    chunks = F.split(c, f"(?m)(?=^{heading_re})")
+    chunks = F.split(c, f"(?md)(?=^{heading_re})")
     return F.transform(
         F.filter(chunks, lambda s: F.length(s) > 0),
         lambda s: F.when(
