@@ -175,20 +175,26 @@ def resolution_check(claims: DataFrame, reach: DataFrame | None) -> DataFrame:
     )
 
 
-def key_coverage(keys: DataFrame, tables: DataFrame, presence: DataFrame, key: str = "key", table: str = "tbl") -> DataFrame:
+def key_coverage(
+    keys: DataFrame, tables: DataFrame, presence: DataFrame, key: str = "key", table: str = "tbl", max_tables: int = 1000
+) -> DataFrame:
     """``key, tbl, problem``: keys a table lacks, and table keys that are no longer in the key set.
 
-    The number of tables a key misses follows from counts: only keys present in
-    fewer tables than exist are expanded against the (small, checked) table list.
+    The table list is small by nature; its size is checked. Only keys present
+    in fewer tables than there are get compared with that list, as one array
+    inside the row.
     """
+    names = [r[0] for r in tables.select(table).distinct().limit(max_tables + 1).collect()]
+    if len(names) > max_tables:
+        raise ValueError(f"more than {max_tables} tables")
     wanted = keys.select(key).distinct()
     have = presence.select(key, table).distinct()
-    n_tables = tables.select(table).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = have.join(tables.select(table).distinct(), table, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    short = wanted.join(counts, key, "left").where(F.coalesce("_n", F.lit(0)) < n_tables).select(key)
-    names = tables.select(table).distinct().agg(F.collect_set(table).alias("names"))
+    counts = have.where(F.col(table).isin(names)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    short = wanted.join(counts, key, "left").where(F.coalesce("_n", F.lit(0)) < len(names)).select(key)
     missing = (
-        short.select(key, F.explode(names.scalar()).alias(table)).join(have, [key, table], "left_anti").withColumn("problem", F.lit("missing"))
+        short.select(key, F.explode(F.array(*[F.lit(n) for n in sorted(names)])).alias(table))
+        .join(have, [key, table], "left_anti")
+        .withColumn("problem", F.lit("missing"))
     )
     orphaned = have.join(wanted, key, "left_anti").withColumn("problem", F.lit("orphaned"))
     return missing.select(key, table, "problem").unionByName(orphaned.select(key, table, "problem"))

@@ -22,9 +22,9 @@ HUB_MIN_CONSUMERS = 3
 
 # Literal sink classes and risk keywords.
 SINK_RULES = [
-    ("command-exec", r"\bexec(?:Sync)?\(|\bspawn\([^)]*shell:|subprocess\.run\(|Popen\([^)]*shell=True|os\.system\(|Runtime\.exec"),
-    ("path-traversal", r"(?:readFile|writeFile|createReadStream|sendFile|\bopen)\([^)]*(?:\+|\$\{)|path\.join\([^)]*(?:req|user|param)"),
-    ("ssrf", r"(?:\bfetch\(|axios|https?\.get\(|\brequest\(|urllib|HttpClient)\s*(?![\s(]*['\"])"),
+    ("command-exec", r"(?<![A-Za-z0-9_])exec(?:Sync)?\(|(?<![A-Za-z0-9_])spawn\([^)]*shell:|subprocess\.run\(|Popen\([^)]*shell=True|os\.system\(|Runtime\.exec"),
+    ("path-traversal", r"(?:readFile|writeFile|createReadStream|sendFile|(?<![A-Za-z0-9_])open)\([^)]*(?:\+|\$\{)|path\.join\([^)]*(?:req|user|param)"),
+    ("ssrf", r"(?:(?<![A-Za-z0-9_])fetch\(|axios|https?\.get\(|(?<![A-Za-z0-9_])request\(|urllib|HttpClient)\s*(?![\s(]*['\"])"),
     ("secrets-in-diff", r"(?i)[A-Z_]*(?:KEY|SECRET|TOKEN|PASSWORD|PASSWD)[A-Z_]*\s*[:=]\s*['\"][^'\"]{12,}['\"]|-----BEGIN [A-Z ]*PRIVATE KEY-----|://[^\s:/@]+:[^\s/@]+@"),
 ]
 RISK_KEYWORD_RE = r"TODO|FIXME|HACK|XXX|debugger|console\.(?:log|error|warn)"

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from plumbline.functions import text as tx
 from plumbline.functions.hashing import line_hash
@@ -154,7 +155,7 @@ def _run_length(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _common_run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series(
