@@ -2,9 +2,18 @@
 
 from plumbline.catalog import (  # noqa: F401
     changelog,
+    compare,
+    conformance,
+    findings,
+    grading,
+    graph,
     profile,
+    references,
     similarity,
+    sources,
+    streaming,
     text,
+    verdicts,
     windows,
 )
 from plumbline.catalog.base import REGISTRY  # noqa: F401

@@ -280,10 +280,10 @@ def theater_matrix(spark, d):
 
 
 @query(
-    "lines_per_doc",
+    "load_table",
     f"SELECT lang, CAST(sum(len({sql_lines('text')})) AS BIGINT) AS n_lines, count(*) AS n_docs FROM documents GROUP BY lang",
 )
-def lines_per_doc(spark, d):
+def load_table_scan(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(
         F.sum(F.size(tx.lines(F.col("text")))).alias("n_lines"), F.count(F.lit(1)).alias("n_docs")
     )

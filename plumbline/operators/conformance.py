@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.operators.references import longest_prefix_map
+from plumbline.plans.lineage import materialize
 
 
 def element_prefixes(elements: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def map_edges(edges: DataFrame, prefixes: DataFrame) -> DataFrame:
     Nodes are mapped once each, not once per edge.
     """
     nodes = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
-    owned = longest_prefix_map(nodes, prefixes).select("path", "owner")
+    # Both ends look up the same table; it is worked out once.
+    owned = materialize(longest_prefix_map(nodes, prefixes).select("path", "owner"), "owners")
     return (
         edges.select("src", "dst")
         .join(owned.select(F.col("path").alias("src"), F.col("owner").alias("a")), "src", "left")
@@ -92,6 +94,7 @@ def conformance_summary(edges: DataFrame, elements: DataFrame, relations: DataFr
     """``undocumented, aspirational, unmapped, status`` in one row; no edges or elements degrades the check."""
     prefixes = element_prefixes(elements)
     mapped = map_edges(edges, prefixes)
+    mapped = materialize(mapped, "mapped")
     credits = credited(owner_pairs(mapped), relations)
     n = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = edges.agg(F.count(F.lit(1)).alias("edges"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import paths
 from plumbline.functions import text as tx
 from plumbline.operators.changelog import GROUP_MIN_SUPPORT
-from plumbline.plans.lineage import materialize
+from plumbline.plans.lineage import Accumulator, materialize
 
 # Defaults of the graph lenses.
 SDP_MIN_DELTA = 0.25
@@ -251,16 +251,22 @@ def sdp_violations(edges: DataFrame, min_delta: float = SDP_MIN_DELTA, target: s
     return out
 
 
+# Steps taken per stored round where a step is a cheap, idempotent narrowing or spreading.
+STEPS_PER_ROUND = 4
+
+
 def trim_acyclic(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Drop edges that lie on no cycle because an end has no way in or out, repeatedly."""
     state = materialize(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "trim")
     count = state.count()
     for _ in range(max_rounds):
-        sources = state.select(F.col("src").alias("dst")).distinct()
-        sinks = state.select(F.col("dst").alias("src")).distinct()
-        state = materialize(state.join(sources, "dst", "left_semi").join(sinks, "src", "left_semi").select("src", "dst"), "trim")
+        for _ in range(STEPS_PER_ROUND):
+            sources = state.select(F.col("src").alias("dst")).distinct()
+            sinks = state.select(F.col("dst").alias("src")).distinct()
+            state = state.join(sources, "dst", "left_semi").join(sinks, "src", "left_semi").select("src", "dst")
+        state = materialize(state, "trim")
         now = state.count()
-        if now == count:
+        if now in (count, 0):
             return state
         count = now
     raise NotConverged(f"trimming after {max_rounds} rounds")
@@ -272,8 +278,10 @@ def _spread_max(edges: DataFrame, max_rounds: int) -> DataFrame:
     state = materialize(nodes.withColumn("color", F.col("node")), "color")
     seen = _checksum(state, "node", "color")
     for _ in range(max_rounds):
-        arriving = edges.join(state, edges["src"] == state["node"]).select(F.col("dst").alias("node"), "color")
-        state = materialize(state.unionByName(arriving).groupBy("node").agg(F.max("color").alias("color")), "color")
+        for _ in range(STEPS_PER_ROUND):
+            arriving = edges.join(state.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "color")
+            state = state.unionByName(arriving).groupBy("node").agg(F.max("color").alias("color"))
+        state = materialize(state, "color")
         now = _checksum(state, "node", "color")
         if now == seen:
             return state
@@ -290,19 +298,18 @@ def _collect_back(edges: DataFrame, colors: DataFrame, max_rounds: int) -> DataF
         .select("src", "dst", "color")
     )
     inner = materialize(inner, "inner")
-    found = materialize(colors.where(F.col("node") == F.col("color")), "found")
-    frontier = found
+    found = Accumulator(colors.where(F.col("node") == F.col("color")).select("node", "color"), "found")
+    frontier = found.all()
     for _ in range(max_rounds):
         step = (
             inner.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi")
             .select(F.col("src").alias("node"), "color")
             .distinct()
-            .join(found, ["node", "color"], "left_anti")
+            .join(found.all(), ["node", "color"], "left_anti")
         )
-        frontier = materialize(step, "frontier")
+        frontier = found.add(step)
         if frontier.isEmpty():
-            return found
-        found = materialize(found.unionByName(frontier), "found")
+            return found.all()
     raise NotConverged(f"backward search after {max_rounds} rounds")
 
 
@@ -314,12 +321,15 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     leave the graph and the rest is trimmed and coloured again.
     """
     rest = trim_acyclic(edges, max_rounds)
-    done: DataFrame | None = None
+    done: Accumulator | None = None
     for _ in range(max_rounds):
         if rest.isEmpty():
             break
         found = _collect_back(rest, _spread_max(rest, max_rounds), max_rounds)
-        done = found if done is None else materialize(done.unionByName(found), "scc")
+        if done is None:
+            done = Accumulator(found, "scc")
+        else:
+            done.add(found)
         left = rest.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(
             found.select(F.col("node").alias("dst")), "dst", "left_anti"
         )
@@ -331,8 +341,9 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         return edges.sparkSession.createDataFrame([], "node string, scc string").select(
             F.col("node").cast(kind).alias("node"), F.col("scc").cast(kind).alias("scc")
         )
-    sizes = done.groupBy("color").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return done.join(sizes, "color", "left_semi").select("node", F.col("color").alias("scc"))
+    members = done.all()
+    sizes = members.groupBy("color").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return members.join(sizes, "color", "left_semi").select("node", F.col("color").alias("scc"))
 
 
 def cycles(edges: DataFrame, target: str | None = None, max_rounds: int = 10_000) -> DataFrame:
@@ -354,28 +365,36 @@ def cycles(edges: DataFrame, target: str | None = None, max_rounds: int = 10_000
     )
     starts = sizes.select("scc", "start")
     frontier = materialize(starts.select("scc", F.col("start").alias("node"), F.array("start").alias("path")), "walk")
-    visited = frontier.select("scc", "node")
-    closed: DataFrame | None = None
+    visited = Accumulator(frontier.select("scc", "node"), "visited")
+    closed: Accumulator | None = None
     for _ in range(max_rounds):
         if frontier.isEmpty():
             break
         step = (
-            frontier.join(inner, (frontier["scc"] == inner["scc"]) & (frontier["node"] == inner["src"]))
-            .select(inner["scc"], F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            frontier.withColumnRenamed("node", "src")
+            .join(inner, ["scc", "src"])
+            .select("scc", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
             .groupBy("scc", "node")
             .agg(F.min("path").alias("path"))
         )
         step = materialize(step.join(starts, "scc"), "walk")
         back = step.where(F.col("node") == F.col("start")).select("scc", "path")
-        closed = materialize(back if closed is None else closed.unionByName(back), "closed")
-        open_sets = step.join(closed.select("scc"), "scc", "left_anti").select("scc", "node", "path")
-        frontier = materialize(open_sets.join(visited, ["scc", "node"], "left_anti"), "walk")
-        visited = materialize(visited.unionByName(frontier.select("scc", "node")), "visited")
+        if closed is None:
+            closed = Accumulator(back, "closed")
+        else:
+            closed.add(back)
+        frontier = materialize(
+            step.join(closed.all().select("scc"), "scc", "left_anti")
+            .select("scc", "node", "path")
+            .join(visited.all(), ["scc", "node"], "left_anti"),
+            "walk",
+        )
+        visited.add(frontier.select("scc", "node"))
     else:
         raise NotConverged(f"cycle walk after {max_rounds} rounds")
     if closed is None:
         return sizes.select("scc", "size", F.lit(0).alias("length"), F.lit("").alias("path"))
-    out = closed.join(sizes, "scc").select(
+    out = closed.all().join(sizes, "scc").select(
         "scc", "size", (F.size("path") - 1).alias("length"), F.array_join(F.transform("path", lambda n: n.cast("string")), " -> ").alias("path")
     )
     if target is not None:
@@ -408,20 +427,19 @@ def ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 100_000) ->
     Frontier search for all tips at once: each round joins only the newest
     nodes with the edges and drops what a tip has already seen.
     """
-    e = parents.select(F.col("child"), F.col("parent")).distinct()
-    seen = materialize(tips.select(F.col("tip"), F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
-    frontier = seen
+    e = parents.select(F.col("child").alias("node"), F.col("parent")).distinct()
+    seen = Accumulator(tips.select(F.col("tip"), F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
+    frontier = seen.all()
     for depth in range(1, max_rounds + 1):
         step = (
-            frontier.join(e, frontier["node"] == e["child"])
+            frontier.join(e, "node")
             .select("tip", F.col("parent").alias("node"), F.lit(depth).alias("depth"))
             .distinct()
-            .join(seen.select("tip", "node"), ["tip", "node"], "left_anti")
+            .join(seen.all().select("tip", "node"), ["tip", "node"], "left_anti")
         )
-        frontier = materialize(step.select("tip", "node", "depth"), "frontier")
+        frontier = seen.add(step)
         if frontier.isEmpty():
-            return seen
-        seen = materialize(seen.unionByName(frontier), "seen")
+            return seen.all()
     raise NotConverged(f"reachability after {max_rounds} rounds")
 
 
@@ -476,15 +494,17 @@ def topo_levels(deps: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     edges = materialize(deps.select("node", "needs").distinct(), "deps")
     nodes = edges.select("node").unionByName(edges.select(F.col("needs").alias("node"))).distinct()
     waiting = edges
-    placed: DataFrame | None = None
+    placed: Accumulator | None = None
     remaining = materialize(nodes, "nodes")
     for level in range(max_rounds):
-        free = remaining.join(waiting.select("node").distinct(), "node", "left_anti")
-        free = materialize(free.withColumn("level", F.lit(level)), "free")
+        free = remaining.join(waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level))
+        if placed is None:
+            placed = Accumulator(free, "placed")
+            free = placed.all()
+        else:
+            free = placed.add(free)
         if free.isEmpty():
-            cyclic = remaining.withColumn("level", F.lit(None).cast("int"))
-            return cyclic if placed is None else placed.unionByName(cyclic)
-        placed = free if placed is None else materialize(placed.unionByName(free), "placed")
+            return placed.all().unionByName(remaining.withColumn("level", F.lit(None).cast("int")))
         gone = free.select("node")
         remaining = materialize(remaining.join(gone, "node", "left_anti"), "nodes")
         waiting = materialize(waiting.join(gone.withColumnRenamed("node", "needs"), "needs", "left_anti"), "deps")

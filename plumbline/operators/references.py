@@ -270,7 +270,7 @@ def import_bindings(docs: DataFrame, doc: str = "path", text: str = "text") -> D
     clauses = matches(ESM_RE).unionByName(matches(REQUIRE_RE)).where(~F.col("clause").rlike(r"^type(\s|$)"))
     clause = F.regexp_replace("clause", r"(?<![\w])type\s+", "")
     braces = F.regexp_extract(clause, r"\{([^}]*)\}", 1)
-    parts = F.filter(F.transform(F.split(braces, ","), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(braces, ","), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     named = F.transform(
         parts,
         lambda p: F.when(p.rlike(r"(?<![\w])as\s+"), F.regexp_extract(p, r"(?<![\w])as\s+([A-Za-z_$][\w$]*)", 1)).otherwise(

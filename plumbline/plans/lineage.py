@@ -41,3 +41,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Accumulator:
+    """Rows gathered over the rounds of a loop.
+
+    Each round's rows are written once, next to the earlier ones, instead of
+    rewriting everything found so far; small pieces are merged now and then so
+    that the number of files read stays bounded.
+    """
+
+    MAX_PIECES = 24
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self._spark = first.sparkSession
+        self._schema = first.schema
+        self._name = name
+        self._paths: list[str] = []
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Store a round's rows and return just them."""
+        path = scratch_path(self._spark, self._name)
+        rows.select(*self._schema.fieldNames()).write.mode("errorifexists").parquet(path)
+        if len(self._paths) >= self.MAX_PIECES:
+            merged = scratch_path(self._spark, self._name)
+            self.all().write.mode("errorifexists").parquet(merged)
+            self._paths = [merged]
+        self._paths.append(path)
+        return self._spark.read.schema(self._schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(*self._paths)

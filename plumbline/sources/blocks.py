@@ -85,5 +85,6 @@ def write_blocks(
     body = shared_budget(rows, labels, used=len("\n".join(headers)) + 1, max_rows=max_rows, max_bytes=max_bytes)
     head = "\n".join(headers)
     text = F.array_join("texts", "")
-    out = body.select((F.concat(F.lit(head + "\n"), text) if headers else text).alias("value"))
-    out.coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    whole = F.concat(F.lit(head + "\n"), text) if headers else text
+    # One row of at most ``max_bytes``; the writer adds the final line break itself.
+    body.select(F.regexp_replace(whole, r"\n\z", "").alias("value")).write.mode("overwrite").text(path)

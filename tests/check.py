@@ -20,20 +20,24 @@ def main() -> int:
     spark = local_session(8)
     con = connect(folder)
     bad = 0
+    built = 0.0
     for n in names:
         q = REGISTRY[n]
         t = time.time()
+        timing: dict[str, float] = {}
         try:
             df = q.run(spark, folder)
+            built = time.time() - t
             if q.sql is None:
                 rows = df.count()
                 problems = [] if rows else ["no rows"]
             else:
-                problems = compare(df, con, q.sql)
+                problems = compare(df, con, q.sql, timing)
         except Exception as e:  # noqa: BLE001
             problems = [f"{type(e).__name__}: {str(e)[:1500]}"]
         bad += bool(problems)
-        print(f"{'BAD' if problems else 'ok '} {n} {time.time() - t:.2f}s {problems or ''}", flush=True)
+        spent = built + timing.get("spark", 0.0)
+        print(f"{'BAD' if problems else 'ok '} {n} spark {spent:.2f}s sql {timing.get('sql', 0):.2f}s {problems or ''}", flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
     return 1 if bad else 0
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from typing import Any
 
 import duckdb
@@ -35,7 +36,7 @@ KINDS = {
 }
 
 
-def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
+def compare(df, con: duckdb.DuckDBPyConnection, sql: str, timing: dict[str, float] | None = None) -> list[str]:
     """Problems found; empty when names, types and values agree."""
     cols = sorted(df.columns)
     rel = con.sql(sql)
@@ -48,9 +49,15 @@ def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
         want = KINDS.get(f.dataType.simpleString(), f.dataType.simpleString())
         if kinds[f.name] != want:
             problems.append(f"type of {f.name}: {want} != {kinds[f.name]}")
-    mine = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    start = time.time()
+    collected = df.collect()
+    between = time.time()
+    fetched = rel.fetchall()
+    if timing is not None:
+        timing.update(spark=between - start, sql=time.time() - between)
+    mine = sorted((tuple(norm(r[c]) for c in cols) for r in collected), key=repr)
     order = [rel.columns.index(c) for c in cols]
-    theirs = sorted((tuple(norm(r[i]) for i in order) for r in rel.fetchall()), key=repr)
+    theirs = sorted((tuple(norm(r[i]) for i in order) for r in fetched), key=repr)
     if len(mine) != len(theirs):
         problems.append(f"rows {len(mine)} != {len(theirs)}")
     if mine != theirs:
