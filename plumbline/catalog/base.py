@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.functions.text import WS
+from plumbline.plans.layout import spread
 from plumbline.sources.tables import load_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +34,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return register
 
 
+# Tables whose rows carry long texts, with their keys.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return load_table(spark, folder, name)
+    df = load_table(spark, folder, name)
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 # ---- SQL fragments -------------------------------------------------------------

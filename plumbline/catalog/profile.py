@@ -50,15 +50,20 @@ def marker_density(spark, d):
 
 @query(
     "write_ownership",
-    """SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS writers,
-       array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS writer_list, count(DISTINCT l_suppkey) >= 2 AS scattered
-       FROM lineitem GROUP BY l_partkey""",
+    "SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS writers, count(DISTINCT l_suppkey) >= 2 AS scattered FROM lineitem GROUP BY l_partkey",
 )
 def write_ownership(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("writer"))
-    return profile.write_ownership(li, "part", "writer").withColumn(
-        "writer_list", F.array_join(F.transform("writer_list", lambda x: x.cast("string")), ",")
-    )
+    return profile.write_ownership(li, "part", "writer")
+
+
+@query(
+    "ownership_members",
+    """SELECT DISTINCT l_partkey AS part, l_suppkey AS writer FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 25)""",
+)
+def ownership_members(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("writer"))
+    return profile.ownership_members(li, "part", "writer", min_writers=25)
 
 
 @query(
@@ -99,7 +104,7 @@ def write_sites(spark, d):
         F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey")
     )
     code = lines.groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, piece.alias("p")))), lambda s: s["p"]), " ").alias("text")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, piece.alias("p")))), lambda s: s["p"]), " ").alias("text")
     )
     # Repeated constants of one text carry the same value; the sites are distinct per text.
     return profile.write_sites(code).groupBy("site").agg(F.count(F.lit(1)).alias("writers"))

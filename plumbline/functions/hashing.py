@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import WS, rtrim_ws, trim_ws
+from plumbline.functions.text import ODD_RUN, rtrim_ws, trim_ws
 
 # Fixed value: stands in for an absent symbol.
 NO_SYMBOL = "<no-symbol>"
@@ -47,10 +47,10 @@ def body_hash(c: Column) -> Column:
 def fingerprint_norm(line: Column) -> Column:
     """Structural skeleton of a quoted line: comments and layout removed."""
     s = F.regexp_replace(trim_ws(line), r"(?<!:)//[^\n]*\z", "")
-    s = F.regexp_replace(s, f"{WS}+", " ")
-    s = F.regexp_replace(s, r" *([()\[\]{},;:=]) *", "$1")
+    s = F.regexp_replace(s, ODD_RUN, " ")
+    s = F.regexp_replace(s, r" +([()\[\]{},;:=]) *|([()\[\]{},;:=]) +", "$1$2")
     s = F.regexp_replace(s, r"([,;:])", "$1 ")
-    return F.trim(F.regexp_replace(s, r" +", " "))
+    return F.trim(F.regexp_replace(s, r"  +", " "))
 
 
 def fingerprint_lines(quoted: Column) -> Column:

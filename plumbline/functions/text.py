@@ -6,11 +6,22 @@ ASCII look-arounds below keep the wanted ASCII meaning on accented text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as trimmed and collapsed in source text (Unicode set).
-WS = r"[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+WS_SET = r"\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+WS = f"[{WS_SET}]"
+WS_CHARS = (
+    " \t\n\u000b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+# Runs that differ from one plain space; text is mostly single spaces, which need no rewriting.
+ODD_RUN = f"[{WS_SET}&&[^ ]]{WS}*| {WS}+"
+# A non-blank line, from its first visible character to its end.
+NON_BLANK_LINE = f"[^{WS_SET}][^\\n]*+"
 
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
@@ -38,17 +49,26 @@ BARE_NAME_RE = r"^[A-Za-z_$][\w$]*,?$"
 PUNCTUATION_RE = r"^[)}\];,{(]+$"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    The optimizer may inline a computed column at each of its uses; a lambda
+    variable is never inlined. For values that are costly and used repeatedly.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rtrim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+\\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def norm_ws(c: Column) -> Column:
     """Collapse white space to single spaces and trim."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, ODD_RUN, " "))
 
 
 def strip_ellipsis(c: Column) -> Column:
@@ -60,7 +80,7 @@ def lines(c: Column) -> Column:
 
 
 def non_blank_loc(c: Column) -> Column:
-    return F.size(F.filter(lines(c), lambda x: F.length(trim_ws(x)) > 0)).cast("bigint")
+    return F.regexp_count(c, F.lit(NON_BLANK_LINE)).cast("bigint")
 
 
 def count_matches(c: Column, pattern: str) -> Column:
@@ -111,15 +131,17 @@ def token_stream(c: Column) -> Column:
 
 def shingles(tokens: Column, k: int = 9) -> Column:
     """Distinct k-grams of a token array, each joined by a space."""
-    return F.when(
-        F.size(tokens) >= k,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.size(tokens) - F.lit(k - 1)),
-                lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "),
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return bind(
+        tokens,
+        lambda t: F.when(
+            F.size(t) >= k,
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.size(t) - F.lit(k - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " ")
+                )
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def front_matter_block(c: Column) -> Column:

@@ -96,7 +96,7 @@ def capped_baskets(
     sizes = rows.groupBy("basket_id").agg(F.count(F.lit(1)).alias("size"))
     limit = adaptive_cap(sizes, **cap).scalar()
     kept = sizes.where(F.col("size") <= limit).select("basket_id")
-    return rows.join(kept, "basket_id").groupBy("basket_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return rows.join(kept, "basket_id").groupBy("basket_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
 def basket_pairs(baskets: DataFrame) -> DataFrame:

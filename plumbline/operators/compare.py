@@ -56,7 +56,7 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: Sequence[str], value: str
 
 def outline_diff(old: DataFrame, new: DataFrame, key: str, attributes: str) -> DataFrame:
     """``key, change``: New, Changed, Removed or Unchanged, comparing attribute sets without order."""
-    norm = lambda df: df.select(key, F.array_sort(F.array_distinct(attributes)).alias("value"))
+    norm = lambda df: df.select(key, F.sort_array(F.array_distinct(attributes)).alias("value"))
     diff = manifest_diff(norm(old), norm(new), [key], "value", unchanged=True)
     label = F.when(F.col("change") == "Added", "New").when(F.col("change") == "Bumped", "Changed").otherwise(F.col("change"))
     return diff.select(key, label.alias("change"))

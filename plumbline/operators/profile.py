@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.records import round_half_up
+from plumbline.plans.skew import salted_join
 
 # Absolute size limits for a corpus with one document, by language.
 SINGLE_DOC_LIMITS = {"ts": 200, "rs": 200, "go": 200, "py": 300, "kt": 300, "cs": 400, "java": 500}
@@ -132,7 +133,7 @@ def categories(tokens: Column, rules: Sequence[tuple[str, str]] = CONCERN_RULES)
         return F.when(F.exists(tokens, lambda t: t.rlike(pattern)), F.lit(name))
 
     hits = [hit(name, pattern) for name, pattern in rules]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+    return F.sort_array(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
 def categorize(
@@ -142,21 +143,31 @@ def categorize(
 
 
 def write_ownership(events: DataFrame, entity: str, writer: str, min_writers: int = 1) -> DataFrame:
-    """``entity, writers, writer_list, scattered`` per entity.
+    """``entity, writers, scattered``: distinct writers per entity; two or more are scattered.
 
     The distinct (entity, writer) pairs are formed first, so an entity written
-    millions of times by few writers costs few rows. The sorted list is the
-    operator's result and holds distinct writers only.
+    millions of times by few writers costs few rows.
     """
     pairs = events.select(entity, writer).distinct()
     return (
         pairs.groupBy(entity)
-        .agg(F.count(F.lit(1)).alias("writers"), F.array_sort(F.collect_list(writer)).alias("writer_list"))
+        .agg(F.count(F.lit(1)).alias("writers"))
         .where(F.col("writers") >= min_writers)
         .withColumn("scattered", F.col("writers") >= 2)
     )
 
 
+def ownership_members(events: DataFrame, entity: str, writer: str, min_writers: int = 2) -> DataFrame:
+    """``entity, writer``: the writers of every entity with enough of them, as rows.
+
+    Rows instead of one list per entity, so an entity written from everywhere
+    does not end up in one value.
+    """
+    pairs = events.select(entity, writer).distinct()
+    wanted = write_ownership(events, entity, writer, min_writers).select(entity)
+    return salted_join(pairs, wanted, [entity], "left_semi", spread_by=[F.col(writer)])
+
+
 def nearest_preceding(
     markers: DataFrame, calls: DataFrame, key: Sequence[str], pos: str, label: str, max_gap: int = 400
 ) -> DataFrame:
@@ -364,7 +375,7 @@ def shape_conflicts(decls: DataFrame, name: str = "name", fields: str = "fields"
     several names. Declarations are pre-counted per (name, signature).
     """
     signed = decls.where(F.size(fields) >= min_fields).select(
-        F.col(name).alias("name"), F.array_join(F.array_sort(fields), ";").alias("sig")
+        F.col(name).alias("name"), F.array_join(F.sort_array(fields), ";").alias("sig")
     )
     counted = signed.groupBy("name", "sig").agg(F.count(F.lit(1)).alias("n"))
     variant = lambda kind, key: (

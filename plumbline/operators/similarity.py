@@ -35,11 +35,10 @@ def line_sequences(
 ) -> DataFrame:
     """``doc, seq, hashes``: ordered line hashes and their distinct set, per document with enough lines."""
     hashed = F.transform(tx.interesting_lines(F.col(text)), lambda l: line_hash(l, algorithm))
-    return (
-        docs.select(F.col(doc).alias("doc"), hashed.alias("seq"))
-        .where(F.size("seq") >= min_lines)
-        .withColumn("hashes", F.array_distinct("seq"))
-    )
+    record = F.transform(F.array(hashed), lambda s: F.struct(s.alias("seq"), F.array_distinct(s).alias("hashes")))
+    # Exploding the one-element array keeps the hashing from being repeated for the filter and the set.
+    kept = F.filter(record, lambda r: F.size(r["seq"]) >= min_lines)
+    return docs.select(F.col(doc).alias("doc"), F.explode(kept).alias("r")).select("doc", "r.seq", "r.hashes")
 
 
 def minhash_sketch(
@@ -52,11 +51,14 @@ def minhash_sketch(
     algorithm: str = "xxhash64",
 ) -> DataFrame:
     """``doc, hashes``: the ``size`` smallest distinct shingle hashes of the token stream."""
-    tokens = docs.select(F.col(doc).alias("doc"), tx.token_stream(F.col(text)).alias("tokens")).where(
-        F.size("tokens") >= min_tokens
+    enough = F.filter(F.array(tx.token_stream(F.col(text))), lambda t: F.size(t) >= min_tokens)
+    sketch = F.transform(
+        enough,
+        lambda t: F.slice(
+            F.sort_array(F.array_distinct(F.transform(tx.shingles(t, k), lambda s: line_hash(s, algorithm)))), 1, size
+        ),
     )
-    hashed = F.transform(tx.shingles(F.col("tokens"), k), lambda s: line_hash(s, algorithm))
-    return tokens.select("doc", F.slice(F.array_sort(F.array_distinct(hashed)), 1, size).alias("hashes"))
+    return docs.select(F.col(doc).alias("doc"), F.explode(sketch).alias("hashes"))
 
 
 def candidate_pairs(doc_hashes: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -74,7 +76,7 @@ def candidate_pairs(doc_hashes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     boilerplate = freq.where(F.col("df") > fanout).orderBy(F.col("df").desc(), "h").limit(HEAVY_KEYS).select("h")
     narrow = freq.where(F.col("df").between(2, fanout)).select("h")
     kept = rows.join(F.broadcast(boilerplate), "h", "left_anti").join(narrow, "h")
-    groups = kept.groupBy("h").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    groups = kept.groupBy("h").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     pairs = F.flatten(
         F.transform(
             "docs",
@@ -118,40 +120,45 @@ def sketch_jaccard(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     ).drop("_ka", "_kb")
 
 
+def _rank(names: np.ndarray) -> np.ndarray:
+    return np.unique(names, return_inverse=True)[1].reshape(-1)
+
+
 def _run_length(a: np.ndarray, b: np.ndarray) -> int:
     """Longest common contiguous run of two integer sequences.
 
-    Blocks of length 2^k get names by ranking pairs of names of length 2^(k-1);
-    the answer is then assembled bit by bit. Memory stays linear in the inputs
-    however often a value repeats.
+    Every block of length 2^k gets a rank made from the ranks of its two halves.
+    The length is doubled while both sequences share a block, then refined bit
+    by bit. Memory stays linear in the inputs however often a value repeats.
     """
-    n = len(a)
-    names = [np.unique(np.concatenate([a, b]), return_inverse=True)[1]]
+    n, shortest = len(a), min(len(a), len(b))
+    both = np.concatenate([a, b])
+
+    def common(names: np.ndarray, length: int) -> bool:
+        """Do the sequences share a block? Blocks that span the seam are left out."""
+        return bool(np.intersect1d(names[: n - length + 1], names[n : n + len(b) - length + 1]).size)
+
+    def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        size = min(len(left), len(right))
+        return _rank(left[:size].astype(np.int64) * (len(both) + 1) + right[:size])
+
+    levels = [_rank(both)]
+    if not common(levels[0], 1):
+        return 0
     width = 1
-    while 2 * width <= min(n, len(b)):
-        prev = names[-1]
-        pair = np.stack([prev[:-width], prev[width:]], axis=1)
-        names.append(np.unique(pair, axis=0, return_inverse=True)[1].reshape(-1))
+    while 2 * width <= shortest:
+        doubled = join(levels[-1], levels[-1][width:])
+        if not common(doubled, 2 * width):
+            break
+        levels.append(doubled)
         width *= 2
-    # ``names[k][i]`` for i in a's range must not span into b: only starts with i + 2^k <= n count for a.
-    best = 0
-    current: np.ndarray | None = None
-    for k in range(len(names) - 1, -1, -1):
+    best, current = width, levels[-1]
+    for k in range(len(levels) - 1, -1, -1):
         step = 1 << k
-        if best + step > min(n, len(b)):
-            continue
-        block = names[k]
-        if current is None:
-            grown = block
-        else:
-            tail = block[best:]
-            size = min(len(current), len(tail))
-            grown = np.unique(np.stack([current[:size], tail[:size]], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-        length = best + step
-        starts_a = grown[: n - length + 1]
-        starts_b = grown[n : n + len(b) - length + 1]
-        if np.intersect1d(starts_a, starts_b).size:
-            best, current = length, grown
+        if best + step <= shortest:
+            grown = join(current, levels[k][best:])
+            if common(grown, best + step):
+                best, current = best + step, grown
     return best
 
 
@@ -240,7 +247,7 @@ def projection_similarity(
     Members of equal sets are paired off at the end, bounded by ``top``.
     """
     sets = (
-        records.select(F.col(rec).alias("rec"), F.array_sort(F.array_distinct(fields)).alias("fields"))
+        records.select(F.col(rec).alias("rec"), F.sort_array(F.array_distinct(fields)).alias("fields"))
         .where(F.size("fields") >= min_fields)
     )
     shapes = sets.groupBy("fields").agg(F.min("rec").alias("shape"), F.count(F.lit(1)).alias("members"))
@@ -249,7 +256,7 @@ def projection_similarity(
     ordered = (
         flat.join(rarity, "field")
         .groupBy("shape", "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "field"))), lambda s: s["field"]).alias("fields"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "field"))), lambda s: s["field"]).alias("fields"))
     )
     keep = F.col("n") - F.ceil(F.lit(min_sim) * F.col("n") - F.lit(1e-9)).cast("int") + 1
     prefix = ordered.select("shape", "n", F.explode(F.slice("fields", F.lit(1), keep)).alias("field"))

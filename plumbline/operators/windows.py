@@ -106,7 +106,7 @@ def shared_budget(
     wanted = rows.where(F.col("label").isin(list(labels)))
     totals = wanted.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
     heads = top_per_group(wanted, ["label"], [F.col("pos").asc()], max_rows)
-    per_label = heads.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("head"))
+    per_label = heads.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("head"))
     packed = (
         per_label.join(totals, "label")
         .agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("total", "head")))).alias("blocks"))

@@ -102,7 +102,7 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "plumbline") -> None
     """
     sarif_results(findings).select("kind", "result.*").write.mode("overwrite").partitionBy("kind").json(f"{path}/results")
     rules = sarif_rules(findings).groupBy("kind").agg(
-        F.array_sort(F.collect_list(F.struct("rule_index", "lens"))).alias("r")
+        F.sort_array(F.collect_list(F.struct("rule_index", "lens"))).alias("r")
     )
     header = rules.select(
         "kind",
