@@ -193,11 +193,12 @@ def doc_lint(
     errors = prepared.select(doc, F.explode(lint_errors(F.col("fm"), F.col("body"), F.col("kind"), finalizing)).alias("error"))
     if universe is None:
         return errors
-    parents = prepared.select(doc, F.try_element_at("fm", F.lit("parent")).alias("path")).where(
-        (F.length("path") > 0) & ~F.col("path").rlike(r"[{}]")
+    parents = prepared.select(doc, F.try_element_at("fm", F.lit("parent")).alias("_parent")).where(
+        (F.length("_parent") > 0) & ~F.col("_parent").rlike(r"[{}]")
     )
-    lost = parents.join(universe.select("path").distinct(), "path", "left_anti").select(
-        doc, F.concat(F.lit("parent artifact not found: "), "path").alias("error")
+    known = universe.select(F.col("path").alias("_parent")).distinct()
+    lost = parents.join(known, "_parent", "left_anti").select(
+        doc, F.concat(F.lit("parent artifact not found: "), "_parent").alias("error")
     )
     return errors.unionByName(lost)
 

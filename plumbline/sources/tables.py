@@ -42,16 +42,37 @@ def kept_path(path, skip_dirs: Sequence[str] = SKIP_DIRS):
     )
 
 
-def scan_corpus(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
+def hidden_roots(spark: SparkSession, root: str, depth: int) -> list[str]:
+    """Patterns below ``root`` for names a scan leaves out by default (a leading ``_``, kept dot folders).
+
+    Only patterns that match something are returned; names are listed by the
+    file system, no content is read.
+    """
+    names = "{_*," + ",".join(KEPT_DOT_DIRS) + "}"
+    patterns = [f"{root.rstrip('/')}/{'*/' * level}{names}" for level in range(depth)]
+    conf = spark._jsc.hadoopConfiguration()
+
+    def matches(pattern: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = path.getFileSystem(conf).globStatus(path)
+        return found is not None and len(found) > 0
+
+    return [p for p in patterns if matches(p)]
+
+
+def scan_corpus(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DIRS, depth: int = 6) -> DataFrame:
     """One row per document under ``root``: ``path`` (relative), ``text``.
 
     The path filter is evaluated on the file name, so no text of a skipped
-    folder enters the plan above the scan.
+    folder enters the plan above the scan. Names with a leading underscore and
+    kept dot folders are found down to ``depth`` levels.
     """
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(
+    raw = spark.read.text([root, *hidden_roots(spark, root, depth)], wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")
     )
     decoded = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
     marker = root.rstrip("/").split("://")[-1].removeprefix("file:")
     relative = F.substring_index(decoded, marker + "/", -1)
-    return raw.withColumn("path", paths.to_posix(relative)).where(kept_path(F.col("path"), skip_dirs)).select("path", "text")
+    # The writers' own marker files are no documents.
+    kept = kept_path(F.col("path"), skip_dirs) & ~F.col("path").rlike(r"(^|/)_(SUCCESS|spark_metadata)(/|$)")
+    return raw.withColumn("path", paths.to_posix(relative)).where(kept).select("path", "text")

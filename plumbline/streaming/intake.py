@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.hashing import fingerprint
 from plumbline.operators.findings import record_errors
+from plumbline.plans.lineage import materialize
 from plumbline.sources.findings import existing_ids, fingerprint_records
 
 
@@ -42,13 +43,12 @@ def stream_intake(
             rows = batch.join(known.distinct().withColumn("_duplicate", F.lit(True)), "id", "left").withColumn(
                 "_duplicate", F.coalesce("_duplicate", F.lit(False))
             )
-        checked = rows.withColumn("errors", record_errors(F.col("_duplicate"))).drop("_duplicate")
-        checked = checked.persist()
+        # Stored before the table grows: a cached plan would be recomputed after the append and see its own ids.
+        checked = materialize(rows.withColumn("errors", record_errors(F.col("_duplicate"))).drop("_duplicate"), "intake")
         quoted = F.flatten(F.transform("evidence", lambda e: e["quoted"]))
         good = checked.where(F.size("errors") == 0).drop("errors")
         good.withColumn("fp", fingerprint(F.col("lens"), quoted, F.col("symbol"))).write.mode("append").parquet(table)
         checked.where(F.size("errors") > 0).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejected)
-        checked.unpersist()
 
     return (
         findings.withWatermark(ts, horizon)
