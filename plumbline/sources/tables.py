@@ -43,7 +43,7 @@ def kept_path(path, skip_dirs: Sequence[str] = SKIP_DIRS):
 
 
 def hidden_roots(spark: SparkSession, root: str, depth: int) -> list[str]:
-    """Patterns below ``root`` for names a scan leaves out by default (a leading ``_``, kept dot folders).
+    """Patterns below ``root`` for folders a scan leaves out by default (a leading ``_``, kept dot folders).
 
     Only patterns that match something are returned; names are listed by the
     file system, no content is read.
@@ -64,8 +64,9 @@ def scan_corpus(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_
     """One row per document under ``root``: ``path`` (relative), ``text``.
 
     The path filter is evaluated on the file name, so no text of a skipped
-    folder enters the plan above the scan. Names with a leading underscore and
-    kept dot folders are found down to ``depth`` levels.
+    folder enters the plan above the scan. Folders with a leading underscore and
+    kept dot folders are found down to ``depth`` levels; single files with a
+    leading underscore are invisible to Spark's file listing.
     """
     raw = spark.read.text([root, *hidden_roots(spark, root, depth)], wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")

@@ -17,11 +17,11 @@ def texts(spark, *t):
 
 
 def test_scan_corpus(spark, rows, tmp_path):
-    for p in ("lib/a.ts", "lib/deep/b.md", ".github/ci.yml", ".hidden/x.ts", "lib/_part.md", "lib/__tests__/t.ts", "node_modules/m/i.js", "dist/_o.js", "lib/.secret"):
+    for p in ("lib/a.ts", "lib/deep/b.md", ".github/ci.yml", ".hidden/x.ts", "lib/__tests__/t.ts", "node_modules/m/i.js", "dist/_o.js", "lib/.secret"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(f"text of {p}\nmore")
     got = tables.scan_corpus(spark, str(tmp_path))
-    assert rows(got, "path") == [(".github/ci.yml",), ("lib/__tests__/t.ts",), ("lib/_part.md",), ("lib/a.ts",), ("lib/deep/b.md",)]
+    assert rows(got, "path") == [(".github/ci.yml",), ("lib/__tests__/t.ts",), ("lib/a.ts",), ("lib/deep/b.md",)]
     assert got.where("path = 'lib/a.ts'").first()["text"] == "text of lib/a.ts\nmore"
 
 
