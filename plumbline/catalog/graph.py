@@ -107,6 +107,16 @@ def cycles(spark, d):
     return graph.cycles(materialize(main_successor(spark, d), "succ")).select("size", "length", "path")
 
 
+@query(
+    "cycle_steps",
+    f"""WITH RECURSIVE {SUCCESSOR}, {WALK}, m AS (SELECT c.node, min(w.node) AS start, count(*) AS size FROM cyc c JOIN walk w ON w.origin = c.node GROUP BY c.node),
+    p AS (SELECT start, start AS node, size, 0 AS pos FROM m WHERE node = start UNION ALL SELECT p.start, s.dst, p.size, p.pos + 1 FROM p JOIN succ s ON s.src = p.node WHERE p.pos + 1 < p.size)
+    SELECT size, CAST(pos AS BIGINT) AS pos, node FROM p""",
+)
+def cycle_steps(spark, d):
+    return graph.cycle_steps(materialize(main_successor(spark, d), "succ")).select("size", "pos", "node")
+
+
 @query(
     "ancestors",
     f"""WITH RECURSIVE {SUCCESSOR}, t AS (SELECT p_partkey AS tip FROM part WHERE p_size = 1), r AS (SELECT tip, tip AS node FROM t UNION SELECT r.tip, s.dst FROM r JOIN succ s ON s.src = r.node)

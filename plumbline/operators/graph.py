@@ -251,37 +251,88 @@ def sdp_violations(edges: DataFrame, min_delta: float = SDP_MIN_DELTA, target: s
     return out
 
 
-# Steps taken per stored round where a step is a cheap, idempotent narrowing or spreading.
-STEPS_PER_ROUND = 4
+# Pointer doublings and spreading steps per stored round.
+STEPS_PER_ROUND = 2
+
+
+def _flip(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _chains(edges: DataFrame, through_rings: bool, max_rounds: int = 64) -> DataFrame:
+    """``node, top, peak`` of every node with exactly one way in.
+
+    ``top`` is where following the only way in ends (a node with no or several
+    ways in), ``peak`` the largest node on the way, ``node`` included. The
+    distance covered doubles with each step, so long chains take logarithmically
+    many rounds. A ring has no top; ``through_rings`` goes on until every ring
+    has been walked round.
+    """
+    single = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("top")).where(F.col("n") == 1)
+    state = materialize(single.select(F.col("dst").alias("node"), "top", F.greatest("dst", "top").alias("peak")), "chains")
+    total, hops, before = state.count(), 1, -1
+    for _ in range(max_rounds):
+        for _ in range(STEPS_PER_ROUND):
+            ahead = state.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("peak").alias("_peak"))
+            state = state.join(ahead, "top", "left").select(
+                "node", F.coalesce("_top", "top").alias("top"), F.greatest("peak", "_peak").alias("peak")
+            )
+            hops *= 2
+        state = materialize(state, "chains")
+        open_rows = state.join(state.select(F.col("node").alias("top")), "top", "left_semi").count()
+        if open_rows == 0 or hops >= total or (open_rows == before and not through_rings):
+            return state
+        before = open_rows
+    raise NotConverged(f"chains after {max_rounds} rounds")
+
+
+def _drop_unreached(edges: DataFrame) -> DataFrame:
+    """Edges without those leaving a node nothing leads into, whole chains at a time."""
+    sources = edges.select(F.col("src").alias("node")).distinct().join(
+        edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"
+    )
+    sources = materialize(sources, "sources")
+    if sources.isEmpty():
+        return edges
+    hanging = _chains(edges, through_rings=False).join(sources.withColumnRenamed("node", "top"), "top", "left_semi")
+    dead = sources.unionByName(hanging.select("node")).withColumnRenamed("node", "src")
+    return materialize(edges.join(dead, "src", "left_anti").select("src", "dst"), "trim")
 
 
 def trim_acyclic(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Drop edges that lie on no cycle because an end has no way in or out, repeatedly."""
+    """Drop edges that lie on no cycle because an end has no way in or out, repeatedly.
+
+    A round removes whole chains, so trees vanish in logarithmically many rounds.
+    """
     state = materialize(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "trim")
     count = state.count()
     for _ in range(max_rounds):
-        for _ in range(STEPS_PER_ROUND):
-            sources = state.select(F.col("src").alias("dst")).distinct()
-            sinks = state.select(F.col("dst").alias("src")).distinct()
-            state = state.join(sources, "dst", "left_semi").join(sinks, "src", "left_semi").select("src", "dst")
-        state = materialize(state, "trim")
+        if count == 0:
+            return state
+        state = _flip(_drop_unreached(_flip(_drop_unreached(state))))
         now = state.count()
-        if now in (count, 0):
+        if now == count:
             return state
         count = now
     raise NotConverged(f"trimming after {max_rounds} rounds")
 
 
 def _spread_max(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """``node, color``: the largest node that reaches each node (itself included)."""
+    """``node, color``: the largest node that reaches each node (itself included).
+
+    Colours pass along edges step by step, and over chains in one step.
+    """
+    chains = _chains(edges, through_rings=True)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    state = materialize(nodes.withColumn("color", F.col("node")), "color")
+    known = nodes.withColumn("color", F.col("node")).unionByName(chains.select("node", F.col("peak").alias("color")))
+    state = materialize(known.groupBy("node").agg(F.max("color").alias("color")), "color")
     seen = _checksum(state, "node", "color")
     for _ in range(max_rounds):
         for _ in range(STEPS_PER_ROUND):
             arriving = edges.join(state.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "color")
             state = state.unionByName(arriving).groupBy("node").agg(F.max("color").alias("color"))
-        state = materialize(state, "color")
+        over = chains.join(state.withColumnRenamed("node", "top"), "top").select("node", "color")
+        state = materialize(state.unionByName(over).groupBy("node").agg(F.max("color").alias("color")), "color")
         now = _checksum(state, "node", "color")
         if now == seen:
             return state
@@ -289,47 +340,42 @@ def _spread_max(edges: DataFrame, max_rounds: int) -> DataFrame:
     raise NotConverged(f"colouring after {max_rounds} rounds")
 
 
-def _collect_back(edges: DataFrame, colors: DataFrame, max_rounds: int) -> DataFrame:
-    """``node, color``: nodes that reach their colour's root inside the colour."""
+def _rooted(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """``node, color``: nodes that the largest node of their colour reaches and that reach it back."""
+    colors = _spread_max(edges, max_rounds)
     inner = (
         edges.join(colors.select(F.col("node").alias("src"), "color"), "src")
-        .join(colors.select(F.col("node").alias("dst"), F.col("color").alias("_dc")), "dst")
-        .where(F.col("color") == F.col("_dc"))
-        .select("src", "dst", "color")
+        .join(colors.select(F.col("node").alias("dst"), F.col("color").alias("_color")), "dst")
+        .where(F.col("color") == F.col("_color"))
+        .select("src", "dst")
+    )
+    # The root is the largest node of its colour: a node reaches it exactly if the root is the largest node it reaches.
+    back = _spread_max(_flip(materialize(inner, "inner")), max_rounds).withColumnRenamed("color", "_back")
+    return (
+        colors.join(back, "node", "left")
+        .where(F.coalesce("_back", "node") == F.col("color"))
+        .select("node", "color")
     )
-    inner = materialize(inner, "inner")
-    found = Accumulator(colors.where(F.col("node") == F.col("color")).select("node", "color"), "found")
-    frontier = found.all()
-    for _ in range(max_rounds):
-        step = (
-            inner.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi")
-            .select(F.col("src").alias("node"), "color")
-            .distinct()
-            .join(found.all(), ["node", "color"], "left_anti")
-        )
-        frontier = found.add(step)
-        if frontier.isEmpty():
-            return found.all()
-    raise NotConverged(f"backward search after {max_rounds} rounds")
 
 
 def strongly_connected(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``node, scc`` (scc = largest member) for strongly connected sets of two or more nodes.
 
-    Forward colouring and backward search: nodes are coloured with the largest
-    node reaching them; those that reach it back form its set. Finished sets
-    leave the graph and the rest is trimmed and coloured again.
+    Forward and backward colouring: nodes are coloured with the largest node
+    reaching them; those that reach it back form its set. Finished sets leave
+    the graph and the rest is trimmed and coloured again.
     """
     rest = trim_acyclic(edges, max_rounds)
     done: Accumulator | None = None
     for _ in range(max_rounds):
         if rest.isEmpty():
             break
-        found = _collect_back(rest, _spread_max(rest, max_rounds), max_rounds)
+        found = _rooted(rest, max_rounds)
         if done is None:
             done = Accumulator(found, "scc")
+            found = done.all()
         else:
-            done.add(found)
+            found = done.add(found)
         left = rest.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(
             found.select(F.col("node").alias("dst")), "dst", "left_anti"
         )
@@ -346,61 +392,115 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return members.join(sizes, "color", "left_semi").select("node", F.col("color").alias("scc"))
 
 
-def cycles(edges: DataFrame, target: str | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """``scc, size, length, path``: per strongly connected set, a shortest cycle through its smallest member.
-
-    The walk advances all sets together, one step per round, keeping one
-    smallest predecessor path per reached node.
-    """
-    scc = materialize(strongly_connected(edges, max_rounds), "scc")
-    sizes = scc.groupBy("scc").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("start"))
-    inner = materialize(
-        edges.select("src", "dst")
-        .distinct()
-        .join(scc.select(F.col("node").alias("src"), "scc"), "src")
-        .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("_d")), "dst")
-        .where((F.col("scc") == F.col("_d")) & (F.col("src") != F.col("dst")))
-        .select("scc", "src", "dst"),
-        "inner",
+def _ring_positions(ring: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``node, pos`` from ``node, before`` rows, where the start of each ring has no ``before``."""
+    state = materialize(
+        ring.select("node", "before", F.col("before").isNotNull().cast("bigint").alias("pos")), "ring"
     )
-    starts = sizes.select("scc", "start")
-    frontier = materialize(starts.select("scc", F.col("start").alias("node"), F.array("start").alias("path")), "walk")
-    visited = Accumulator(frontier.select("scc", "node"), "visited")
-    closed: Accumulator | None = None
     for _ in range(max_rounds):
+        for _ in range(STEPS_PER_ROUND):
+            ahead = state.select(F.col("node").alias("before"), F.col("before").alias("_before"), F.col("pos").alias("_pos"))
+            state = state.join(ahead, "before", "left").select(
+                "node", F.col("_before").alias("before"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos")
+            )
+        state = materialize(state, "ring")
+        if state.where("before IS NOT NULL").isEmpty():
+            return state.select("node", "pos")
+    raise NotConverged(f"ring positions after {max_rounds} rounds")
+
+
+def _shortest_walks(inner: DataFrame, starts: DataFrame, max_rounds: int) -> DataFrame:
+    """``node, pos``: for each set, the nodes of a shortest cycle through its start.
+
+    All sets advance together, one step per round, keeping one predecessor per
+    node; the nodes between the closing edge and the start are then marked by
+    pointer doubling.
+    """
+    kind = inner.schema["src"].dataType
+    tree = Accumulator(
+        starts.select("scc", F.col("start").alias("node"), F.lit(None).cast(kind).alias("before"), F.lit(0).cast("bigint").alias("pos")), "walk"
+    )
+    frontier = tree.all()
+    closing: Accumulator | None = None
+    for pos in range(1, max_rounds):
         if frontier.isEmpty():
             break
         step = (
-            frontier.withColumnRenamed("node", "src")
+            frontier.select("scc", F.col("node").alias("src"))
             .join(inner, ["scc", "src"])
-            .select("scc", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-            .groupBy("scc", "node")
-            .agg(F.min("path").alias("path"))
+            .groupBy("scc", F.col("dst").alias("node"))
+            .agg(F.min("src").alias("before"))
+            .withColumn("pos", F.lit(pos).cast("bigint"))
         )
-        step = materialize(step.join(starts, "scc"), "walk")
-        back = step.where(F.col("node") == F.col("start")).select("scc", "path")
-        if closed is None:
-            closed = Accumulator(back, "closed")
+        step = materialize(step.join(starts, "scc"), "step")
+        ends = step.where(F.col("node") == F.col("start")).select("scc", F.col("before").alias("node"))
+        if closing is None:
+            closing = Accumulator(ends, "closing")
         else:
-            closed.add(back)
-        frontier = materialize(
-            step.join(closed.all().select("scc"), "scc", "left_anti")
-            .select("scc", "node", "path")
-            .join(visited.all(), ["scc", "node"], "left_anti"),
-            "walk",
+            closing.add(ends)
+        reached = tree.all().select("scc", "node")
+        frontier = tree.add(
+            step.join(closing.all().select("scc"), "scc", "left_anti").join(reached, ["scc", "node"], "left_anti")
         )
-        visited.add(frontier.select("scc", "node"))
     else:
         raise NotConverged(f"cycle walk after {max_rounds} rounds")
-    if closed is None:
-        return sizes.select("scc", "size", F.lit(0).alias("length"), F.lit("").alias("path"))
-    out = closed.all().join(sizes, "scc").select(
-        "scc", "size", (F.size("path") - 1).alias("length"), F.array_join(F.transform("path", lambda n: n.cast("string")), " -> ").alias("path")
-    )
+    if closing is None:
+        return tree.all().select("node", "pos").where("false")
+    jump = materialize(tree.all().select("node", "before"), "jump")
+    marked = materialize(closing.all().select("node"), "marked")
+    while not jump.where("before IS NOT NULL").isEmpty():
+        further = marked.join(jump, "node").where("before IS NOT NULL").select(F.col("before").alias("node"))
+        marked = materialize(marked.unionByName(further).distinct(), "marked")
+        ahead = jump.select(F.col("node").alias("before"), F.col("before").alias("_before"))
+        jump = materialize(jump.join(ahead, "before", "left").select("node", F.col("_before").alias("before")), "jump")
+    return tree.all().join(marked, "node", "left_semi").select("node", "pos")
+
+
+def cycle_steps(edges: DataFrame, target: str | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """``scc, size, pos, node``: per strongly connected set, a shortest cycle through its smallest member, in edge order.
+
+    One row per step, so a cycle may be of any length. Sets that are simple
+    rings are ordered by pointer doubling, the others by a walk.
+    """
+    scc = materialize(strongly_connected(edges, max_rounds), "scc")
     if target is not None:
         under = scc.where(paths.under_prefix(F.col("node"), target)).select("scc").distinct()
-        out = out.join(under, "scc", "left_semi")
-    return out
+        scc = scc.join(under, "scc", "left_semi")
+    inner = materialize(
+        edges.select("src", "dst")
+        .distinct()
+        .join(scc.select(F.col("node").alias("src"), "scc"), "src")
+        .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("_scc")), "dst")
+        .where((F.col("scc") == F.col("_scc")) & (F.col("src") != F.col("dst")))
+        .select("scc", "src", "dst"),
+        "inner",
+    )
+    links = inner.groupBy("scc").agg(F.count(F.lit(1)).alias("links"))
+    sets = scc.groupBy("scc").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("start")).join(links, "scc")
+    sets = materialize(sets, "sets")
+    rings = sets.where(F.col("links") == F.col("size"))
+    ring = inner.join(rings.select("scc", "start"), "scc").select(
+        F.col("dst").alias("node"), F.when(F.col("dst") != F.col("start"), F.col("src")).alias("before")
+    )
+    others = sets.where(F.col("links") > F.col("size")).select("scc", "start")
+    walked = _shortest_walks(inner.join(others.select("scc"), "scc", "left_semi"), others, max_rounds)
+    steps = _ring_positions(ring).unionByName(walked)
+    return steps.join(scc, "node").join(sets.select("scc", "size"), "scc").select("scc", "size", "pos", "node")
+
+
+def cycles(edges: DataFrame, target: str | None = None, longest: int = 1000) -> DataFrame:
+    """``scc, size, length, path``: the cycles of ``cycle_steps`` as text.
+
+    A cycle of more than ``longest`` steps has a NULL path here; its steps are
+    in ``cycle_steps``.
+    """
+    steps = materialize(cycle_steps(edges, target), "steps")
+    lengths = steps.groupBy("scc", "size").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    short = steps.join(lengths.where(F.col("length") <= longest).select("scc"), "scc", "left_semi")
+    ordered = short.groupBy("scc").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("node").cast("string").alias("node")))).alias("s"))
+    names = F.transform("s", lambda x: x["node"])
+    text = ordered.select("scc", F.array_join(F.concat(names, F.slice(names, 1, 1)), " -> ").alias("path"))
+    return lengths.join(text, "scc", "left").select("scc", "size", "length", "path")
 
 
 def volatile_hubs(
