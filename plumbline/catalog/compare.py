@@ -76,7 +76,7 @@ def still_present(spark, d):
 @query(
     "proposals_present",
     f"""WITH {DOCS}, t AS (SELECT DISTINCT 'new/d' || (doc_id * 2) || '.md:7' AS tok, 'd' || (doc_id * 2) || '.md' AS base FROM docs)
-    SELECT tok, path FROM t JOIN docs ON regexp_extract(path, '[^/]*$') = base""",
+    SELECT tok, count(*) AS hits, min(path) AS path FROM t JOIN docs ON regexp_extract(path, '[^/]*$') = base GROUP BY tok""",
 )
 def proposals_present(spark, d):
     t = docs(spark, d)

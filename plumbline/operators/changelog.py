@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.records import clamp, round_half_up
-from plumbline.plans.skew import salted_join
+from plumbline.plans.skew import HEAVY_KEYS, salted_join
 
 # Defaults of the change-log lenses.
 CHURN_DAYS = 180
@@ -96,6 +96,9 @@ def capped_baskets(
     sizes = rows.groupBy("basket_id").agg(F.count(F.lit(1)).alias("size"))
     limit = adaptive_cap(sizes, **cap).scalar()
     kept = sizes.where(F.col("size") <= limit).select("basket_id")
+    # The largest bulk baskets (a bounded list) leave before rows are shuffled by basket.
+    bulk = sizes.where(F.col("size") > limit).orderBy(F.col("size").desc(), "basket_id").limit(HEAVY_KEYS).select("basket_id")
+    rows = rows.join(F.broadcast(bulk), "basket_id", "left_anti")
     return rows.join(kept, "basket_id").groupBy("basket_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 

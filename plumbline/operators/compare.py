@@ -101,9 +101,16 @@ def still_present(evidence: DataFrame, lines: DataFrame, documents: DataFrame, p
 
 
 def proposals_present(unresolved: DataFrame, documents: DataFrame, tok: str = "tok", path: str = "path") -> DataFrame:
-    """``tok, path``: proposed but absent documents that now exist under the same base name."""
+    """``tok, hits, path``: proposed but absent documents that now exist under the same base name.
+
+    The number of documents with that name and the first of them; all of them
+    share the base name, so they need not be listed once per token.
+    """
     base = unresolved.select(tok, paths.base_of(F.element_at(F.split(tok, ":"), 1)).alias("_base")).distinct()
-    return base.join(documents.select(F.col(path), paths.base_of(F.col(path)).alias("_base")), "_base").select(tok, path).distinct()
+    named = documents.groupBy(paths.base_of(F.col(path)).alias("_base")).agg(
+        F.count(F.lit(1)).alias("hits"), F.min(path).alias(path)
+    )
+    return base.join(named, "_base").select(tok, "hits", path)
 
 
 def precedence(signals: DataFrame, order: dict[str, list[str]] = PRECEDENCE, subject: str = "subject", source: str = "source") -> DataFrame:

@@ -30,8 +30,7 @@ def ground_quotes(
     ``evidence(ev_id, path, start_line, quote)``, ``lines(path, line_no, line)``.
     Verdicts: grounded, missing document, line beyond end, not found. Each
     citation emits its ``2 * radius + 1`` line numbers and meets the lines by an
-    equi join; only quotes that fail look for the hint, by joining the
-    document's lines.
+    equi join; only quotes that fail look for the hint, in their document.
     """
     want = tx.strip_ellipsis(tx.norm_ws(F.col("quote")))
     cited = evidence.select("ev_id", path, "start_line", "quote", want.alias("_want"))
@@ -59,12 +58,15 @@ def ground_quotes(
     )
     judged = judged.withColumn("verdict", verdict)
     lost = judged.where((F.col("verdict") == "not found") & (F.length("_want") > 0)).select("ev_id", path, "_want")
-    # The smallest few line numbers of a hit are a bounded aggregate: counted by rank inside the document.
-    hits = (
-        lost.join(norm, path)
-        .where(F.contains(F.col("_line"), F.col("_want")))
-        .groupBy("ev_id")
-        .agg(F.min("line_no").alias("hint"))
+    # Each document with a lost quote is put together once and searched inside the row.
+    searched = (
+        norm.join(lost.select(path).distinct(), path, "left_semi")
+        .groupBy(path)
+        .agg(F.sort_array(F.collect_list(F.struct("line_no", "_line"))).alias("_doc"))
+    )
+    found = F.filter("_doc", lambda x: F.contains(x["_line"], F.col("_want")))
+    hits = salted_join(lost, searched, [path], spread_by=[F.col("ev_id")]).select(
+        "ev_id", F.get(found, F.lit(0))["line_no"].alias("hint")
     )
     return judged.join(hits, "ev_id", "left").select("ev_id", path, "start_line", "quote", "verdict", "hint")
 
@@ -83,11 +85,13 @@ def recall(ground: DataFrame, cites: DataFrame, radius: int = RECALL_RADIUS) ->
     located = ground.where(F.col("line").isNotNull()).select(
         "item", "path", F.col("line").alias("want"), F.explode(F.array(band - 1, band, band + 1)).alias("band")
     )
-    near = (
-        salted_join(seen.withColumn("band", band), located, ["path", "band"], spread_by=[F.col("line")])
-        .where(F.abs(F.col("line") - F.col("want")) <= radius)
-        .select("item", "path")
-    )
+    banded = seen.withColumn("band", band).withColumnsRenamed({"path": "_path", "line": "_line", "band": "_band"})
+    # A semi join: an item is kept once, however many cites lie near it.
+    near = located.join(
+        banded,
+        (F.col("path") == F.col("_path")) & (F.col("band") == F.col("_band")) & (F.abs(F.col("_line") - F.col("want")) <= radius),
+        "left_semi",
+    ).select("item", "path")
     anywhere = ground.where(F.col("line").isNull()).select("item", "path").join(seen.select("path").distinct(), "path", "left_semi")
     hits = near.unionByName(anywhere.select("item", "path")).distinct().groupBy("item").agg(F.count(F.lit(1)).alias("matched"))
     items = ground.groupBy("item").agg(

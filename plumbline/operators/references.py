@@ -99,21 +99,34 @@ def lookup_near_path(cites: DataFrame, universe: DataFrame, tok: str = "tok", pa
     Order: exact, unique suffix, unique base name, unique base name with the
     token's folder fragment, else the first suffix or base-name hit.
     """
-    wanted = cites.select(F.col(tok)).distinct().withColumn("_base", paths.base_of(F.col(tok)))
-    fragment = F.when(F.instr(F.col(tok), "/") > 0, F.regexp_replace(F.col(tok), r"/[^/]*$", ""))
+    parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, r"/[^/]*$", ""))
+    wanted = cites.select(F.col(tok)).distinct()
+    wanted = wanted.select(tok, paths.base_of(F.col(tok)).alias("_base"), parent(F.col(tok)).alias("_frag"))
     files = universe.select(F.col(path), paths.base_of(F.col(path)).alias("_base"))
-    # Tokens are few per base name after ``distinct``; documents per base name may be many.
-    hits = salted_join(files, wanted, ["_base"], spread_by=[F.col(path)])
-    tail = F.col(path).endswith(F.concat(F.lit("/"), F.col(tok)))
-    framed = F.contains(F.col(path), F.concat(fragment, F.lit("/")))
-    found = hits.groupBy(tok).agg(
-        F.min(F.when(F.col(path) == F.col(tok), F.col(path))).alias("exact"),
-        F.count(F.when(tail, 1)).alias("n_tail"),
-        F.min(F.when(tail, F.col(path))).alias("tail"),
-        F.count(F.lit(1)).alias("n_base"),
-        F.min(path).alias("base"),
-        F.count(F.when(framed, 1)).alias("n_framed"),
-        F.min(F.when(framed, F.col(path))).alias("framed"),
+    named = files.groupBy("_base").agg(F.count(F.lit(1)).alias("n_base"), F.min(path).alias("base"))
+    # Exact and suffix matches: path tails meet tokens by an equi join.
+    tails = files.select(F.col(path), F.explode(paths.suffixes(F.col(path))).alias(tok))
+    proper = F.col(path) != F.col(tok)
+    tailed = (
+        salted_join(tails, wanted.select(tok), [tok], spread_by=[F.col(path)])
+        .groupBy(tok)
+        .agg(
+            F.max(F.when(~proper, F.col(path))).alias("exact"),
+            F.count(F.when(proper, 1)).alias("n_tail"),
+            F.min(F.when(proper, F.col(path))).alias("tail"),
+        )
+    )
+    known = wanted.join(named, "_base").join(tailed, tok, "left").withColumn("n_tail", F.coalesce("n_tail", F.lit(0)))
+    # Only names still open after that are compared by folder fragment, again by an equi join.
+    unclear = known.where(F.col("exact").isNull() & (F.col("n_tail") != 1) & (F.col("n_base") > 1) & F.col("_frag").isNotNull())
+    asked = unclear.select(tok, "_base", "_frag")
+    near = files.join(asked.select("_base").distinct(), "_base", "left_semi").select(
+        path, "_base", F.explode(folder_fragments(parent(F.col(path)))).alias("_frag")
+    )
+    framed = (
+        salted_join(near, asked, ["_base", "_frag"], spread_by=[F.col(path)])
+        .groupBy(tok)
+        .agg(F.count(F.lit(1)).alias("n_framed"), F.min(path).alias("framed"))
     )
     how = (
         F.when(F.col("exact").isNotNull(), "exact")
@@ -129,7 +142,26 @@ def lookup_near_path(cites: DataFrame, universe: DataFrame, tok: str = "tok", pa
         .when(F.col("how") == "name+folder", F.col("framed"))
         .when(F.col("how") == "first", F.coalesce("tail", "base"))
     )
-    return wanted.join(found, tok, "left").withColumn("how", how).select(tok, pick.alias("resolved"), "how")
+    found = known.join(framed, tok, "left").withColumn("how", how).select(tok, pick.alias("resolved"), "how")
+    return wanted.select(tok).join(found, tok, "left")
+
+
+def folder_fragments(folder: Column) -> Column:
+    """Every text ``f`` for which ``f/`` occurs in ``folder/``, starting inside one segment and ending at a segment end."""
+    segments = F.split(folder, "/")
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size(segments)),
+        lambda i: F.transform(
+            F.sequence(i, F.size(segments)),
+            lambda j: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(F.element_at(segments, i)), F.lit(1))),
+                lambda c: F.array_join(
+                    F.concat(F.array(F.substr(F.element_at(segments, i), c)), F.slice(segments, i + 1, j - i)), "/"
+                ),
+            ),
+        ),
+    )
+    return F.array_distinct(F.flatten(F.flatten(runs)))
 
 
 def longest_prefix_map(

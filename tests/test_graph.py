@@ -158,3 +158,13 @@ def test_dead_and_dangling(spark, rows):
     assert rows(references.orphans(defs, refs), "name") == [("h",)]
     text = spark.createDataFrame([(1, "subagent: plugin:alpha\nsubagent: beta ignore-me\nsubagent: gamma")], "doc_id int, text string")
     assert rows(references.reference_tokens(text, r"subagent:\s*([A-Za-z][\w:-]*)", ignore="ignore-me"), "name") == [("alpha",), ("gamma",)]
+
+
+def test_lookup_near_path(spark, rows):
+    files = spark.createDataFrame([(p,) for p in ("lib/gen/v.ts", "app/gen/v.ts", "xlib/q/v.ts", "one/u.ts", "a/w.ts", "b/w.ts")], "path string")
+    cites = spark.createDataFrame([(t,) for t in ("lib/gen/v.ts", "app/v.ts", "q/v.ts", "zz/u.ts", "w.ts", "lib/q/v.ts", "en/v.ts", "no.ts")], "tok string")
+    got = {t: (r, h) for t, r, h in rows(references.lookup_near_path(cites, files))}
+    assert got == {
+        "lib/gen/v.ts": ("lib/gen/v.ts", "exact"), "app/v.ts": ("app/gen/v.ts", "name+folder"), "q/v.ts": ("xlib/q/v.ts", "suffix"),
+        "zz/u.ts": ("one/u.ts", "name"), "w.ts": ("a/w.ts", "first"), "lib/q/v.ts": ("xlib/q/v.ts", "name+folder"), "en/v.ts": ("app/gen/v.ts", "first"), "no.ts": (None, None),
+    }
