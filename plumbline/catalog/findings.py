@@ -101,7 +101,7 @@ drifted AS (SELECT cur.id, cur.fp, CASE WHEN pa.id IS NOT NULL THEN 'Still-open'
 
 def _drift(spark, d):
     n = F.substring("id", 2, 20).cast("bigint")
-    f = findings(spark, d).select("id", "title", "fp", n.alias("n"))
+    f = materialize(findings(spark, d).select("id", "title", "fp", n.alias("n")), "findings")
     renamed = lambda cond, mark: f.where(cond).select(F.concat(F.lit(mark), F.col("n").cast("string")).alias("id"), "title", "fp")
     return fnd.drift(f.where("n % 3 <> 0").select("id", "title", "fp"), renamed("n % 4 IN (0, 1)", "P"), renamed("n % 4 = 2", "R"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.records import clamp, round_half_up
+from plumbline.plans.lineage import materialize
 from plumbline.plans.skew import HEAVY_KEYS, salted_join
 
 # Defaults of the change-log lenses.
@@ -134,7 +135,8 @@ def co_change(
     driver is the side with the higher confidence, ``a`` on a tie. Bulk baskets
     count neither in the support nor in the changes.
     """
-    baskets = capped_baskets(changes, basket, item, **cap)
+    # Stored once: both the changes per item and the pairs come from the baskets.
+    baskets = materialize(capped_baskets(changes, basket, item, **cap), "baskets")
     totals = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     pairs = basket_pairs(baskets).where(F.col("support") >= min_support)
     ta = totals.select(F.col("item").alias("a"), F.col("n").alias("na"))

@@ -229,7 +229,8 @@ def instability(edges: DataFrame, modules: DataFrame | None = None, target: str
 
 def sdp_violations(edges: DataFrame, min_delta: float = SDP_MIN_DELTA, target: str | None = None) -> DataFrame:
     """``src_folder, dst_folder, i_from, i_to, delta, edges, sample``: folder edges towards markedly less stable folders."""
-    inst = instability(edges).select("folder", "instability")
+    # One row per folder, needed at both ends.
+    inst = materialize(instability(edges).select("folder", "instability"), "instability")
     folder_edges = (
         with_folders(edges)
         .where(F.col("src_folder") != F.col("dst_folder"))
@@ -521,12 +522,37 @@ def volatile_hubs(
     )
 
 
+def _linear_ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``ancestors`` where every child has one parent: round k adds the nodes up to 2^k steps away."""
+    strides = materialize(
+        parents.select(F.col("child").alias("node"), F.col("parent").alias("far"), F.lit(1).alias("steps")).distinct(), "strides"
+    )
+    seen = materialize(tips.select("tip", F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
+    total = seen.count()
+    for _ in range(max_rounds):
+        further = seen.join(strides, "node").select("tip", F.col("far").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
+        seen = materialize(seen.unionByName(further).groupBy("tip", "node").agg(F.min("depth").alias("depth")), "seen")
+        now = seen.count()
+        if now == total:
+            return seen
+        total = now
+        ahead = strides.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("steps").alias("_steps"))
+        strides = materialize(
+            strides.join(ahead, "far").select("node", F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps")), "strides"
+        )
+    raise NotConverged(f"linear history after {max_rounds} rounds")
+
+
 def ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """``tip, node, depth``: everything reachable from each tip over ``parents(child, parent)``, nearest depth first.
 
-    Frontier search for all tips at once: each round joins only the newest
-    nodes with the edges and drops what a tip has already seen.
+    A linear history (no child with two parents) is walked with doubling
+    strides. Otherwise a frontier search runs for all tips at once: each round
+    joins only the newest nodes with the edges and drops what a tip has seen.
     """
+    several = parents.select("child", "parent").distinct().groupBy("child").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if several.isEmpty():
+        return _linear_ancestors(parents, tips)
     e = parents.select(F.col("child").alias("node"), F.col("parent")).distinct()
     seen = Accumulator(tips.select(F.col("tip"), F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
     frontier = seen.all()

@@ -1 +1 @@
-"""Plan helpers: lineage cuts, hot-key handling and size-checked broadcasts."""
+"""Plan helpers: lineage cuts, hot-key joins and scan layout."""

@@ -52,12 +52,3 @@ def salted_join(
     )
     joined = salted.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how)
     return joined.drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays below ``max_rows``.
-
-    ``limit`` bounds the check itself; a larger side is left to the optimizer.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
