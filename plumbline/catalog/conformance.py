@@ -77,7 +77,7 @@ def aspirational(spark, d):
     _, elems = elements(spark, d)
     prefixes = con.element_prefixes(elems)
     _, _, credits = _credits(spark, d)
-    return con.aspirational(relations(spark, d), credits, prefixes).drop("title")
+    return con.aspirational(materialize(relations(spark, d), "relations"), credits, prefixes).drop("title")
 
 
 @query(
