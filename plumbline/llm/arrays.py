@@ -61,9 +61,15 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of a slice: hash, row, first byte, end byte. Long slices are hashed in segments, to bound memory."""
-    separator, _, plain, lowered = tables()
+def words(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, separator: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of a slice: hash, row, first byte, end byte. Long slices are hashed in segments, to bound memory.
+
+    ``separator`` (a flag per byte value) makes words of other runs, such as lines.
+    """
+    blank, _, plain, lowered = tables()
+    separator = blank if separator is None else separator
     value = lowered if lower else plain
     n = len(data)
     if not n:

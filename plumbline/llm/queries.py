@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, packing, urls
-from plumbline.llm.common import WORD, load
+from plumbline.llm import language, line_rules, mixing, packing, urls
+from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,22 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op2_line_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    weights = line_rules.learn(docs, load(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return line_rules.judge(docs, weights)
+
+
+@register("op3_identify_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4), F.lit(0)) == 2
+    model = language.learn(docs, ~held_out, F.col("doc_id"))
+    found = language.identify(docs.select("text", "doc_id", held_out.alias("held_out")), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 @register("op4_pack")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
