@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, line_rules, mixing, packing, urls
+from plumbline.llm import html, language, line_rules, mixing, packing, urls
 from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ MIX_SQL = f"""
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(load(spark, sf_dir, "documents"), F.col("doc_id"))
     return mixed.withColumnRenamed("doc_key", "doc_id")
+
+
+@register("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(load(spark, sf_dir, "pages"), ["page_id", "url"])
