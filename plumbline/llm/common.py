@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,3 +20,41 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % by
+
+
+SLOTS = 1 << 23
+
+
+def prefilter(df: DataFrame, on: Column, wanted: DataFrame, by: Column) -> DataFrame:
+    """Rows of ``df`` whose ``on`` may be among the values ``by`` of ``wanted``: none is lost, a few others stay.
+
+    Keeps rows that can't match out of the shuffle of the join that follows. What is sent around is a bitmap of
+    ``SLOTS`` bits, whatever the size of ``wanted``; when that fills up, fewer rows are kept out.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    found = (
+        wanted.select(slot(by).alias("s"))
+        .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+        .collect()
+    )
+    pages = {row["bucket"]: bytes(row["bits"]) for row in found}
+    names = df.columns
+    marked = df.select(F.bitmap_bucket_number(slot(on)).alias("_bucket"), F.bitmap_bit_position(slot(on)).cast("int").alias("_bit"), *names)
+    shared = df.sparkSession.sparkContext.broadcast(pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sorted(shared.value)
+        bits = np.unpackbits(np.frombuffer(b"".join(shared.value[k] for k in order), np.uint8), bitorder="little")
+        place = np.full(max(order, default=0) + 2, -1, np.int64)
+        place[order] = np.arange(len(order))
+        for batch in batches:
+            bucket, bit = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            page = place[np.minimum(bucket, len(place) - 1)]
+            keep = np.zeros(len(bucket), bool)
+            known = page >= 0
+            keep[known] = bits[page[known] * 32768 + bit[known]] > 0
+            rows = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(rows.columns[2:], names=names)
+
+    return marked.mapInArrow(run, df.schema)

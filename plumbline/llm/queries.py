@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, language, line_rules, mixing, packing, urls
+from plumbline.llm import html, language, line_rules, mixing, ngram_join, packing, urls
 from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_main_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(load(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@register("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(load(spark, sf_dir, "documents"))
