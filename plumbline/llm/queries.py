@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, language, line_rules, mixing, ngram_join, packing, urls
+from plumbline.llm import html, language, line_rules, mixing, ngram_join, packing, urls, vectors
 from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_ngram_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
+
+
+@register("op6_link_vectors")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(load(spark, sf_dir, "embeddings"))
