@@ -153,10 +153,10 @@ def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
         return pd.DataFrame(
             {
                 "a": [*h[some].tolist(), *(e[0] for e in edges)],
-                "b": [None] * len(some) + [e[1] for e in edges],
+                "b": pd.array([None] * len(some) + [e[1] for e in edges], "Int64"),
                 "n": [*count[some].astype(np.int64).tolist(), *[0] * len(edges)],
             }
-        ).astype({"a": "int64", "b": "Int64", "n": "int64"})
+        )
 
     found = materialize(cells.groupBy("t", "bucket", "i", "j").applyInPandas(cell, "a long, b long, n long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n"))
