@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, language, line_rules, mixing, ngram_join, packing, urls, vectors
+from plumbline.llm import html, language, line_rules, mixing, ngram_join, packing, substrings, urls, vectors
 from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_link_vectors")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(load(spark, sf_dir, "embeddings"))
+
+
+@register("op5_repeated_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find_repeats(load(spark, sf_dir, "documents")).drop("key")
