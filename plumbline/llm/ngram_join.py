@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import MULT, bounds, chunks, mix, shingles, signed, words
@@ -35,6 +35,11 @@ FAN_IN = 32
 # Below this size every token is a signature by itself; above, a group holds about this many tokens of a set.
 GROUP = 8
 BITMAP = 8
+# No token's hash, cut to 31 bits, is larger.
+OPEN = (1 << 31) - 1
+# Share of a prefix that must meet the set compared first. What this rules out is looked at among the pairs across
+# components, so it steers the work only.
+FIRST = 0.3
 
 
 def token_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,9 +167,13 @@ def frequent_signatures(rare: int, tokens: np.ndarray, n: int, need: int) -> lis
 
 
 def signatures(docs: DataFrame, text: str, width: int, frequent: np.ndarray) -> DataFrame:
-    """``sig, fp, left, n`` of every set, once a task: ``left`` bounds the overlap with a set first met here."""
+    """``sig, fp, left, n, last`` of every set, once a task.
+
+    ``left`` bounds the overlap with a set first met here; ``last`` is where the prefix ends in the order of hashes,
+    ``OPEN`` if it goes on into the frequent tokens.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())
-    names = ["sig", "fp", "left", "n"]
+    names = ["sig", "fp", "left", "n", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
@@ -193,10 +202,13 @@ def signatures(docs: DataFrame, text: str, width: int, frequent: np.ndarray) ->
                         left.append(rest)
                         of.append(np.full(len(s), r))
                 sig, of, left = np.concatenate(sig), np.concatenate(of), np.concatenate(left)
-                arrays = [signed(sig), fp[of], left.astype(np.int32), n[of].astype(np.int32)]
+                last = np.full(len(n), OPEN, np.int32)
+                ends = np.flatnonzero((n > 0) & (rare >= need))
+                last[ends] = (tokens[edge[ends] + need[ends] - 1] >> np.uint64(33)).astype(np.int32)
+                arrays = [signed(sig), fp[of], left.astype(np.int32), n[of].astype(np.int32), last[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "sig long, fp long, left int, n int")
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "sig long, fp long, left int, n int, last int")
 
 
 def sets_of(docs: DataFrame, key: str, text: str, width: int, reps: DataFrame) -> DataFrame:
@@ -234,6 +246,21 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return materialize(met.select("a", "b"), "links")
 
 
+def most_overlap() -> Column:
+    """Bound of a pair's overlap, from its ``k`` shared signatures.
+
+    Of the two prefixes the one that ends first has all its common tokens among the signatures met, so at most these
+    and what follows it are common. If both go on into the frequent tokens, what the first signature leaves is the bound.
+    """
+    after = lambda s: F.col("k") + F.col(f"n{s}") - F.expr(f"n{s} div 4") - 1
+    return (
+        F.when((F.col("lasta") == OPEN) & (F.col("lastb") == OPEN), F.col("left"))
+        .when(F.col("lasta") < F.col("lastb"), after("a"))
+        .when(F.col("lastb") < F.col("lasta"), after("b"))
+        .otherwise(F.greatest(after("a"), after("b")))
+    )
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -253,23 +280,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = rows.withColumn("lead", F.min("fp").over(by_sig)).withColumn("top", F.max("fp").over(by_sig))
     shared = materialize(rows.where("lead < top").drop("top"), "shared")
 
-    met = shared.where("fp != lead").groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("fp").agg(F.max(F.struct("k", (-F.col("lead")).alias("l")))["l"].alias("l"))
+    met = shared.where("fp != lead").groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    best = met.where(F.col("k") >= FIRST / 4 * F.col("n")).groupBy("fp").agg(F.max(F.struct("k", (-F.col("lead")).alias("l")))["l"].alias("l"))
     first = best.select(F.col("fp").alias("a"), (-F.col("l")).alias("b"))
     links = verified(first, docs, key, text, width, folded)
     component = connected_components(links).select(F.col("node").alias("fp"), "component")
 
     placed = shared.drop("lead").join(component, "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
     placed = placed.withColumn("low", F.min("c").over(by_sig)).withColumn("high", F.max("c").over(by_sig))
-    mixed = materialize(placed.where("low < high").select("sig", "fp", "left", "n", "c"), "mixed")
+    mixed = materialize(placed.where("low < high").select("sig", "fp", "left", "n", "last", "c"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    sizes = F.col("x.n") + F.col("y.n")
-    may = (
-        (F.col("x.c") < F.col("y.c"))
-        & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
-        & (7 * F.least("x.left", "y.left") >= 3 * sizes)
+    may = (F.col("x.c") < F.col("y.c")) & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
+    both = x.join(y, F.col("x.sig") == F.col("y.sig")).where(may)
+    across = (
+        both.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        .agg(
+            F.count(F.lit(1)).alias("k"), F.max(F.least("x.left", "y.left")).alias("left"),
+            *[F.max(f"{s}.{c}").alias(f"{c}{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("n", "last")],
+        )
+        .where(7 * most_overlap() >= 3 * (F.col("na") + F.col("nb")))
+        .select("a", "b")
     )
-    across = x.join(y, F.col("x.sig") == F.col("y.sig")).where(may).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     more = verified(across, docs, key, text, width, folded)
     component = connected_components(links.unionByName(more)).select(F.col("node").alias("fp"), "component")
 
