@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, language, line_rules, mixing, ngram_join, packing, substrings, urls, vectors
+from plumbline.llm import html, language, line_rules, lm, mixing, ngram_join, packing, substrings, urls, vectors
 from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_repeated_passages")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.find_repeats(load(spark, sf_dir, "documents")).drop("key")
+
+
+@register("op1_score_texts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return lm.score(docs, F.coalesce(remainder(F.col("doc_id"), 10), F.lit(0)))
