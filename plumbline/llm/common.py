@@ -25,9 +25,17 @@ def remainder(doc_id: Column, by: int) -> Column:
 SLOTS = 1 << 23
 
 
-def prefilter(df: DataFrame, on: Column, wanted: DataFrame, by: Column) -> DataFrame:
+def own_id(key: Column, text: Column) -> Column:
+    """The id as a long; for a null id a number made of the text, above all usual ids."""
+    made = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    return F.coalesce(key.cast("long"), made)
+
+
+def prefilter(df: DataFrame, on: Column, wanted: DataFrame, by: Column, flag: str | None = None) -> DataFrame:
     """Rows of ``df`` whose ``on`` may be among the values ``by`` of ``wanted``: none is lost, a few others stay.
 
+    With ``flag`` all rows stay, and a column of that name says which these are.
+
     Keeps rows that can't match out of the shuffle of the join that follows. What is sent around is a bitmap of
     ``SLOTS`` bits, whatever the size of ``wanted``; when that fills up, fewer rows are kept out.
     """
@@ -54,7 +62,9 @@ def prefilter(df: DataFrame, on: Column, wanted: DataFrame, by: Column) -> DataF
             keep = np.zeros(len(bucket), bool)
             known = page >= 0
             keep[known] = bits[page[known] * 32768 + bit[known]] > 0
-            rows = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(rows.columns[2:], names=names)
+            if flag:
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(keep)], names=[*names, flag])
+            else:
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[2:], names=names)
 
-    return marked.mapInArrow(run, df.schema)
+    return marked.mapInArrow(run, df.schema.add(flag, "boolean") if flag else df.schema)

@@ -205,11 +205,12 @@ def extract(html: str) -> str:
 
 
 def main_text(pages: DataFrame, columns: list[str], html: str = "html") -> DataFrame:
-    """``columns`` of every page, then ``text, n_chars``.
+    """``columns`` of every page, then ``text, n_chars``, which replace columns of these names.
 
     A null or empty page, and one without text outside the skipped elements, has the empty text. A page cut off inside
     a tag ends before that tag. Every row is returned, repeated ones too; other columns are not read.
     """
+    columns = [c for c in columns if c not in ("text", "n_chars")]
     fields = [pages.schema[c] for c in columns]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 

@@ -178,7 +178,7 @@ def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER,
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row, then ``lang_pred, score, bits_per_byte``.
+    """``columns`` of every row, then ``lang_pred, score, bits_per_byte``, which replace columns of these names.
 
     ``score`` is the winner's share when every language gets ``2 ** -bits``, the bits scaled to ``EVIDENCE`` bytes of
     text at most. A null text, one without any letter, and every text if no language was learned are ``und`` with
@@ -187,6 +187,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "tex
     """
     # The model's size is bounded by the training bytes and the number of languages.
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    columns = [c for c in columns if c not in ("lang_pred", "score", "bits_per_byte")]
     fields = [docs.schema[c] for c in columns]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
