@@ -23,6 +23,8 @@ from plumbline.llm.arrays import chunks, tables
 ORDER = 4
 # Bytes of training text per language, on average; whole texts are drawn by a hash of their key.
 TRAIN_BYTES = 3_000_000
+# Languages learned at most, those with most text.
+LANGUAGES = 1000
 # Bytes of evidence after which the score grows no more certain.
 EVIDENCE = 64
 UNKNOWN = "und"
@@ -171,9 +173,10 @@ def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER,
     labelled = docs.where(learnt_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     share = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.greatest("bytes", F.lit(1)))
-    sample = labelled.join(sizes.withColumn("share", share).select("lang", "share"), "lang")
+    # One row a language, so the texts drawn are chosen before anything is shuffled.
+    shares = sizes.orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).select("lang", share.alias("share"))
     drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = sample.where(drawn).select("lang", "text")
+    sample = labelled.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text")
     return Model(train(sample, order), order)
 
 
