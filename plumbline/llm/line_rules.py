@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import bounds, chunks, windows, words
+from plumbline.llm.common import prefilter
+from plumbline.plans.lineage import materialize
 
 CONTENT, BOILERPLATE = 0, 1
 SYMBOLS = b"#*$%&|<>"
@@ -207,9 +209,9 @@ def learn(docs: DataFrame, quality: DataFrame, doc_id: str = "doc_id", text: str
     sizes = quality.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(TRAIN_TEXTS)) / F.col("n"))
     drawn = quality.join(sizes, "quality").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
-        drawn.select("doc_id", "quality").dropDuplicates(["doc_id"]), "doc_id"
-    )
+    drawn = materialize(drawn.select("doc_id", "quality").dropDuplicates(["doc_id"]), "drawn")
+    # Texts that aren't drawn stay out of the shuffle.
+    rows = prefilter(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), F.col("doc_id"), drawn, F.col("doc_id")).join(drawn, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
