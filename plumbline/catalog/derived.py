@@ -140,7 +140,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
                 F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(".md")).alias("path"),
                 (n % 10 + 1).cast("int").alias("startLine"),
                 F.when(n % 13 == 0, 0).cast("int").alias("endLine"),
-                F.slice(tx.lines(F.col("text")), 1, 1).alias("quoted"),
+                tx.lines(F.col("text")).alias("quoted"),
             )
         ).alias("evidence"),
         F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")).alias("symbol"),
@@ -198,7 +198,7 @@ raw_findings AS (
     lang || ' document ' || docs.doc_id AS title,
     source || '/' || lang || '.md' AS ev_path, docs.doc_id % 10 + 1 AS ev_start,
     CASE WHEN docs.doc_id % 13 = 0 THEN 0 END AS ev_end,
-    list_slice({sql_lines('text')}, 1, 1) AS quoted,
+    {sql_lines('text')} AS quoted,
     nullif(regexp_extract(text, '[A-Za-z]+'), '') AS symbol,
     source AS anchor,
     CASE WHEN docs.doc_id % 7 <> 0 THEN 'why ' || source END AS why,

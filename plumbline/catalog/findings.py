@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.base import query, sql_fingerprint, sql_trim, table
+from plumbline.catalog.base import query, sql_fingerprint, sql_fp_norm, sql_trim, table
 from plumbline.catalog.derived import FINDINGS, findings
 from plumbline.operators import findings as fnd
 from plumbline.plans.lineage import materialize, scratch_path
@@ -12,26 +12,26 @@ from plumbline.sources import findings as intake
 from plumbline.sources import sarif
 
 ERRORS = f"""errs AS (
-  SELECT id, 'duplicate id: ' || id || ' (IDs are append-only, never reused)' AS error FROM findings WHERE status = 'rejected'
-  UNION ALL SELECT id, 'missing or empty field: why' FROM findings WHERE kind = 'ar' AND why IS NULL
-  UNION ALL SELECT id, 'verify must be one of Verified | Weakened | Falsified (got: undefined)' FROM findings WHERE kind = 'ar' AND verify IS NULL
-  UNION ALL SELECT id, 'remediation must be an object' FROM findings WHERE kind = 'ar' AND NOT has_remediation
-  UNION ALL SELECT id, 'kind dr ' || severity || ' finding requires a why' FROM findings WHERE kind = 'dr' AND severity IN ('critical', 'important', 'discuss') AND why IS NULL
-  UNION ALL SELECT id, 'kind dr ' || severity || ' finding requires a fix' FROM findings WHERE kind = 'dr' AND severity IN ('critical', 'important', 'suggestion') AND fix IS NULL
-  UNION ALL SELECT id, 'evidence[0].endLine must be an integer >= startLine' FROM findings WHERE ev_end IS NOT NULL
-  UNION ALL SELECT id, 'evidence[0].quoted must be a non-empty array of verbatim lines' FROM findings WHERE length({sql_trim('quoted[1]')}) = 0)"""
+  SELECT id, 'taken' AS code, 'id' AS field, id AS value FROM findings WHERE status = 'rejected'
+  UNION ALL SELECT id, 'empty', 'why', NULL FROM findings WHERE kind = 'ar' AND why IS NULL
+  UNION ALL SELECT id, 'not_allowed', 'verify', NULL FROM findings WHERE kind = 'ar' AND verify IS NULL
+  UNION ALL SELECT id, 'absent', 'remediation', NULL FROM findings WHERE kind = 'ar' AND NOT has_remediation
+  UNION ALL SELECT id, 'empty', 'why', severity FROM findings WHERE kind = 'dr' AND severity IN ('critical', 'important', 'discuss') AND why IS NULL
+  UNION ALL SELECT id, 'empty', 'fix', severity FROM findings WHERE kind = 'dr' AND severity IN ('critical', 'important', 'suggestion') AND fix IS NULL
+  UNION ALL SELECT id, 'out_of_range', 'evidence[0].endLine', CAST(ev_end AS VARCHAR) FROM findings WHERE ev_end IS NOT NULL
+  UNION ALL SELECT id, 'empty_list', 'evidence[0].quoted', NULL FROM findings WHERE len(list_filter(quoted, lambda q: length({sql_trim('q')}) = 0)) > 0)"""
 
 
-@query("validate_records", f"WITH {FINDINGS}, {ERRORS} SELECT id, error FROM errs")
+@query("validate_records", f"WITH {FINDINGS}, {ERRORS} SELECT id, code, field, value FROM errs")
 def validate_records(spark, d):
     f = findings(spark, d)
     known = f.where("status = 'rejected'").select("id")
-    return fnd.validate_records(f, known_ids=known).select("id", F.explode("errors").alias("error"))
+    return fnd.validate_records(f, known_ids=known).select("id", F.explode("errors").alias("e")).select("id", "e.*")
 
 
 @query(
     "append_findings",
-    f"""WITH {FINDINGS}, {ERRORS} SELECT id, fp, status FROM findings WHERE id NOT IN (SELECT id FROM errs WHERE NOT starts_with(error, 'duplicate'))""",
+    f"""WITH {FINDINGS}, {ERRORS} SELECT id, fp, status FROM findings WHERE id NOT IN (SELECT id FROM errs WHERE code <> 'taken')""",
 )
 def append_findings(spark, d):
     stored, refused = scratch_path(spark, "findings"), scratch_path(spark, "refused")
@@ -46,9 +46,9 @@ def append_findings(spark, d):
 
 NDJSON = f"""WITH {FINDINGS}, l AS (SELECT n, id, CASE WHEN n % 19 = 0 THEN NULL ELSE lens END AS lens, CASE WHEN n % 23 = 0 THEN CAST([] AS VARCHAR[]) ELSE quoted END AS quoted, symbol FROM findings)
 SELECT CASE WHEN n % 29 = 0 THEN NULL ELSE id END AS id,
-  CASE WHEN n % 29 <> 0 AND lens IS NOT NULL AND len(quoted) > 0 AND length({sql_trim('quoted[1]')}) > 0 THEN {sql_fingerprint('lens', 'quoted', 'symbol')} END AS fp,
-  CASE WHEN n % 29 = 0 THEN 'bad JSON' WHEN lens IS NULL THEN 'missing or empty ''lens''' WHEN len(quoted) = 0 THEN 'empty ''quoted'' array'
-    WHEN length({sql_trim('quoted[1]')}) = 0 THEN '''quoted'' evidence is empty after normalisation' END AS error FROM l"""
+  CASE WHEN n % 29 <> 0 AND lens IS NOT NULL AND len(list_filter(quoted, lambda q: length({sql_fp_norm('q')}) > 0)) > 0 THEN {sql_fingerprint('lens', 'quoted', 'symbol')} END AS fp,
+  CASE WHEN n % 29 = 0 THEN 'not_json' WHEN lens IS NULL THEN 'lens_empty' WHEN len(quoted) = 0 THEN 'quoted_empty'
+    WHEN len(list_filter(quoted, lambda q: length({sql_fp_norm('q')}) > 0)) = 0 THEN 'quoted_blank' END AS error FROM l"""
 
 
 def ndjson_lines(spark, d):

@@ -191,12 +191,13 @@ def topo_levels_acyclic(spark, d):
 
 
 # Symbols of a document: lines that start with a capitalised ASCII word.
-SYMBOL = {"declaration_re": r"(?m)^([A-Z][a-z]+)(?![A-Za-z0-9_])", "name_group": 1, "behavioural": (",",)}
+SYMBOL = {"declaration_re": r"(?m)^([A-Z][a-z]+)(?![A-Za-z0-9_])", "name_group": 1, "behavioural": ("[^,]*,",)}
+WORDS = {"identifier_re": "[A-Za-z0-9_]+"}
 SYMBOLS = """l AS (SELECT doc_id AS doc, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 h AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z][a-z]+([^A-Za-z0-9_]|$)') THEN line_no END AS own FROM l),
 g AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sym FROM h),
 s AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY sym) AS i, string_agg(line, chr(10) ORDER BY line_no) AS body FROM g WHERE sym IS NOT NULL GROUP BY doc, sym),
-sy AS (SELECT doc, i, regexp_extract(body, '^[A-Z][a-z]+') AS name, list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+')) AS words, contains(body[1:160], ',') AS behavioral FROM s)"""
+sy AS (SELECT doc, i, regexp_extract(body, '^[A-Z][a-z]+') AS name, list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+')) AS words, contains(body, ',') AS behavioral FROM s)"""
 COHESION = f"""{SYMBOLS}, e AS (SELECT x.doc * 1000000 + x.i AS a, x.doc * 1000000 + y.i AS b FROM sy x JOIN sy y ON x.doc = y.doc AND x.i <> y.i AND list_contains(x.words, y.name)),
 {COMPONENTS},
 coh AS (SELECT doc, count(*) AS symbols, count(CASE WHEN behavioral THEN 1 END) AS behavioral,
@@ -209,7 +210,7 @@ coh AS (SELECT doc, count(*) AS symbols, count(CASE WHEN behavioral THEN 1 END)
       round(CASE WHEN symbols >= 2 THEN 1 - (components - 1) / (symbols - 1) END, 6) AS cohesion FROM documents LEFT JOIN coh ON coh.doc = doc_id""",
 )
 def cohesion(spark, d):
-    return graph.cohesion(table(spark, d, "documents"), **SYMBOL).withColumn("cohesion", F.round("cohesion", 6))
+    return graph.cohesion(table(spark, d, "documents"), **WORDS, **SYMBOL).withColumn("cohesion", F.round("cohesion", 6))
 
 
 GOD = f"""{DOCS}, {PROFILE}, {COHESION},
@@ -225,7 +226,7 @@ def _measured(spark, d):
 
     t = sized_docs(spark, d)
     rules = [("digits", "[0-9]"), ("shout", "!!"), ("mail", "@"), ("license", "Licen[sc]e")]
-    coh = graph.cohesion(table(spark, d, "documents"), **SYMBOL).withColumnRenamed("doc", "doc_id")
+    coh = graph.cohesion(table(spark, d, "documents"), **WORDS, **SYMBOL).withColumnRenamed("doc", "doc_id")
     return t.withColumn("cats", F.size(categories(F.array("text"), rules)).cast("bigint")).drop("text").join(coh, "doc_id", "left")
 
 

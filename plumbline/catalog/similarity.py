@@ -16,17 +16,22 @@ kept AS (SELECT doc, line, row_number() OVER (PARTITION BY doc ORDER BY raw_no)
   WHERE length(line) >= 12 AND NOT regexp_matches(line, '^(?:import\\b|export\\s+\\{{|export\\s+\\*|export\\s+type\\b|//|/\\*|\\*|@)')
     AND NOT regexp_matches(line, '^[A-Za-z_$][\\w$]*,?$') AND NOT regexp_matches(line, '^[)}}\\];,{{(]+$')),
 seqs AS (SELECT doc, line, pos FROM kept WHERE n >= 8),
-sets AS (SELECT DISTINCT doc, line FROM seqs)"""
+sets AS (SELECT DISTINCT doc, line FROM seqs),
+sets_rep AS (SELECT doc, min(doc) OVER (PARTITION BY f) AS rep FROM (SELECT doc, list(line ORDER BY pos) AS f FROM seqs GROUP BY doc))"""
 
 SKETCH = f"""toks AS (SELECT doc_id AS doc, {sql_tokens('text')} AS t FROM documents),
 sk AS (SELECT doc, list_slice(list_sort(list_distinct(list_transform(range(1, len(t) - 7),
     lambda i: CAST('0x' || substr(md5(array_to_string(t[i:i + 8], ' ')), 1, 15) AS BIGINT)))), 1, 128) AS hashes FROM toks WHERE len(t) >= 120),
-sketches AS (SELECT doc, unnest(hashes) AS h FROM sk)"""
+sketches AS (SELECT doc, unnest(hashes) AS h FROM sk),
+sketches_rep AS (SELECT doc, min(doc) OVER (PARTITION BY hashes) AS rep FROM sk)"""
 
 
 def _candidates(rel: str, key: str) -> str:
-    return f"""SELECT DISTINCT x.doc AS a, y.doc AS b FROM {rel} x JOIN {rel} y ON x.{key} = y.{key} AND x.doc < y.doc
-      WHERE x.{key} IN (SELECT {key} FROM {rel} GROUP BY {key} HAVING count(*) BETWEEN 2 AND 6)"""
+    """Pairs under the fan-out among different documents, and each copy with the first of its kind."""
+    single = f"(SELECT * FROM {rel} WHERE doc IN (SELECT doc FROM {rel}_rep WHERE doc = rep))"
+    return f"""SELECT DISTINCT x.doc AS a, y.doc AS b FROM {single} x JOIN {single} y ON x.{key} = y.{key} AND x.doc < y.doc
+      WHERE x.{key} IN (SELECT {key} FROM {single} GROUP BY {key} HAVING count(*) BETWEEN 2 AND 6)
+      UNION SELECT rep, doc FROM {rel}_rep WHERE rep < doc"""
 
 
 @query("minhash_sketch", f"WITH {SKETCH} SELECT doc, CAST(len(hashes) AS BIGINT) AS n, list_min(hashes) AS lowest, list_max(hashes) AS highest FROM sk")
@@ -42,6 +47,33 @@ def candidate_pairs(spark, d):
     return similarity.candidate_pairs(materialize(similarity.line_sequences(table(spark, d, "documents")), "sequences"))
 
 
+COPIES = """copied AS (SELECT doc_id * 10000 + unnest(range(CASE WHEN doc_id = 13 THEN 1000 WHEN doc_id = 11 THEN 40 WHEN doc_id % 40 = 7 THEN 7 ELSE 1 END)) AS doc_id, text FROM documents)"""
+
+
+@query(
+    "candidate_pairs_copies",
+    f"WITH {COPIES}, {SEQ.replace('FROM documents', 'FROM copied')} {_candidates('sets', 'line')}",
+)
+def candidate_pairs_copies(spark, d):
+    """All documents, some of them 7, 40 and 1000 times."""
+    n = F.col("doc_id")
+    times = F.when(n == 13, 1000).when(n == 11, 40).when(n % 40 == 7, 7).otherwise(1)
+    copied = table(spark, d, "documents").select(n.alias("own"), F.explode(F.sequence(F.lit(0), times - 1)).alias("i"), "text")
+    copied = copied.select((F.col("own") * 10000 + F.col("i")).alias("doc_id"), "text")
+    return similarity.candidate_pairs(materialize(similarity.line_sequences(copied), "sequences"))
+
+
+@query(
+    "hash_groups",
+    f"""WITH {SEQ} SELECT line_docs AS docs, count(*) AS lines, min(first_doc) AS first_doc FROM (SELECT line, count(*) AS line_docs, min(doc) AS first_doc
+      FROM sets WHERE doc IN (SELECT doc FROM sets_rep WHERE doc = rep) GROUP BY line) WHERE line_docs > 6 GROUP BY line_docs""",
+)
+def hash_groups(spark, d):
+    """Boilerplate lines by how many different documents hold them."""
+    groups = similarity.hash_groups(materialize(similarity.line_sequences(table(spark, d, "documents")), "sequences"))
+    return groups.where("docs > 6").groupBy("docs").agg(F.count(F.lit(1)).alias("lines"), F.min("first_doc").alias("first_doc"))
+
+
 OVERLAP = f"""cand AS ({_candidates('sets', 'line')}),
 sizes AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
 shared AS (SELECT a, b, count(*) AS shared FROM cand JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b AND y.line = x.line GROUP BY ALL)"""
@@ -78,7 +110,7 @@ def longest_common_run(spark, d):
     return similarity.longest_common_run(similarity.candidate_pairs(seq), seq)
 
 
-FLAGGED = f"""{SEQ}, {SKETCH}, cand AS (SELECT DISTINCT a, b FROM ({_candidates('sets', 'line')} UNION ALL {_candidates('sketches', 'h')})),
+FLAGGED = f"""{SEQ}, {SKETCH}, cand AS (SELECT a, b FROM ({_candidates('sets', 'line')}) UNION SELECT a, b FROM ({_candidates('sketches', 'h')})),
 sizes AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
 shared AS (SELECT a, b, count(*) AS shared FROM cand JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b AND y.line = x.line GROUP BY ALL),
 inter AS (SELECT a, b, count(*) AS n FROM cand JOIN sketches x ON x.doc = a JOIN sketches y ON y.doc = b AND y.h = x.h GROUP BY ALL),

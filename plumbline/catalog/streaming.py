@@ -22,27 +22,31 @@ def stream_fingerprint(spark, d):
 
 @query(
     "stream_intake",
-    f"WITH {FINDINGS}, {ERRORS} SELECT id, fp FROM findings WHERE id NOT IN (SELECT id FROM errs WHERE NOT starts_with(error, 'duplicate'))",
+    f"""WITH {FINDINGS}, {ERRORS}, bad AS (SELECT id, count(*) AS n FROM errs WHERE code <> 'taken' GROUP BY id)
+    SELECT id, 'stored' AS side, fp, CAST(0 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS rows FROM findings WHERE id NOT IN (SELECT id FROM bad)
+    UNION ALL SELECT id, 'rejected', NULL, 1, 2 FROM findings WHERE id NOT IN (SELECT id FROM bad)
+    UNION ALL SELECT id, 'rejected', NULL, n + (k = 1)::BIGINT, CASE WHEN k = 0 THEN 2 ELSE 1 END FROM bad, (SELECT unnest([0, 1]) AS k)""",
 )
 def stream_intake(spark, d):
     landing, stored, refused, state = (scratch_path(spark, n) for n in ("landing", "findings", "refused", "state"))
     f = findings(spark, d).drop("fp")
-    # Every record arrives twice, in two drops: the second arrival must not be stored again.
-    dated = f.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    dated.write.mode("append").parquet(landing)
+    # Every record arrives three times, twice in the first drop: repetitions are rejected, near and far.
+    f.unionByName(f).write.mode("append").parquet(landing)
     schema = spark.read.parquet(landing).schema
-    stream = lambda: intake.stream_intake(spark.readStream.schema(schema).parquet(landing).withColumn("fp", F.lit(None).cast("string")), stored, refused, state)
+    stream = lambda: intake.stream_intake(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(landing).withColumn("fp", F.lit(None).cast("string")), stored, refused, state)
     stream().awaitTermination()
-    dated.withColumn("ts", F.lit("2024-03-01 00:00:00").cast("timestamp")).write.mode("append").parquet(landing)
+    f.write.mode("append").parquet(landing)
     stream().awaitTermination()
-    return spark.read.parquet(stored).select("id", "fp")
+    kept = spark.read.parquet(stored).select("id", F.lit("stored").alias("side"), "fp", F.lit(0).cast("bigint").alias("errors"))
+    lost = spark.read.parquet(refused).select("id", F.lit("rejected").alias("side"), F.lit(None).cast("string").alias("fp"), F.size("errors").cast("bigint").alias("errors"))
+    return kept.unionByName(lost).groupBy("id", "side", "fp", "errors").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
     "stream_churn",
-    """WITH w AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events), p AS (SELECT unnest([0, 1, 2]) AS k),
-    x AS (SELECT user_id AS item, (s // 86400 - k) * 86400 AS start FROM w, p), m AS (SELECT max(epoch_us(ts)) / 1000000.0 - 3600 AS mark FROM events)
-    SELECT item, CAST(start AS BIGINT) AS start, count(*) AS commits FROM x, m WHERE start + 3 * 86400 <= mark GROUP BY item, start""",
+    """WITH w AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events), p AS (SELECT unnest([0, 1, 2]) AS k),
+    x AS (SELECT user_id AS item, event_type, (s // 86400 - k) * 86400 AS start FROM w, p), m AS (SELECT max(epoch_us(ts)) / 1000000.0 - 3600 AS mark FROM events)
+    SELECT item, CAST(start AS BIGINT) AS start, count(*) AS commits, count(DISTINCT event_type) AS actors FROM x, m WHERE start + 3 * 86400 <= mark GROUP BY item, start""",
 )
 def stream_churn(spark, d):
     out, state = scratch_path(spark, "churn"), scratch_path(spark, "state")
@@ -51,7 +55,7 @@ def stream_churn(spark, d):
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(source)
     changes = events.select(F.col("user_id").alias("item"), F.col("event_type").alias("actor"), F.col("ts").cast("timestamp").alias("ts"))
     intake.stream_churn(changes, out, state, window="3 days", slide="1 day", late="1 hour").awaitTermination()
-    return spark.read.parquet(out).select("item", F.unix_seconds("window_start").alias("start"), "commits")
+    return spark.read.parquet(out).select("item", F.unix_seconds("window_start").alias("start"), "commits", "actors")
 
 
 @query(

@@ -241,11 +241,11 @@ def front_matter(spark, d):
 @query(
     "doc_lint",
     f"""WITH {ARTIFACT}, a AS (SELECT *, replace(text, '```py' || chr(10) || ' ' || chr(10) || '```', '') AS prose FROM artifacts)
-    SELECT doc_id, 'missing frontmatter field: commit' AS error FROM a WHERE doc_id % 3 = 0
-    UNION ALL SELECT doc_id, 'unfilled template token in prose: {{fill me}}' FROM a WHERE doc_id % 2 = 0 AND contains(prose, 'TODO {{fill me}}')
-    UNION ALL SELECT doc_id, 'placeholder left in prose: TODO' FROM a WHERE regexp_matches(prose, '(^|[^A-Za-z0-9_])TODO([^A-Za-z0-9_]|$)')
-    UNION ALL SELECT doc_id, 'empty code fence (```py)' FROM a WHERE doc_id % 7 = 0
-    UNION ALL SELECT doc_id, 'parent artifact not found: ' || source || '/' || (doc_id // 2) FROM a
+    SELECT doc_id, 'empty' AS code, 'commit' AS field, NULL::VARCHAR AS value FROM a WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'open_token', NULL, '{{fill me}}' FROM a WHERE doc_id % 2 = 0 AND contains(prose, 'TODO {{fill me}}')
+    UNION ALL SELECT doc_id, 'placeholder', NULL, 'TODO' FROM a WHERE regexp_matches(prose, '(^|[^A-Za-z0-9_])TODO([^A-Za-z0-9_]|$)')
+    UNION ALL SELECT doc_id, 'empty_fence', NULL, 'py' FROM a WHERE doc_id % 7 = 0
+    UNION ALL SELECT doc_id, 'lost', 'parent', source || '/' || (doc_id // 2) FROM a
       WHERE doc_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.source || '/' || o.doc_id = a.source || '/' || (a.doc_id // 2))""",
 )
 def doc_lint(spark, d):

@@ -64,11 +64,11 @@ def fingerprint(lens: Column, quoted: Column, symbol: Column) -> Column:
 
 
 def fingerprint_error(lens: Column, quoted: Column) -> Column:
-    """NULL when the record can be fingerprinted, else the reason."""
+    """NULL when the record can be fingerprinted, else a code: which part is absent, empty or of another type."""
+    no_quote = F.coalesce(F.size(quoted) == 0, F.lit(True))
     return (
-        F.when(lens.isNull() | (F.length(trim_ws(lens)) == 0), F.lit("missing or empty 'lens'"))
-        .when(quoted.isNull(), F.lit("missing 'quoted'/'quotedLines'"))
-        .when(F.size(quoted) == 0, F.lit("empty 'quoted' array"))
-        .when(F.exists(quoted, lambda q: q.isNull()), F.lit("'quoted' must be a string or an array of strings"))
-        .when(F.size(fingerprint_lines(quoted)) == 0, F.lit("'quoted' evidence is empty after normalisation"))
+        F.when(F.coalesce(F.length(trim_ws(lens)) == 0, F.lit(True)), F.lit("lens_empty"))
+        .when(no_quote, F.when(quoted.isNull(), F.lit("quoted_absent")).otherwise(F.lit("quoted_empty")))
+        .when(F.exists(quoted, F.isnull), F.lit("quoted_not_text"))
+        .when(F.size(fingerprint_lines(quoted)) == 0, F.lit("quoted_blank"))
     )

@@ -26,10 +26,13 @@ DECLARATION_RE = (
     r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function\*?|class|const|let|var|interface|type|enum)\s+"
     r"([A-Za-z_$][\w$]*)"
 )
-BEHAVIOURAL_KEYWORD_RE = r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class)"
+BEHAVIOURAL_KEYWORD_RE = r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class)"
 BEHAVIOURAL_VALUE_RE = (
-    r"=\s*(?:async\s+)?(?:function(?![A-Za-z0-9_])|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)"
+    r"{declaration}(?:[^=]|=>)*?=\s*(?:async\s+)?(?:function(?![A-Za-z0-9_])|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)"
 )
+BEHAVIOURAL = (BEHAVIOURAL_KEYWORD_RE, BEHAVIOURAL_VALUE_RE)
+# A whole identifier as the declarations name them.
+IDENTIFIER_RE = r"(?<![\w$])[A-Za-z_$][\w$]*"
 
 
 class NotConverged(RuntimeError):
@@ -103,23 +106,21 @@ def symbol_array(
     text: Column,
     declaration_re: str = DECLARATION_RE,
     name_group: int = 2,
-    behavioural: tuple[str, ...] = (BEHAVIOURAL_KEYWORD_RE, BEHAVIOURAL_VALUE_RE),
-    head: int = 160,
+    behavioural: tuple[str, ...] = BEHAVIOURAL,
 ) -> Column:
     """``array<struct<name, body, behavioral>>`` of a text's top-level declarations.
 
     The text is cut in front of each declaration; the piece is the symbol's
-    body. A symbol is behavioural when the first ``head`` characters of its
-    declaration match one of the patterns.
+    body. A symbol is behavioural when one of the patterns matches at the
+    beginning of its piece; ``{declaration}`` in a pattern stands for the declaration.
     """
     at_line = declaration_re.removeprefix("(?m)^")
     pieces = F.split(text, f"(?md)(?=^{at_line})")
 
     def symbol(piece: Column) -> Column:
-        lead = F.substring(piece, 1, head)
         is_behavioural = F.lit(False)
         for pattern in behavioural:
-            is_behavioural = is_behavioural | lead.rlike(pattern)
+            is_behavioural = is_behavioural | piece.rlike("\\A" + pattern.replace("{declaration}", f"(?:{at_line})"))
         return F.struct(
             F.regexp_extract(piece, f"\\A{at_line}", name_group).alias("name"),
             piece.alias("body"),
@@ -136,55 +137,53 @@ def symbols(docs: DataFrame, doc: str = "doc_id", text: str = "text", **pattern)
     )
 
 
-def cohesion(docs: DataFrame, doc: str = "doc_id", text: str = "text", **pattern) -> DataFrame:
+def islands(links: Column, n: Column) -> Column:
+    """Number of components of the positions 1..``n`` under ``links`` (array of pairs ``x, y``), inside the row."""
+    labels = F.aggregate(
+        links,
+        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+        lambda l, e: F.when(F.get(l, e["x"] - 1) == F.get(l, e["y"] - 1), l).otherwise(
+            F.transform(
+                l,
+                lambda v: F.when(
+                    v == F.greatest(F.get(l, e["x"] - 1), F.get(l, e["y"] - 1)), F.least(F.get(l, e["x"] - 1), F.get(l, e["y"] - 1))
+                ).otherwise(v),
+            )
+        ),
+    )
+    return F.size(F.array_distinct(labels))
+
+
+def cohesion(docs: DataFrame, doc: str = "doc_id", text: str = "text", identifier_re: str = IDENTIFIER_RE, **pattern) -> DataFrame:
     """``doc, symbols, behavioral, components, cohesion`` per document.
 
     A symbol is linked to every symbol of its document whose name occurs in its
-    body. Names, bodies and links all come from one row, so the links need no
-    join; the islands of all documents are then found in one run of the
-    component search. Cohesion is ``1 - (components - 1) / (symbols - 1)``, NULL
-    with fewer than two symbols.
+    body as a whole identifier; a body names its own symbol too, which ties
+    equally named symbols to the first of them. Names, bodies, links and islands
+    all belong to one row, so nothing is shuffled. Cohesion is
+    ``1 - (components - 1) / (symbols - 1)``, NULL with fewer than two symbols.
     """
     syms = docs.select(F.col(doc).alias("doc"), symbol_array(F.col(text), **pattern).alias("syms"))
-    names = F.transform("syms", lambda s: s["name"])
-    linked = F.transform(
-        F.col("syms"),
-        lambda s: F.transform(
-            F.array_intersect(tx.words(s["body"]), F.col("names")), lambda n: F.array_position(F.col("names"), n)
-        ),
-    )
-    base = materialize(
-        syms.withColumn("names", names).select(
-            "doc",
-            F.size("syms").cast("bigint").alias("symbols"),
-            F.size(F.filter("syms", lambda s: s["behavioral"])).cast("bigint").alias("behavioral"),
-            linked.alias("linked"),
-        ),
-        "symbols",
-    )
-    # A body names its own symbol too, which ties equally named symbols to the first of them.
-    links = (
-        base.select("doc", F.posexplode("linked").alias("i", "to"))
-        .select("doc", (F.col("i") + 1).cast("bigint").alias("x"), F.explode("to").alias("y"))
-        .where(F.col("x") != F.col("y"))
-    )
-    node = lambda c: F.struct("doc", F.col(c).alias("pos"))
-    comp = connected_components(links.select(node("x").alias("a"), node("y").alias("b")))
-    merged = (
-        comp.where(F.col("node") != F.col("component"))
-        .groupBy(F.col("node.doc").alias("doc"))
-        .agg(F.count(F.lit(1)).alias("merged"))
-    )
-    return (
-        base.select("doc", "symbols", "behavioral")
-        .join(merged, "doc", "left")
-        .withColumn("components", F.col("symbols") - F.coalesce("merged", F.lit(0)))
-        .withColumn(
-            "cohesion",
-            F.when(F.col("symbols") >= 2, 1 - (F.col("components") - 1) / (F.col("symbols") - 1)),
+    # Positions are bound once per row; the islands use them several times.
+    named = syms.withColumn("names", F.transform("syms", lambda s: s["name"]))
+    links = F.flatten(
+        F.transform(
+            "syms",
+            lambda s, i: F.transform(
+                F.array_intersect(F.regexp_extract_all(s["body"], F.lit(identifier_re), F.lit(0)), F.col("names")),
+                lambda n: F.struct((i + 1).alias("x"), F.array_position(F.col("names"), n).cast("int").alias("y")),
+            ),
         )
-        .select("doc", "symbols", "behavioral", "components", "cohesion")
     )
+    record = F.struct(
+        F.size("syms").alias("n"),
+        F.size(F.filter("syms", lambda s: s["behavioral"])).alias("b"),
+        F.filter(links, lambda e: e["x"] != e["y"]).alias("links"),
+    )
+    base = named.select("doc", F.explode(F.array(record)).alias("r"))
+    symbols, components = F.col("r.n").cast("bigint"), islands(F.col("r.links"), F.col("r.n")).cast("bigint")
+    out = base.select("doc", symbols.alias("symbols"), F.col("r.b").cast("bigint").alias("behavioral"), components.alias("components"))
+    return out.withColumn("cohesion", F.when(F.col("symbols") >= 2, 1 - (F.col("components") - 1) / (F.col("symbols") - 1)))
 
 
 def barrels(docs: DataFrame, syms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

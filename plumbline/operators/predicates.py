@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.functions import text as tx
+from plumbline.functions.problems import found, problem
 from plumbline.functions.hashing import body_hash
 
 # First matching rule wins.
@@ -128,48 +129,27 @@ def pattern_scan(docs: DataFrame, rules: Sequence[tuple[str, str]], doc: str = "
 
 
 def lint_errors(fm: Column, body: Column, kind: Column, finalizing: bool = False) -> Column:
-    """Array of lint messages of one document."""
-    empty = F.array().cast("array<string>")
+    """Array of problems (``code, field, value``) of one document."""
     value = lambda k: F.try_element_at(fm, F.lit(k))
-    absent = lambda k: F.coalesce(F.length(tx.trim_ws(value(k))) == 0, F.lit(True))
-    missing = lambda k: F.concat(F.lit("missing frontmatter field: "), F.lit(k))
-    core = [F.when(absent(k), missing(k)) for k in CORE_FIELDS]
-    extra = [F.when((kind == name) & absent(k), missing(k)) for name, keys in EXTRA_FIELDS.items() for k in keys]
+    unset = lambda k: F.coalesce(F.length(tx.trim_ws(value(k))) == 0, F.lit(True))
     prose = tx.strip_code(body)
-    closing = F.coalesce(value("status") == "ready", F.lit(False)) | F.lit(finalizing)
-    tokens = F.transform(
-        F.array_distinct(tx.extract_tokens(prose, TOKEN_RE, 0)),
-        lambda t: F.concat(F.lit("unfilled template token in prose: "), t),
-    )
-    placeholders = F.transform(
-        F.array_distinct(tx.extract_tokens(prose, PLACEHOLDER_RE, 1)),
-        lambda t: F.concat(F.lit("placeholder left in prose: "), t),
-    )
-    fences = F.transform(
-        F.filter(
-            tx.extract_tokens(body, FENCE_RE, 0),
-            lambda b: F.length(tx.trim_ws(F.regexp_extract(b, FENCE_RE, 2))) == 0,
-        ),
-        lambda b: F.concat(F.lit("empty code fence"), fence_label(F.trim(F.regexp_extract(b, FENCE_RE, 1)))),
-    )
     pinned = tx.trim_ws(value("content_hash"))
-    stale = F.when(
-        (F.length(pinned) > 0) & (body_hash(body) != pinned),
-        F.lit("content_hash mismatch: body edited after finalization (re-stamp if intentional)"),
+    fields = [(unset(k), problem("empty", k)) for k in CORE_FIELDS]
+    fields += [((kind == name) & unset(k), problem("empty", k)) for name, keys in EXTRA_FIELDS.items() for k in keys]
+    fields += [((F.length(pinned) > 0) & (body_hash(body) != pinned), problem("stale", "content_hash", pinned))]
+    each = lambda values, code: F.transform(F.array_distinct(values), lambda t: problem(code, None, t))
+    fences = F.filter(
+        tx.extract_tokens(body, FENCE_RE, 0), lambda b: F.length(tx.trim_ws(F.regexp_extract(b, FENCE_RE, 2))) == 0
     )
+    closing = F.coalesce(value("status") == "ready", F.lit(False)) | F.lit(finalizing)
     return F.concat(
-        F.array_compact(F.array(*core, *extra)),
-        F.when(closing, tokens).otherwise(empty),
-        placeholders,
-        fences,
-        F.array_compact(F.array(stale)),
+        found(fields),
+        each(F.when(closing, tx.extract_tokens(prose, TOKEN_RE, 0)).otherwise(F.array().cast("array<string>")), "open_token"),
+        each(tx.extract_tokens(prose, PLACEHOLDER_RE, 1), "placeholder"),
+        F.transform(fences, lambda b: problem("empty_fence", None, F.trim(F.regexp_extract(b, FENCE_RE, 1)))),
     )
 
 
-def fence_label(lang: Column) -> Column:
-    return F.when(F.length(lang) > 0, F.concat(F.lit(" (```"), lang, F.lit(")"))).otherwise(F.lit(""))
-
-
 def doc_lint(
     docs: DataFrame,
     doc: str = "path",
@@ -178,7 +158,7 @@ def doc_lint(
     universe: DataFrame | None = None,
     finalizing: bool = False,
 ) -> DataFrame:
-    """``doc, error``: one row per lint finding.
+    """``doc, code, field, value``: one row per lint finding.
 
     ``universe`` (paths of existing documents) enables the parent check, an
     anti join of declared parents.
@@ -190,16 +170,14 @@ def doc_lint(
         tx.body_of(F.col(text)).alias("body"),
         kind_col.alias("kind"),
     )
-    errors = prepared.select(doc, F.explode(lint_errors(F.col("fm"), F.col("body"), F.col("kind"), finalizing)).alias("error"))
+    errors = prepared.select(doc, F.explode(lint_errors(F.col("fm"), F.col("body"), F.col("kind"), finalizing)).alias("e")).select(doc, "e.*")
     if universe is None:
         return errors
     parents = prepared.select(doc, F.try_element_at("fm", F.lit("parent")).alias("_parent")).where(
         (F.length("_parent") > 0) & ~F.col("_parent").rlike(r"[{}]")
     )
     known = universe.select(F.col("path").alias("_parent")).distinct()
-    lost = parents.join(known, "_parent", "left_anti").select(
-        doc, F.concat(F.lit("parent artifact not found: "), "_parent").alias("error")
-    )
+    lost = parents.join(known, "_parent", "left_anti").select(doc, problem("lost", "parent", F.col("_parent")).alias("e")).select(doc, "e.*")
     return errors.unionByName(lost)
 
 

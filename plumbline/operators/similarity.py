@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from plumbline.functions import text as tx
 from plumbline.functions.hashing import line_hash
@@ -61,17 +56,41 @@ def minhash_sketch(
     return docs.select(F.col(doc).alias("doc"), F.explode(sketch).alias("hashes"))
 
 
+def equal_documents(features: DataFrame) -> DataFrame:
+    """``doc, rep``: each document and the smallest one with the same features (all columns but ``doc``)."""
+    same = [c for c in features.columns if c != "doc"]
+    keyed = features.select("doc", F.xxhash64(*same).alias("_f"), F.md5(F.to_json(F.struct(*same))).alias("_g"))
+    reps = keyed.groupBy("_f", "_g").agg(F.min("doc").alias("rep"))
+    return keyed.join(reps, ["_f", "_g"]).select("doc", "rep")
+
+
+def hash_groups(doc_hashes: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """``h, docs, first_doc``: distinct documents per hash, equal ones folded into one.
+
+    One row per hash whatever its spread; those above a fan-out are the lines that many texts share.
+    """
+    members = equal_documents(doc_hashes) if members is None else members
+    single = doc_hashes.join(members.where("doc = rep").select("doc"), "doc", "left_semi")
+    rows = single.select("doc", F.explode("hashes").alias("h"))
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first_doc"))
+
+
 def candidate_pairs(doc_hashes: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """``a, b`` (a < b): documents sharing a hash held by 2..``fanout`` documents.
-
-    ``doc_hashes`` is ``doc, hashes``. A hash held by more documents is
-    boilerplate by definition. Frequencies combine map-side; the most frequent
-    boilerplate hashes (a bounded list) are dropped by a broadcast anti join
-    before anything is shuffled by hash, so a line present in a third of the
-    corpus never reaches one task. What remains has at most ``fanout`` documents
-    per hash, hence at most ``fanout * (fanout - 1) / 2`` pairs.
+    """``a, b`` (a < b): documents sharing a hash held by 2..``fanout`` different documents, and equal documents.
+
+    ``doc_hashes`` is ``doc, hashes`` and may hold further features. Documents
+    with equal features are folded first: each is paired with the smallest of
+    them, which alone counts for the fan-out and meets the others, so any number
+    of copies is found in one row each. A hash held by more documents is
+    boilerplate by definition; ``hash_groups`` lists those. Frequencies combine
+    map-side; the most frequent boilerplate hashes (a bounded list) are dropped
+    by a broadcast anti join before anything is shuffled by hash. What remains
+    has at most ``fanout`` documents per hash, hence at most
+    ``fanout * (fanout - 1) / 2`` pairs.
     """
-    rows = doc_hashes.select("doc", F.explode("hashes").alias("h"))
+    members = materialize(equal_documents(doc_hashes), "members")
+    single = doc_hashes.join(members.where("doc = rep").select("doc"), "doc", "left_semi")
+    rows = single.select("doc", F.explode("hashes").alias("h"))
     freq = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     boilerplate = freq.where(F.col("df") > fanout).orderBy(F.col("df").desc(), "h").limit(HEAVY_KEYS).select("h")
     narrow = freq.where(F.col("df").between(2, fanout)).select("h")
@@ -85,7 +104,8 @@ def candidate_pairs(doc_hashes: DataFrame, fanout: int = FANOUT) -> DataFrame:
             ),
         )
     )
-    return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    met = groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    return met.unionByName(members.where("doc != rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, column: str, left: str, right: str) -> DataFrame:
@@ -120,64 +140,31 @@ def sketch_jaccard(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     ).drop("_ka", "_kb")
 
 
-def _rank(names: np.ndarray) -> np.ndarray:
-    return np.unique(names, return_inverse=True)[1].reshape(-1)
-
-
-def _run_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common contiguous run of two integer sequences.
+def longest_common_run(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Adds ``run``: the longest contiguous block of equal lines of both documents.
 
-    Every block of length 2^k gets a rank made from the ranks of its two halves.
-    The length is doubled while both sequences share a block, then refined bit
-    by bit. Memory stays linear in the inputs however often a value repeats.
+    Equal lines of a pair lie on diagonals. Only where a block begins or ends
+    (its neighbours differ) a row is made, so a text that repeats one line costs
+    a row per diagonal; on a diagonal beginnings and ends alternate.
     """
-    n, shortest = len(a), min(len(a), len(b))
-    both = np.concatenate([a, b])
-
-    def common(names: np.ndarray, length: int) -> bool:
-        """Do the sequences share a block? Blocks that span the seam are left out."""
-        return bool(np.intersect1d(names[: n - length + 1], names[n : n + len(b) - length + 1]).size)
-
-    def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        size = min(len(left), len(right))
-        return _rank(left[:size].astype(np.int64) * (len(both) + 1) + right[:size])
-
-    levels = [_rank(both)]
-    if not common(levels[0], 1):
-        return 0
-    width = 1
-    while 2 * width <= shortest:
-        doubled = join(levels[-1], levels[-1][width:])
-        if not common(doubled, 2 * width):
-            break
-        levels.append(doubled)
-        width *= 2
-    best, current = width, levels[-1]
-    for k in range(len(levels) - 1, -1, -1):
-        step = 1 << k
-        if best + step <= shortest:
-            grown = join(current, levels[k][best:])
-            if common(grown, best + step):
-                best, current = best + step, grown
-    return best
-
-
-@F.pandas_udf(LongType())
-def _common_run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        yield pd.Series(
-            [
-                0 if x is None or y is None or not len(x) or not len(y) else _run_length(np.asarray(x), np.asarray(y))
-                for x, y in zip(left, right, strict=True)
-            ],
-            dtype="int64",
-        )
-
-
-def longest_common_run(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds ``run``: the longest contiguous block of equal lines of both documents."""
-    both = with_sets(pairs, sequences, "seq", "_qa", "_qb")
-    return both.withColumn("run", F.coalesce(_common_run("_qa", "_qb"), F.lit(0))).drop("_qa", "_qb")
+    place = F.transform(
+        "seq", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.get("seq", i - 1).alias("before"), F.get("seq", i + 1).alias("after"))
+    )
+    lines = sequences.select("doc", F.explode(place).alias("x"))
+    side = lambda k: lines.select(
+        F.col("doc").alias(k), "x.h", *[F.col(f"x.{c}").alias(f"{c}_{k}") for c in ("pos", "before", "after")]
+    )
+    keys = pairs.select("a", "b").distinct()
+    left, right = keys.join(side("a"), "a"), keys.join(side("b"), "b")
+    differ = lambda x: F.col(f"{x}_a").isNull() | F.col(f"{x}_b").isNull() | (F.col(f"{x}_a") != F.col(f"{x}_b"))
+    edges = left.join(right, ["a", "b", "h"]).where(differ("before") | differ("after")).select(
+        "a", "b", (F.col("pos_a") - F.col("pos_b")).alias("diagonal"), F.col("pos_a").alias("pos"), differ("before").alias("begins"), differ("after").alias("ends")
+    )
+    on = Window.partitionBy("a", "b", "diagonal").orderBy("pos")
+    last = F.when(F.col("ends"), F.col("pos")).otherwise(F.lead("pos").over(on))
+    runs = edges.withColumn("run", last - F.col("pos") + 1).where("begins")
+    best = runs.groupBy("a", "b").agg(F.max("run").cast("bigint").alias("run"))
+    return pairs.join(best, ["a", "b"], "left").withColumn("run", F.coalesce("run", F.lit(0).cast("bigint")))
 
 
 def duplicate_scores(
@@ -190,24 +177,19 @@ def duplicate_scores(
     fanout: int = FANOUT,
     min_tokens: int = MIN_TOKENS,
     sketch_algorithm: str = "xxhash64",
-    examine: int | None = None,
 ) -> DataFrame:
     """``a, b, shared, overlap, token_sim, run, via`` of every flagged pair.
 
-    The run is computed for every pair that shares enough lines; ``examine``
-    restores the bounded examination of the strongest line candidates.
+    The run is computed for every pair that shares enough lines.
     """
     # Both feature tables feed several joins; the texts are read and hashed once.
     sequences = materialize(line_sequences(docs, doc, text, min_lines), "line-sequences")
     sketches = materialize(minhash_sketch(docs, doc, text, min_tokens=min_tokens, algorithm=sketch_algorithm), "sketches")
     pairs = candidate_pairs(sequences, fanout).unionByName(candidate_pairs(sketches, fanout)).distinct()
     scored = sketch_jaccard(overlap(pairs, sequences), sketches)
+    scored = materialize(scored, "scored")
     literal = scored.where(F.col("shared") >= min_run)
-    if examine is not None:
-        literal = literal.orderBy(F.col("shared").desc(), "a", "b").limit(examine)
-        rest = scored.join(literal.select("a", "b"), ["a", "b"], "left_anti")
-    else:
-        rest = scored.where(F.col("shared") < min_run)
+    rest = scored.where(F.col("shared") < min_run)
     runs = longest_common_run(literal, sequences).unionByName(rest.withColumn("run", F.lit(0).cast("bigint")))
     by_lines = F.col("run") >= min_run
     by_tokens = F.col("token_sim") >= min_sim

@@ -9,24 +9,20 @@ executor costs only the running stage: finished rounds live in shared storage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables, taken from the session's settings."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """Folder for intermediate tables: the session's ``spark.checkpoint.dir``, else its checkpoint folder.
+
+    It has to be shared by the driver and all executors, so none is made up here.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -46,29 +42,39 @@ class Accumulator:
     """Rows gathered over the rounds of a loop.
 
     Each round's rows are written once, next to the earlier ones, instead of
-    rewriting everything found so far; small pieces are merged now and then so
-    that the number of files read stays bounded.
+    rewriting everything found so far. ``FAN_IN`` pieces of one level are merged
+    into one of the next, so a row is rewritten logarithmically often and the
+    number of folders read stays small.
     """
 
-    MAX_PIECES = 24
+    FAN_IN = 16
 
     def __init__(self, first: DataFrame, name: str) -> None:
         self._spark = first.sparkSession
         self._schema = first.schema
         self._name = name
-        self._paths: list[str] = []
+        self._levels: list[list[str]] = []
         self.add(first)
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(*paths)
+
+    def _keep(self, path: str, level: int) -> None:
+        if level == len(self._levels):
+            self._levels.append([])
+        self._levels[level].append(path)
+        if len(self._levels[level]) == self.FAN_IN:
+            merged = scratch_path(self._spark, self._name)
+            self._read(self._levels[level]).write.mode("errorifexists").parquet(merged)
+            self._levels[level] = []
+            self._keep(merged, level + 1)
+
     def add(self, rows: DataFrame) -> DataFrame:
         """Store a round's rows and return just them."""
         path = scratch_path(self._spark, self._name)
         rows.select(*self._schema.fieldNames()).write.mode("errorifexists").parquet(path)
-        if len(self._paths) >= self.MAX_PIECES:
-            merged = scratch_path(self._spark, self._name)
-            self.all().write.mode("errorifexists").parquet(merged)
-            self._paths = [merged]
-        self._paths.append(path)
-        return self._spark.read.schema(self._schema).parquet(path)
+        self._keep(path, 0)
+        return self._read([path])
 
     def all(self) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(*self._paths)
+        return self._read([p for level in self._levels for p in level])

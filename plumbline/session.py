@@ -1,11 +1,13 @@
 """Session builder for local runs, tests and the benchmark.
 
-On a cluster the session comes from spark-submit; nothing in the operators
-depends on the settings below.
+On a cluster the session comes from spark-submit; its settings name the
+folder for intermediate tables. Here, on one machine, that is a temporary one.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,6 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "plumbline", **conf: str) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

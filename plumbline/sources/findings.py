@@ -30,7 +30,7 @@ def fingerprint_records(lines: DataFrame, value: str = "value") -> DataFrame:
     )
     quoted = F.coalesce(quoted_array(F.col("r.quoted")), quoted_array(F.col("r.quotedLines")))
     bad_json = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.col(value).rlike(r"\A\s*\{")
-    error = F.when(bad_json, F.lit("bad JSON")).otherwise(fingerprint_error(F.col("r.lens"), quoted))
+    error = F.when(bad_json, F.lit("not_json")).otherwise(fingerprint_error(F.col("r.lens"), quoted))
     return parsed.withColumn("error", error).select(
         F.when(~bad_json, F.col("r.id")).alias("id"),
         F.when(F.col("error").isNull(), fingerprint(F.col("r.lens"), quoted, F.col("r.symbol"))).alias("fp"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.hashing import fingerprint
 from plumbline.operators.findings import record_errors
 from plumbline.plans.lineage import materialize
-from plumbline.sources.findings import existing_ids, fingerprint_records
+from plumbline.sources.findings import fingerprint_records
 
 
 def stream_fingerprint(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -25,38 +25,62 @@ def stream_fingerprint(lines: DataFrame, out: str, checkpoint: str) -> Streaming
     )
 
 
-def stream_intake(
-    findings: DataFrame, table: str, rejected: str, checkpoint: str, ts: str = "ts", horizon: str = "7 days"
-) -> StreamingQuery:
+ID_BUCKETS = 256
+
+
+def id_bucket(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(ID_BUCKETS)).cast("int")
+
+
+def stored_ids(spark: SparkSession, ids: str, batch_id: int, buckets: list[int]) -> DataFrame | None:
+    """Ids accepted by other micro-batches, read from the buckets that this one touches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ids)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    schema = "id string, batch_id bigint, bucket int"
+    known = spark.read.schema(schema).parquet(ids)
+    return known.where(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id)).select("id").distinct()
+
+
+def stream_intake(findings: DataFrame, table: str, rejected: str, checkpoint: str) -> StreamingQuery:
     """Validate, fingerprint and append a findings stream; ids are never reused.
 
-    Repetitions inside the horizon are dropped by keyed state with a watermark.
-    Each micro-batch is then compared with the stored ids, which covers any
-    distance in time and also makes a replayed batch append nothing twice.
+    The first valid arrival of an id is stored; every repetition, in the same micro-batch or any time later, is rejected
+    with that reason. Accepted rows, their ids and rejected rows are each written to a folder of the micro-batch, which a
+    replayed batch overwrites, and ids are compared with other batches' only: a replay gives the same tables. Ids are
+    kept by hash bucket, so a small batch reads the buckets of its own ids. Unknown keys of the records, if the column
+    ``unknown_keys`` lists them, are errors.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = existing_ids(spark, table)
-        rows = batch.withColumn("_duplicate", F.lit(False))
+        rows = materialize(batch.withColumn("_bucket", id_bucket(F.col("id"))), "intake")
+        buckets = [r[0] for r in rows.select("_bucket").distinct().collect() if r[0] is not None]
+        known = stored_ids(spark, ids, batch_id, buckets)
+        names = [c for c in rows.columns if c not in ("_bucket", "unknown_keys")]
+        unknown = F.col("unknown_keys") if "unknown_keys" in rows.columns else None
+        own = rows.withColumn("_errors", record_errors(F.lit(False), unknown=unknown))
+        # Of equal ids the first valid row counts, in the order of its content; it alone can be stored.
+        order = Window.partitionBy("id").orderBy(F.size("_errors") > 0, F.xxhash64(*names))
+        ranked = own.withColumn("_nth", F.row_number().over(order)).drop("_errors")
+        duplicate = F.col("id").isNotNull() & (F.col("_nth") > 1)
         if known is not None:
-            rows = batch.join(known.distinct().withColumn("_duplicate", F.lit(True)), "id", "left").withColumn(
-                "_duplicate", F.coalesce("_duplicate", F.lit(False))
-            )
-        # Stored before the table grows: a cached plan would be recomputed after the append and see its own ids.
-        checked = materialize(rows.withColumn("errors", record_errors(F.col("_duplicate"))).drop("_duplicate"), "intake")
+            ranked = ranked.join(known.withColumn("_known", F.lit(True)), "id", "left")
+            duplicate = duplicate | F.coalesce("_known", F.lit(False))
+        checked = materialize(ranked.withColumn("errors", record_errors(duplicate, unknown=unknown)), "checked")
         quoted = F.flatten(F.transform("evidence", lambda e: e["quoted"]))
-        good = checked.where(F.size("errors") == 0).drop("errors")
-        good.withColumn("fp", fingerprint(F.col("lens"), quoted, F.col("symbol"))).write.mode("append").parquet(table)
-        checked.where(F.size("errors") > 0).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejected)
+        good = checked.where(F.size("errors") == 0)
+        stored = good.select(*names).withColumn("fp", fingerprint(F.col("lens"), quoted, F.col("symbol")))
+        number = F.lit(batch_id).cast("bigint")
+        place = lambda root: f"{root}/batch_id={batch_id}"
+        good.select("id", F.col("_bucket").alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(place(ids))
+        stored.write.mode("overwrite").parquet(place(table))
+        bad = checked.where(F.size("errors") > 0).select(*names, "errors")
+        bad.withColumn("rejected_in", number).write.mode("overwrite").parquet(place(rejected))
 
+    ids = f"{table.rstrip('/')}-ids"
     return (
-        findings.withWatermark(ts, horizon)
-        .dropDuplicatesWithinWatermark(["id"])
-        .writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(append)
-        .start()
+        findings.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
     )
 
 
@@ -65,13 +89,19 @@ def churn_windows(
 ) -> DataFrame:
     """``window_start, window_end, item, commits, actors`` over sliding windows.
 
-    Rows later than the watermark are dropped by the stream; that rule is this
-    library's, the batch operator has none.
+    Changes are counted per actor first and those counts per item, so the state
+    holds one row per actor and the actors are exact. Rows later than the
+    watermark are dropped by the stream; that rule is this library's, the batch
+    operator has none.
     """
-    return (
+    by_actor = (
         changes.withWatermark(ts, late)
-        .groupBy(F.window(ts, window, slide).alias("w"), F.col(item))
-        .agg(F.count(F.lit(1)).alias("commits"), F.approx_count_distinct(actor).alias("actors"))
+        .groupBy(F.window(ts, window, slide).alias("w"), F.col(item), F.col(actor).alias("actor"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        by_actor.groupBy("w", item)
+        .agg(F.sum("n").alias("commits"), F.count("actor").alias("actors"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), item, "commits", "actors")
     )
 

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -22,18 +21,29 @@ def brute_run(a, b):
     return best
 
 
-def test_run_length_against_definition():
+def test_longest_common_run_against_definition(spark):
     rnd = random.Random(3)
-    for _ in range(400):
+    seqs = {}
+    for i in range(300):
         k = rnd.choice([1, 2, 3, 8])
-        a = [rnd.randrange(k) for _ in range(rnd.randrange(1, 25))]
-        b = [rnd.randrange(k) for _ in range(rnd.randrange(1, 25))]
-        assert sim._run_length(np.array(a), np.array(b)) == brute_run(a, b), (a, b)
+        for side in (0, 1):
+            seqs[2 * i + side] = [rnd.randrange(k) for _ in range(rnd.randrange(0, 25))]
+    frame = spark.createDataFrame(list(seqs.items()), "doc int, seq array<bigint>")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(300)], "a int, b int")
+    got = {r.a: r.run for r in sim.longest_common_run(pairs, frame).collect()}
+    assert got == {2 * i: brute_run(seqs[2 * i], seqs[2 * i + 1]) for i in range(300)}
 
 
-def test_run_length_of_repeated_lines_stays_cheap():
-    a = np.zeros(20_000, dtype=np.int64)
-    assert sim._run_length(a, np.zeros(15_000, dtype=np.int64)) == 15_000
+def test_run_of_repeated_lines_stays_cheap(spark):
+    frame = spark.createDataFrame([(1, [7] * 4000), (2, [7] * 3000)], "doc int, seq array<bigint>")
+    assert sim.longest_common_run(spark.createDataFrame([(1, 2)], "a int, b int"), frame).first().run == 3000
+
+
+def test_any_number_of_copies_is_found(spark, rows):
+    for n in (2, 6, 7, 500):
+        docs = [(d, [1, 2, 3]) for d in range(n)] + [(1000, [3, 4]), (1001, [9])]
+        got = set(rows(sim.candidate_pairs(spark.createDataFrame(docs, "doc int, hashes array<bigint>"))))
+        assert got == {(0, d) for d in range(1, n)} | {(0, 1000)}
 
 
 def line(i):
@@ -44,15 +54,16 @@ def test_candidate_pairs_against_brute_force(spark, rows):
     rnd = random.Random(5)
     docs = {d: {rnd.randrange(40) for _ in range(rnd.randrange(1, 12))} | {99} for d in range(40)}
     df = spark.createDataFrame([(d, sorted(h)) for d, h in docs.items()], "doc int, hashes array<bigint>")
+    first = {d: min(e for e in docs if docs[e] == docs[d]) for d in docs}
     freq = {}
-    for h in docs.values():
-        for x in h:
+    for d, h in docs.items():
+        for x in h if first[d] == d else ():
             freq[x] = freq.get(x, 0) + 1
     want = {
         (a, b)
         for a in docs
         for b in docs
-        if a < b and any(2 <= freq[h] <= 6 for h in docs[a] & docs[b])
+        if a < b and first[a] == a and (first[b] == a or first[b] == b and any(2 <= freq[h] <= 6 for h in docs[a] & docs[b]))
     }
     assert set(rows(sim.candidate_pairs(df))) == want
 
@@ -85,11 +96,10 @@ def test_duplicates(spark, rows):
     assert {(r["a"], r["b"]) for r in report} >= {("blockA", "blockB"), ("cloneA", "cloneB")}
 
 
-def test_examine_cap_is_optional(spark, rows):
+def test_every_pair_that_shares_enough_is_scored(spark, rows):
     shared = "\n".join(line(i) for i in range(8))
     docs = spark.createDataFrame([(i, shared + f"\n{line(100 + i)}") for i in range(4)], "doc_id int, text string")
     assert len(rows(sim.duplicate_scores(docs))) == 6
-    assert len(rows(sim.duplicate_scores(docs, examine=2))) == 2
 
 
 def test_disjoint_corpus(spark, rows):
