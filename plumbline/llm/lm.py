@@ -25,7 +25,7 @@ from plumbline.llm.arrays import MULT, chunks, mix, words
 from plumbline.plans.lineage import materialize
 
 ORDER = 2
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 10 << 20
 RANGE_BYTES = 8 << 20
 # An n-gram's count is touched by another's with a chance of about 2 ** -SPARE; words have all 64 bits.
 SPARE = 20
