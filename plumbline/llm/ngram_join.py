@@ -28,8 +28,10 @@ from plumbline.plans.lineage import materialize
 
 WIDTH = 5
 # Similarity of 0.75: 4 * smaller >= 3 * larger, 7 * overlap >= 3 * (sum of sizes), 7 * difference <= sum of sizes.
-# Counters that tell frequent tokens from rare ones. Only the work depends on them, never the result.
-COUNTERS = 1 << 20
+# Counters that tell frequent tokens from rare ones: about one for so many bytes of text, up to a bound on what each
+# task holds and sends. Only the work depends on them, never the result.
+COUNTER_BYTES = 200
+MOST_COUNTERS = 1 << 23
 PARTS = 16
 FAN_IN = 32
 # Below this size every token is a signature by itself; above, a group holds about this many tokens of a set.
@@ -40,6 +42,7 @@ OPEN = (1 << 31) - 1
 # Share of a prefix that must meet the set compared first. What this rules out is looked at among the pairs across
 # components, so it steers the work only.
 FIRST = 0.3
+ROUNDS = 3
 
 
 def token_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,22 +73,31 @@ def fingerprints(tokens: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(fold(mix(tokens ^ np.uint64(MULT)), edge, np.add))
 
 
-def slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - (COUNTERS - 1).bit_length())).astype(np.int64)
+def slot(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - (counters - 1).bit_length())).astype(np.int64)
 
 
-def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def counters_for(docs: DataFrame, text: str) -> int:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    return min(MOST_COUNTERS, max(1 << 12, 1 << (size // COUNTER_BYTES).bit_length()))
+
+
+def describe(docs: DataFrame, key: str, text: str, width: int, counters: int) -> DataFrame:
     """A row per document (``key, n, fp`` and its parity bitmap ``b0 ...``) and rows of counters (``part, chunk, counts``)."""
     marks = ", ".join(f"b{i} long" for i in range(BITMAP))
     schema = f"key long, n long, fp long, {marks}, part long, chunk long, counts binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(counters, np.int32)
+        seen: list[np.ndarray] = []
         for batch in batches:
             for lo, tokens, _, edge in token_sets(batch.column(1), width):
                 rows = len(edge) - 1
-                counts += np.bincount(slot(tokens), minlength=COUNTERS)
+                seen.append(slot(tokens, counters).astype(np.int32))
+                if sum(map(len, seen)) > counters:
+                    counts += np.bincount(np.concatenate(seen), minlength=counters).astype(np.int32)
+                    seen = []
                 place = mix(tokens)
                 word, bit = place & np.uint64(BITMAP - 1), np.uint64(1) << ((place >> np.uint64(8)) & np.uint64(63))
                 columns = [pa.array(np.diff(edge).astype(np.int64)), pa.array(signed(fingerprints(tokens, edge)))]
@@ -93,8 +105,10 @@ def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     columns.append(pa.array(signed(fold(np.where(word == i, bit, np.uint64(0)), edge, np.bitwise_xor))))
                 none = [pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), *columns, *none], names=names)
-        part, n = TaskContext.get().partitionId(), COUNTERS // PARTS
-        packed = [np.minimum(counts[i * n : (i + 1) * n], 65535).astype("<u2").tobytes() for i in range(PARTS)]
+        if seen:
+            counts += np.bincount(np.concatenate(seen), minlength=counters).astype(np.int32)
+        part, n = TaskContext.get().partitionId(), counters // PARTS
+        packed = [shrink(counts[i * n : (i + 1) * n]) for i in range(PARTS)]
         empty = [pa.nulls(PARTS, pa.int64()) for _ in range(3 + BITMAP)]
         own = [pa.array([part] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array(packed, pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, *own], names=names)
@@ -103,27 +117,34 @@ def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, schema), "sets")
 
 
-def frequent_slots(described: DataFrame) -> np.ndarray:
-    """Which of the ``COUNTERS`` slots hold a frequent token: those clearly above what rare tokens alone would bring.
+def shrink(counts: np.ndarray) -> bytes:
+    return pa.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), codec="zstd", asbytes=True)
+
+
+def grow(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=2 * n, codec="zstd", asbytes=True), "<u2").astype(np.int64)
+
+
+def frequent_slots(described: DataFrame, counters: int) -> np.ndarray:
+    """Which of the slots hold a frequent token: those clearly above what rare tokens alone would bring.
 
     The counters of all partitions are added ``FAN_IN`` at a time; what comes to the driver has a fixed size.
     """
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<u2").astype(np.int64) for x in frame["counts"])
-        packed = np.minimum(total, 65535).astype("<u2").tobytes()
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "counts": [packed]})
+        total = sum(grow(x, counters // PARTS) for x in frame["counts"])
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "counts": [shrink(total)]})
 
-    counters = described.where("counts is not null").select("part", "chunk", "counts")
+    own = described.where("counts is not null").select("part", "chunk", "counts")
     parts = (described.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        counters = counters.withColumn("part", F.expr(f"part div {FAN_IN}"))
-        counters = counters.groupBy("part", "chunk").applyInPandas(add, "part long, chunk long, counts binary")
-    rows = sorted((r["chunk"], bytes(r["counts"])) for r in counters.collect())
-    total = np.frombuffer(b"".join(c for _, c in rows), "<u2").astype(np.int64)
-    if not len(total):
-        return np.zeros(COUNTERS, bool)
+        own = own.withColumn("part", F.expr(f"part div {FAN_IN}"))
+        own = own.groupBy("part", "chunk").applyInPandas(add, "part long, chunk long, counts binary")
+    rows = sorted((r["chunk"], bytes(r["counts"])) for r in own.collect())
+    if not rows:
+        return np.zeros(counters, bool)
+    total = np.concatenate([grow(c, counters // PARTS) for _, c in rows])
     usual = total.mean()
     return total > min(usual + 6 * usual**0.5 + 16, 65534)
 
@@ -177,6 +198,7 @@ def signatures(docs: DataFrame, text: str, width: int, frequent: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        counters = len(frequent)
         seen: set[int] = set()
         for batch in batches:
             for _, tokens, row, edge in token_sets(batch.column(0), width):
@@ -187,7 +209,7 @@ def signatures(docs: DataFrame, text: str, width: int, frequent: np.ndarray) ->
                     if f not in seen:
                         seen.add(f)
                         fresh[i] = True
-                late = frequent[slot(tokens)]
+                late = frequent[slot(tokens, counters)]
                 order = np.lexsort((tokens, late, row))
                 tokens, late = tokens[order], late[order]
                 need = n // 4 + 1
@@ -269,28 +291,45 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     Repeated rows and equal sets share a component. Null ids are allowed and are nobody's smallest id while another
     exists. An empty table gives no rows; other columns are not read.
     """
-    described = describe(docs, key, text, width)
+    counters = counters_for(docs, text)
+    described = describe(docs, key, text, width, counters)
     members = described.where("counts is null").select("key", "n", "fp")
     marks = [F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]
     folded = materialize(
         described.where("counts is null and n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), *marks), "folded"
     )
     by_sig = Window.partitionBy("sig")
-    rows = signatures(docs, text, width, frequent_slots(described))
-    rows = rows.withColumn("lead", F.min("fp").over(by_sig)).withColumn("top", F.max("fp").over(by_sig))
-    shared = materialize(rows.where("lead < top").drop("top"), "shared")
-
-    met = shared.where("fp != lead").groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    best = met.where(F.col("k") >= FIRST / 4 * F.col("n")).groupBy("fp").agg(F.max(F.struct("k", (-F.col("lead")).alias("l")))["l"].alias("l"))
-    first = best.select(F.col("fp").alias("a"), (-F.col("l")).alias("b"))
-    links = verified(first, docs, key, text, width, folded)
-    component = connected_components(links).select(F.col("node").alias("fp"), "component")
-
-    placed = shared.drop("lead").join(component, "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
-    placed = placed.withColumn("low", F.min("c").over(by_sig)).withColumn("high", F.max("c").over(by_sig))
+    rows = signatures(docs, text, width, frequent_slots(described, counters))
+    rows = rows.withColumn("low", F.min("fp").over(by_sig)).withColumn("high", F.max("fp").over(by_sig))
+    rows = rows.withColumn("held", F.count(F.lit(1)).over(by_sig).cast("int"))
+    shared = materialize(rows.where("low < high").drop("low", "high"), "shared")
+    # How much a set has in common with others: the middle of a group of near copies has most.
+    weights = materialize(shared.groupBy("fp").agg(F.sum("held").alias("w")), "weights")
+
+    def placed(component: DataFrame | None) -> DataFrame:
+        state = weights if component is None else weights.join(component, "fp", "left")
+        c = F.col("fp") if component is None else F.coalesce("component", "fp")
+        return shared.join(state.select("fp", "w", c.alias("c")), "fp")
+
+    # Each set is compared with one other under its signatures, in a few rounds with other ones in the middle.
+    links, component = None, None
+    for r in range(ROUNDS):
+        priority = F.col("w") * (F.pmod(F.xxhash64("fp", F.lit(r)), F.lit(1000)) + 250)
+        lead = F.max(F.struct(priority.alias("p"), "fp", "c")).over(by_sig)
+        rows = placed(component).withColumn("lead", lead).where("lead.c != c")
+        met = rows.groupBy("fp", F.col("lead.fp").alias("lead")).agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+        best = met.where(F.col("k") >= FIRST / 4 * F.col("n")).groupBy("fp").agg(F.max(F.struct("k", "lead")).alias("b"))
+        found = verified(best.select(F.col("fp").alias("a"), F.col("b.lead").alias("b")), docs, key, text, width, folded)
+        links = found if links is None else links.unionByName(found)
+        component = materialize(connected_components(links).select(F.col("node").alias("fp"), "component"), "component")
+
+    placed = placed(component).withColumn("low", F.min("c").over(by_sig)).withColumn("high", F.max("c").over(by_sig))
     mixed = materialize(placed.where("low < high").select("sig", "fp", "left", "n", "last", "c"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
     may = (F.col("x.c") < F.col("y.c")) & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
+    # If both prefixes go on into the frequent tokens, the first common signature alone decides.
+    open_ = (F.col("x.last") == OPEN) & (F.col("y.last") == OPEN)
+    may &= ~open_ | (7 * F.least("x.left", "y.left") >= 3 * (F.col("x.n") + F.col("y.n")))
     both = x.join(y, F.col("x.sig") == F.col("y.sig")).where(may)
     across = (
         both.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))

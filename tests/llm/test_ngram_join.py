@@ -44,7 +44,7 @@ def near(rng, words, rate):
 def test_links_like_brute_force(spark, monkeypatch, all_frequent):
     if all_frequent:
         # Every token in the frequent class: only combinations are signatures.
-        monkeypatch.setattr(ngram_join, "frequent_slots", lambda d: np.ones(ngram_join.COUNTERS, bool))
+        monkeypatch.setattr(ngram_join, "frequent_slots", lambda d, counters: np.ones(counters, bool))
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5)))
     rows, shared = [], [word() for _ in range(60)]
