@@ -24,6 +24,16 @@ def churn(spark, d):
     SELECT item, commits, actors, round(top / commits, 6) AS top_share FROM i ORDER BY commits DESC, item LIMIT 20""",
 )
 def bus_factor(spark, d):
+    return changelog.bus_factor(event_changes(spark, d), days=14, top=changelog.BUS_FACTOR_TOP).withColumn("top_share", F.round("top_share", 6))
+
+
+@query(
+    "bus_factor_all",
+    f"""WITH {WINDOWED}, a AS (SELECT item, actor, count(*) AS n FROM w GROUP BY ALL),
+    i AS (SELECT item, CAST(sum(n) AS BIGINT) AS commits, count(*) AS actors, max(n) AS top FROM a GROUP BY item)
+    SELECT item, commits, actors, round(top / commits, 6) AS top_share FROM i WHERE commits >= 4""",
+)
+def bus_factor_all(spark, d):
     return changelog.bus_factor(event_changes(spark, d), days=14).withColumn("top_share", F.round("top_share", 6))
 
 
@@ -57,6 +67,19 @@ def co_change(spark, d):
     return _pairs(spark, d).withColumn("conf", F.round("conf", 6))
 
 
+RECENT = PAIRS.replace("FROM lineitem)", "FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 900 DAY)", 1)
+
+
+@query("co_change_window", f"WITH {RECENT} SELECT a, b, support, round(conf, 6) AS conf, driver, follower FROM pairs")
+def co_change_window(spark, d):
+    """Pairs of the last 900 days, counted back from the newest order."""
+    dates = table(spark, d, "orders").select(F.col("o_orderkey").alias("basket_id"), F.col("o_orderdate").alias("ts"))
+    newest = dates.agg(F.max("ts").alias("end")).scalar()
+    recent = changelog.in_window(dates, "ts", 900, as_of=newest)
+    changes = supply_changes(spark, d).join(recent, "basket_id")
+    return changelog.co_change(changes, min_conf=0.04, ts="ts", days=900, **CAP).withColumn("conf", F.round("conf", 6))
+
+
 HIDDEN = f"""{PAIRS}, near AS (SELECT DISTINCT least(x.l_suppkey, y.l_suppkey) AS a, greatest(x.l_suppkey, y.l_suppkey) AS b FROM lineitem x
     JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R' AND x.l_quantity > y.l_quantity),
   hub AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0),

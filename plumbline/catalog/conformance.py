@@ -121,6 +121,39 @@ def layer_breaches(spark, d):
     )
 
 
+SUPPLY = """steps AS (SELECT l_suppkey AS s, l_orderkey AS o, l_linenumber AS k, l_shipdate AS t FROM lineitem),
+links AS (SELECT DISTINCT 'sup/' || x.s AS src, 'sup/' || y.s AS dst FROM steps x JOIN steps y ON x.o = y.o AND y.k = x.k + 1 WHERE y.t >= x.t),
+reach AS (SELECT src, dst FROM links UNION SELECT r.src, e.dst FROM reach r JOIN links e ON e.src = r.dst)"""
+
+
+def _supply_links(spark, d):
+    """Suppliers of consecutive lines of an order that ship one after the other."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("sup/"), F.col("l_suppkey").cast("string")).alias("s"), F.col("l_shipdate").alias("t"))
+    x = li.select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("s").alias("src"), F.col("t").alias("tx"))
+    y = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("k"), F.col("s").alias("dst"), F.col("t").alias("ty"))
+    return x.join(y, ["l_orderkey", "k"]).where("ty >= tx").select("src", "dst").distinct()
+
+
+@query(
+    "layer_breaches_circular",
+    f"""WITH RECURSIVE {SUPPLY} SELECT src, dst, 'no-circular' AS rule FROM links l WHERE src = dst OR EXISTS (SELECT 1 FROM reach r WHERE r.src = l.dst AND r.dst = l.src)""",
+)
+def layer_breaches_circular(spark, d):
+    return con.layer_breaches(_supply_links(spark, d), [], circular=True)
+
+
+@query(
+    "strongly_connected_all",
+    f"""WITH RECURSIVE {SUPPLY}, m AS (SELECT a.src AS node, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src)
+    SELECT node, max(other) AS scc FROM m GROUP BY node HAVING count(DISTINCT other) > 1""",
+)
+def strongly_connected_all(spark, d):
+    """A general graph: every supplier has many ways in and out."""
+    from plumbline.operators.graph import strongly_connected
+
+    return strongly_connected(_supply_links(spark, d))
+
+
 @query(
     "declared_model",
     """WITH s AS (SELECT s_suppkey, s_name, 'nation' || s_nationkey AS nation FROM supplier)

@@ -29,6 +29,23 @@ def validate_records(spark, d):
     return fnd.validate_records(f, known_ids=known).select("id", F.explode("errors").alias("e")).select("id", "e.*")
 
 
+@query(
+    "unknown_keys",
+    f"""WITH {FINDINGS}, {ERRORS} SELECT id, code, field, value FROM errs WHERE code <> 'taken'
+    UNION ALL SELECT id, 'unknown', 'extra' || (n % 3), NULL FROM findings WHERE n % 6 = 0""",
+)
+def unknown_keys(spark, d):
+    """Records from raw lines; every sixth carries a key the schema doesn't know."""
+    f = findings(spark, d).drop("fp")
+    n = F.substring("id", 2, 20).cast("bigint")
+    key = F.concat(F.lit(',"extra'), (n % 3).cast("string"), F.lit('":1}'))
+    line = F.to_json(F.struct(*f.columns))
+    raw = f.select(F.when(n % 6 == 0, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), key)).otherwise(line).alias("value"))
+    landing = scratch_path(spark, "lines")
+    raw.write.text(landing)
+    return fnd.validate_records(intake.read_records(spark.read.text(landing)), unknown_keys="unknown_keys").select("id", F.explode("errors").alias("e")).select("id", "e.*")
+
+
 @query(
     "append_findings",
     f"""WITH {FINDINGS}, {ERRORS} SELECT id, fp, status FROM findings WHERE id NOT IN (SELECT id FROM errs WHERE code <> 'taken')""",
@@ -237,9 +254,10 @@ def sarif_results(spark, d):
 )
 def write_sarif(spark, d):
     path = scratch_path(spark, "sarif")
-    sarif.write_sarif(findings(spark, d), path)
+    sarif.write_sarif(findings(spark, d), path, per_log=100)
     # The reader gets a schema, so no inference pass runs over the export.
-    back = spark.read.schema("ruleId string, suppressions array<struct<kind: string>>, kind string").json(f"{path}/results")
+    logs = spark.read.schema("version string, runs array<struct<results: array<struct<ruleId: string, suppressions: array<struct<kind: string>>>>>>, kind string").json(path, multiLine=True)
+    back = logs.where("version = '2.1.0'").select("kind", F.explode(F.flatten("runs.results")).alias("r")).select("kind", "r.*")
     return back.groupBy("kind", F.col("ruleId").alias("rule")).agg(
         F.count(F.lit(1)).alias("results"), F.count("suppressions").alias("suppressed")
     )

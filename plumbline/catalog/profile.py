@@ -117,7 +117,7 @@ STEM = "regexp_extract(html, '<h1>([A-Za-z]+)', 1)"
     "usage",
     f"""WITH t AS (SELECT page_id, {sql_count('html', '<p>')} AS declared, nullif({STEM}, '') AS stem,
         list_distinct(regexp_extract_all(html, '[A-Za-z0-9_]+')) AS words FROM pages),
-    w AS (SELECT * FROM t WHERE declared >= 5 ORDER BY declared DESC, page_id LIMIT 60),
+    w AS (SELECT * FROM t WHERE declared >= 5),
     m AS (SELECT page_id, unnest(words) AS stem FROM t)
     SELECT w.page_id, declared, w.stem, CASE WHEN w.stem IS NOT NULL THEN (SELECT count(*) FROM m WHERE m.stem = w.stem AND m.page_id <> w.page_id) END AS inbound FROM w""",
 )
@@ -130,7 +130,7 @@ def usage(spark, d):
 @query(
     "usage_by_text",
     f"""WITH t AS (SELECT page_id, {sql_count('html', '<p>')} AS declared, nullif({STEM}, '') AS stem FROM pages),
-    w AS (SELECT * FROM t WHERE declared >= 5 ORDER BY declared DESC, page_id LIMIT 60)
+    w AS (SELECT * FROM t WHERE declared >= 5)
     SELECT w.page_id, declared, stem, CASE WHEN stem IS NOT NULL THEN (SELECT count(*) FROM pages p WHERE contains(p.html, w.stem) AND p.page_id <> w.page_id) END AS inbound FROM w""",
 )
 def usage_by_text(spark, d):
@@ -140,8 +140,6 @@ def usage_by_text(spark, d):
     wanted = (
         pages.select("page_id", tx.count_matches(html, "<p>").alias("declared"), stem.alias("stem"))
         .where(F.col("declared") >= 5)
-        .orderBy(F.col("declared").desc(), "page_id")
-        .limit(60)
     )
     return profile.usage_by_text(pages, wanted, doc="page_id", text="html")
 

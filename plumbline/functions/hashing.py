@@ -15,12 +15,12 @@ FNV_PRIME = 16777619
 
 
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a over the characters; the exact small-data hash."""
-    chars = F.filter(F.split(c, ""), lambda ch: F.length(ch) > 0)
+    """32-bit FNV-1a over the UTF-16 units; the exact small-data hash."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"))
     return F.aggregate(
-        chars,
+        units,
         F.lit(FNV_BASIS).cast("bigint"),
-        lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)),
+        lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)),
     )
 
 

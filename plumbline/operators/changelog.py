@@ -51,10 +51,10 @@ def bus_factor(
     actor: str = "actor",
     ts: str = "ts",
     days: int = CHURN_DAYS,
-    top: int = BUS_FACTOR_TOP,
+    top: int | None = None,
     min_commits: int = BUS_FACTOR_MIN_COMMITS,
 ) -> DataFrame:
-    """``item, commits, actors, top_share`` of the hottest items.
+    """``item, commits, actors, top_share`` of every item with enough commits; a report may ask for the ``top`` hottest.
 
     One pass: counts per (item, actor) combine map-side and roll up per item, so
     the ranking and the shares come from the same aggregate.
@@ -63,9 +63,9 @@ def bus_factor(
     per_item = per_actor.groupBy(item).agg(
         F.sum("n").alias("commits"), F.count(F.lit(1)).alias("actors"), F.max("n").alias("_top")
     )
-    hottest = (
-        per_item.where(F.col("commits") >= MIN_CHURN).orderBy(F.col("commits").desc(), F.col(item).asc()).limit(top)
-    )
+    hottest = per_item.where(F.col("commits") >= MIN_CHURN)
+    if top is not None:
+        hottest = hottest.orderBy(F.col("commits").desc(), F.col(item).asc()).limit(top)
     return hottest.where(F.col("commits") >= min_commits).select(
         item, "commits", "actors", (F.col("_top") / F.col("commits")).alias("top_share")
     )
@@ -127,16 +127,21 @@ def co_change(
     item: str = "item",
     min_support: int = MIN_SUPPORT,
     min_conf: float = MIN_CONFIDENCE,
+    ts: str | None = None,
+    days: int = CHURN_DAYS,
     **cap: float,
 ) -> DataFrame:
     """``a, b, support, conf, driver, follower`` for every surviving pair (a < b).
 
+    With ``ts`` only changes of the last ``days`` days count, as in ``churn``.
+
     ``conf`` is support over the changes of the side that changes less; the
     driver is the side with the higher confidence, ``a`` on a tie. Bulk baskets
     count neither in the support nor in the changes.
     """
     # Stored once: both the changes per item and the pairs come from the baskets.
-    baskets = materialize(capped_baskets(changes, basket, item, **cap), "baskets")
+    recent = changes if ts is None else in_window(changes, ts, days)
+    baskets = materialize(capped_baskets(recent, basket, item, **cap), "baskets")
     totals = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     pairs = basket_pairs(baskets).where(F.col("support") >= min_support)
     ta = totals.select(F.col("item").alias("a"), F.col("n").alias("na"))

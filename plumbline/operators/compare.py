@@ -183,25 +183,19 @@ def resolution_check(claims: DataFrame, reach: DataFrame | None) -> DataFrame:
 
 
 def key_coverage(
-    keys: DataFrame, tables: DataFrame, presence: DataFrame, key: str = "key", table: str = "tbl", max_tables: int = 1000
+    keys: DataFrame, tables: DataFrame, presence: DataFrame, key: str = "key", table: str = "tbl"
 ) -> DataFrame:
     """``key, tbl, problem``: keys a table lacks, and table keys that are no longer in the key set.
 
-    The table list is small by nature; its size is checked. Only keys present
-    in fewer tables than there are get compared with that list, as one array
-    inside the row.
+    The list of tables is one value inside the plan. Only keys present in fewer
+    tables than there are get compared with it, each in its own row.
     """
-    names = [r[0] for r in tables.select(table).distinct().limit(max_tables + 1).collect()]
-    if len(names) > max_tables:
-        raise ValueError(f"more than {max_tables} tables")
+    names = tables.agg(F.sort_array(F.collect_set(table)).alias("names")).scalar()
     wanted = keys.select(key).distinct()
     have = presence.select(key, table).distinct()
-    counts = have.where(F.col(table).isin(names)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    short = wanted.join(counts, key, "left").where(F.coalesce("_n", F.lit(0)) < len(names)).select(key)
-    missing = (
-        short.select(key, F.explode(F.array(*[F.lit(n) for n in sorted(names)])).alias(table))
-        .join(have, [key, table], "left_anti")
-        .withColumn("problem", F.lit("missing"))
-    )
+    listed = have.join(tables.select(table).distinct(), table, "left_semi")
+    present = listed.groupBy(key).agg(F.collect_set(table).alias("_have"))
+    lacking = F.array_except(names, F.coalesce("_have", F.array().cast("array<string>")))
+    missing = wanted.join(present, key, "left").select(key, F.explode(lacking).alias(table)).withColumn("problem", F.lit("missing"))
     orphaned = have.join(wanted, key, "left_anti").withColumn("problem", F.lit("orphaned"))
     return missing.select(key, table, "problem").unionByName(orphaned.select(key, table, "problem"))

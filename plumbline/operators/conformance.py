@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
+from plumbline.operators.graph import strongly_connected
 from plumbline.operators.references import longest_prefix_map
 from plumbline.plans.lineage import materialize
 
@@ -128,9 +129,12 @@ def layer_breaches(
     layers: Sequence[tuple[str, Sequence[str]]],
     forbid: Sequence[tuple[str, str]] = (),
     production_only: bool = True,
+    circular: bool = False,
 ) -> DataFrame:
     """``src, dst, rule``: edges from a layer to a shallower one, and explicitly forbidden edges.
 
+    ``circular`` adds the edges that lie on a cycle, under the rule ``no-circular``.
+
     ``layers`` lists (name, path prefixes) from layer 0 on. Each layer's
     prefixes are tested in the row, so edges are scanned once and not shuffled.
     An end can lie in several layers when prefixes nest; every upward
@@ -151,6 +155,22 @@ def layer_breaches(
         rules.append(F.when(inside(F.col("src"), layers[k][1]) & inside(F.col("dst"), shallower), F.lit(f"no-upward-l{k}")))
     for i, (a, b) in enumerate(forbid, start=1):
         rules.append(F.when(inside(F.col("src"), [a]) & inside(F.col("dst"), [b]), F.lit(f"boundary-{i}")))
-    if not rules:
-        raise ValueError("need at least two layers or one forbidden pair")
-    return edges.select("src", "dst", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    if not rules and not circular:
+        raise ValueError("need at least two layers, one forbidden pair or the cycle rule")
+    found = [edges.select("src", "dst", F.explode(F.array_compact(F.array(*rules))).alias("rule"))] if rules else []
+    if circular:
+        found.append(circular_edges(edges).withColumn("rule", F.lit("no-circular")))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def circular_edges(edges: DataFrame) -> DataFrame:
+    """``src, dst``: distinct edges inside a strongly connected set, and edges of a node to itself."""
+    distinct = edges.select("src", "dst").distinct()
+    sets = materialize(strongly_connected(distinct), "sets")
+    inside = (
+        distinct.join(sets.select(F.col("node").alias("src"), F.col("scc").alias("_a")), "src")
+        .join(sets.select(F.col("node").alias("dst"), F.col("scc").alias("_b")), "dst")
+        .where((F.col("_a") == F.col("_b")) & (F.col("src") != F.col("dst")))
+        .select("src", "dst")
+    )
+    return inside.unionByName(distinct.where(F.col("src") == F.col("dst")))

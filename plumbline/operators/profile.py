@@ -275,21 +275,17 @@ def usage(
     tokens: Column,
     doc: str = "doc_id",
     min_declarations: int = 5,
-    cap: int | None = 60,
 ) -> DataFrame:
     """``doc, declared, stem, inbound``: how many OTHER documents mention a document's stem.
 
-    A NULL stem (generic name) has unknown inbound and sorts last. The join runs
-    on distinct (token, doc) pairs restricted to wanted stems; counts are
-    reduced per token before they meet the documents.
+    Every document with enough declarations is reported. A NULL stem (generic
+    name) has unknown inbound. The join runs on distinct (token, doc) pairs
+    restricted to wanted stems; counts are reduced per token before they meet
+    the documents.
     """
     base = docs.select(F.col(doc), declarations.alias("declared"), stem.alias("stem"))
     wanted = base.where(F.col("declared") >= min_declarations)
-    if cap is not None:
-        wanted = wanted.orderBy(F.col("declared").desc(), F.col(doc)).limit(cap)
     stems = wanted.where(F.col("stem").isNotNull()).select("stem").distinct()
-    if cap is not None and cap <= 1000:
-        stems = F.broadcast(stems)  # at most ``cap`` rows
     mentions = docs.select(F.col(doc), F.explode(F.array_distinct(tokens)).alias("stem"))
     mentioned = mentions.join(stems, "stem")
     per_stem = mentioned.groupBy("stem").agg(F.count(F.lit(1)).alias("docs"))
@@ -308,24 +304,29 @@ def usage(
 
 
 def usage_by_text(
-    docs: DataFrame, candidates: DataFrame, doc: str = "doc_id", text: str = "text", stem: str = "stem"
+    docs: DataFrame, candidates: DataFrame, doc: str = "doc_id", text: str = "text", stem: str = "stem", seed: int = 3
 ) -> DataFrame:
-    """Substring variant of ``usage`` for at most 60 candidate stems (fixed-string search).
+    """Substring variant of ``usage``: adds ``inbound``, the number of other documents that contain the stem anywhere.
 
-    ``candidates`` is a top-k list, so its stems are folded into the scan as one
-    literal array; each document reports the stems it contains.
+    A stem holds no white space, so it lies inside a run of other characters.
+    Each distinct run is cut at every position into seeds of at most ``seed``
+    characters; stems meet runs on their first characters and are then compared
+    as a whole, so the number of stems is free.
     """
-    stems = [r[0] for r in candidates.where(F.col(stem).isNotNull()).select(stem).distinct().limit(61).collect()]
-    if len(stems) > 60:
-        raise ValueError("usage_by_text takes at most 60 stems; use usage() for more")
-    listed = F.array(*[F.lit(s) for s in stems]) if stems else F.array().cast("array<string>")
-    hits = docs.select(F.col(doc).alias("_hit"), F.explode(F.filter(listed, lambda s: F.contains(F.col(text), s))).alias(stem))
-    counts = candidates.join(hits, stem, "left").groupBy(*candidates.columns)
-    return counts.agg(
-        F.when(F.col(stem).isNotNull(), F.sum(F.coalesce((F.col("_hit") != F.col(doc)).cast("bigint"), F.lit(0)))).alias(
-            "inbound"
-        )
-    )
+    stems = candidates.where(F.length(stem) > 0).select(F.col(stem).alias("_stem")).distinct()
+    keyed = stems.withColumn("_seed", F.substring("_stem", 1, seed))
+    words = docs.select(F.col(doc).alias("_hit"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_run"))
+    runs = words.select("_run").where(F.length("_run") > 0).distinct()
+    places = runs.select("_run", F.posexplode(F.split("_run", "")).alias("_at", "_c"))
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(seed)))
+    cuts = places.select("_run", "_at", sizes.alias("_n")).select("_run", "_at", F.expr("substring(_run, _at + 1, _n)").alias("_seed"))
+    found = cuts.join(keyed, "_seed").where(F.expr("substring(_run, _at + 1, length(_stem)) = _stem")).select("_run", "_stem").distinct()
+    hits = words.join(found, "_run").select("_hit", "_stem").distinct()
+    per_stem = hits.groupBy("_stem").agg(F.count(F.lit(1)).alias("_docs"))
+    own = hits.select(F.col("_hit").alias(doc), F.col("_stem").alias(stem), F.lit(1).alias("_self"))
+    joined = candidates.join(per_stem.withColumnRenamed("_stem", stem), stem, "left").join(own, [doc, stem], "left")
+    inbound = F.coalesce("_docs", F.lit(0)) - F.coalesce("_self", F.lit(0))
+    return joined.select(*candidates.columns, F.when(F.col(stem).isNotNull(), inbound).cast("bigint").alias("inbound"))
 
 
 def god_docs(

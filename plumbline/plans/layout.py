@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Number of pieces for tables that a small installation stores as one file; unset on a cluster.
+PIECES = "spark.plumbline.pieces"
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a table that arrives in fewer pieces than there are cores.
+    """Redistribute a table by its keys if the session asks for it.
 
-    A small table stored as one file would run its text expressions on one
-    core. Large tables arrive in many pieces and are returned as they are, so
-    their texts are never shuffled. The split is by key, which a retried task
-    repeats exactly.
+    A table of one small file would run its text expressions on one core. The
+    session of a single machine says into how many pieces to deal such tables;
+    without the setting they are read as they lie and no text is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    pieces = df.sparkSession.conf.get(PIECES, None)
+    return df.repartition(int(pieces), *keys) if pieces else df

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "plumbline", **conf: str) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.plumbline.pieces", str(cpus))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-"))
     )
     for key, value in conf.items():

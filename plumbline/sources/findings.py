@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.functions.hashing import fingerprint, fingerprint_error
 
@@ -44,9 +45,24 @@ def read_findings_ndjson(spark: SparkSession, path: str) -> DataFrame:
     return fingerprint_records(spark.read.text(path))
 
 
+def read_records(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Findings from NDJSON lines, with ``unknown_keys``: the keys a record has beyond the schema. Bad lines are rows of nulls."""
+    from plumbline.operators.findings import FINDING_SCHEMA
+
+    schema = StructType.fromDDL(FINDING_SCHEMA)
+    known = F.array(*[F.lit(f.name) for f in schema])
+    keys = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
+    # Parsed once a row: exploding one element keeps the parser from being repeated for every field.
+    record = F.struct(F.from_json(value, schema).alias("r"), F.array_except(keys, known).alias("unknown_keys"))
+    parsed = lines.where(F.col(value).rlike(r"\S")).select(F.explode(F.array(record)).alias("x"))
+    return parsed.select("x.r.*", "x.unknown_keys")
+
+
 def append_findings(batch: DataFrame, table_path: str, rejected_path: str) -> tuple[int, int]:
     """Validate, fingerprint and append a batch; all or nothing.
 
+    A column ``unknown_keys`` (see ``read_records``) makes unknown keys errors.
+
     Any invalid record, or an id already in the table, rejects the whole batch,
     which then goes to ``rejected_path`` with its errors. Returns the numbers of
     appended and rejected records.
@@ -55,7 +71,8 @@ def append_findings(batch: DataFrame, table_path: str, rejected_path: str) -> tu
     from plumbline.plans.lineage import materialize
 
     spark = batch.sparkSession
-    checked = validate_records(batch, known_ids=existing_ids(spark, table_path))
+    unknown = "unknown_keys" if "unknown_keys" in batch.columns else None
+    checked = validate_records(batch, known_ids=existing_ids(spark, table_path), unknown_keys=unknown).drop("unknown_keys")
     checked = checked.withColumn("quoted", F.flatten(F.transform("evidence", lambda e: e["quoted"])))
     checked = materialize(checked, "intake")
     total, bad = checked.agg(

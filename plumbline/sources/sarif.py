@@ -1,8 +1,7 @@
 """Findings export as SARIF 2.1.0.
 
-Results are produced by a plain projection, one JSON object per finding, and
-written in parallel. The rule list (one row per fired lens) is the only part
-that needs an aggregate, and it is bounded by the lens vocabulary.
+Results are produced by a plain projection and written in parallel as logs of
+bounded size. The rule list has one row per fired lens.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ from plumbline.functions.paths import to_posix
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
+# Results of one log on average; a viewer opens a log as a whole.
+PER_LOG = 5000
+
 # Severity to result level and rank.
 LEVELS = {
     "High": "error", "Med": "warning", "Low": "note",
@@ -40,7 +42,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     """``kind, id, result`` with the nested SARIF result struct."""
-    rules = F.broadcast(sarif_rules(findings))  # bounded by the lens vocabulary
+    rules = sarif_rules(findings)
     f = findings.withColumn("kind", F.coalesce("kind", F.lit("ar"))).join(rules, ["kind", "lens"])
     locations = F.transform(
         "evidence",
@@ -93,33 +95,32 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return f.select("kind", "id", result.alias("result"))
 
 
-def write_sarif(findings: DataFrame, path: str, tool: str = "plumbline") -> None:
-    """Write ``results`` (one JSON result per line) and ``runs`` (header with rules) per kind.
+def sarif_logs(findings: DataFrame, tool: str = "plumbline", per_log: int = PER_LOG) -> DataFrame:
+    """``kind, log``: complete SARIF logs of about ``per_log`` results each.
 
-    A run's results stay a distributed dataset instead of one document, which a
-    single writer would have to hold; a consumer that wants one file joins the
-    lines of a kind under its run header.
+    Results are dealt to logs by a hash of their id, so no row holds a kind's
+    whole run; each log repeats the kind's rules.
     """
-    sarif_results(findings).select("kind", "result.*").write.mode("overwrite").partitionBy("kind").json(f"{path}/results")
-    rules = sarif_rules(findings).groupBy("kind").agg(
-        F.sort_array(F.collect_list(F.struct("rule_index", "lens"))).alias("r")
+    results = sarif_results(findings)
+    sizes = results.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / per_log).alias("_logs"))
+    dealt = results.join(sizes, "kind").withColumn("_log", F.pmod(F.xxhash64("id"), F.col("_logs")))
+    groups = dealt.groupBy("kind", "_log").agg(F.sort_array(F.collect_list(F.struct("id", F.to_json("result").alias("r")))).alias("rs"))
+    rules = sarif_rules(findings).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("rule_index", "lens"))).alias("ls"))
+    described = F.transform(
+        "ls",
+        lambda x: F.struct(
+            x["lens"].alias("id"), x["lens"].alias("name"), F.struct(F.concat(F.lit("lens "), x["lens"]).alias("text")).alias("shortDescription")
+        ),
     )
-    header = rules.select(
-        "kind",
-        F.lit(SARIF_SCHEMA).alias("$schema"),
-        F.lit("2.1.0").alias("version"),
-        F.struct(
-            F.struct(
-                F.concat_ws("-", F.lit(tool), "kind").alias("name"),
-                F.transform(
-                    "r",
-                    lambda x: F.struct(
-                        x["lens"].alias("id"),
-                        x["lens"].alias("name"),
-                        F.struct(F.concat(F.lit("lens "), x["lens"]).alias("text")).alias("shortDescription"),
-                    ),
-                ).alias("rules"),
-            ).alias("driver")
-        ).alias("tool"),
+    driver = F.to_json(F.struct(F.concat_ws("-", F.lit(tool), "kind").alias("name"), described.alias("rules")))
+    body = F.array_join(F.transform("rs", lambda x: x["r"]), ",")
+    text = F.concat(
+        F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":'), driver, F.lit('},"results":['), body, F.lit("]}]}")
     )
-    header.write.mode("overwrite").partitionBy("kind").json(f"{path}/runs")
+    return groups.join(rules, "kind").select("kind", text.alias("log"))
+
+
+def write_sarif(findings: DataFrame, path: str, tool: str = "plumbline", per_log: int = PER_LOG) -> None:
+    """One file per log, below a folder per kind; every file is a whole SARIF 2.1.0 document."""
+    logs = sarif_logs(findings, tool, per_log).select("kind", F.col("log").alias("value"))
+    logs.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("kind").text(path)

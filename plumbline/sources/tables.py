@@ -42,33 +42,37 @@ def kept_path(path, skip_dirs: Sequence[str] = SKIP_DIRS):
     )
 
 
-def hidden_roots(spark: SparkSession, root: str, depth: int) -> list[str]:
+def hidden_roots(spark: SparkSession, root: str) -> list[str]:
     """Patterns below ``root`` for folders a scan leaves out by default (a leading ``_``, kept dot folders).
 
-    Only patterns that match something are returned; names are listed by the
-    file system, no content is read.
+    One pattern per depth, down to the deepest folder. Only patterns that match
+    something are returned; names are listed by the file system, no content is read.
     """
     names = "{_*," + ",".join(KEPT_DOT_DIRS) + "}"
-    patterns = [f"{root.rstrip('/')}/{'*/' * level}{names}" for level in range(depth)]
     conf = spark._jsc.hadoopConfiguration()
 
-    def matches(pattern: str) -> bool:
+    def matches(pattern: str) -> list:
         path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        found = path.getFileSystem(conf).globStatus(path)
-        return found is not None and len(found) > 0
+        return list(path.getFileSystem(conf).globStatus(path) or [])
 
-    return [p for p in patterns if matches(p)]
+    found, above = [], root.rstrip("/")
+    while True:
+        if matches(f"{above}/{names}"):
+            found.append(f"{above}/{names}")
+        above += "/*"
+        if not any(s.isDirectory() for s in matches(above)):
+            return found
 
 
-def scan_corpus(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DIRS, depth: int = 6) -> DataFrame:
+def scan_corpus(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
     """One row per document under ``root``: ``path`` (relative), ``text``.
 
     The path filter is evaluated on the file name, so no text of a skipped
     folder enters the plan above the scan. Folders with a leading underscore and
-    kept dot folders are found down to ``depth`` levels; single files with a
-    leading underscore are invisible to Spark's file listing.
+    kept dot folders are found at any depth; single files with a leading
+    underscore are invisible to Spark's file listing.
     """
-    raw = spark.read.text([root, *hidden_roots(spark, root, depth)], wholetext=True, recursiveFileLookup=True).select(
+    raw = spark.read.text([root, *hidden_roots(spark, root)], wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")
     )
     decoded = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))

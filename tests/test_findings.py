@@ -190,16 +190,22 @@ def test_sarif(spark, tmp_path):
         {"kind": "dr", "lens": "Q", "severity": "discuss", "driftClass": "Regressed", "priorId": "P"},
     )
     sarif.write_sarif(f, str(tmp_path / "out"))
-    got = {r["message"]["text"] + r["ruleId"]: r for r in spark.read.json(str(tmp_path / "out/results")).collect()}
-    assert got["tD"]["level"] == "error" and got["tD"]["rank"] == 90 and got["tD"]["suppressions"] is None
+    files = sorted((tmp_path / "out").rglob("part-*.txt"))
+    logs = {p.parent.name: json.loads(p.read_text()) for p in files}
+    assert set(logs) == {"kind=ar", "kind=dr"} and all(x["version"] == "2.1.0" for x in logs.values())
+    got = {r["message"]["text"] + r["ruleId"]: r for x in logs.values() for run in x["runs"] for r in run["results"]}
+    assert got["tD"]["level"] == "error" and got["tD"]["rank"] == 90 and "suppressions" not in got["tD"]
     low = got["tG"]
     assert (low["level"], low["ruleIndex"], low["suppressions"][0]["justification"]) == ("note", 1, "no")
     region = low["locations"][0]["physicalLocation"]["region"]
     assert (region["startLine"], region["endLine"], region["snippet"]["text"]) == (2, 4, "x\ny")
     assert low["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a/b.ts"
     assert got["tQ"]["properties"]["driftClass"] == "Regressed" and got["tQ"]["baselineState"] == "new"
-    runs = {r["kind"]: r for r in spark.read.json(str(tmp_path / "out/runs")).collect()}
-    assert [x["id"] for x in runs["ar"]["tool"]["driver"]["rules"]] == ["D", "G"]
+    assert [x["id"] for x in logs["kind=ar"]["runs"][0]["tool"]["driver"]["rules"]] == ["D", "G"]
+    many = frame(spark, *[{"fp": f"f{i}"} for i in range(50)])
+    sarif.write_sarif(many, str(tmp_path / "many"), per_log=10)
+    sizes = [len(json.loads(p.read_text())["runs"][0]["results"]) for p in (tmp_path / "many").rglob("part-*.txt")]
+    assert sum(sizes) == 50 and 1 < len(sizes) <= 5
 
 
 def test_carry_forward_over_blocks(spark, rows):

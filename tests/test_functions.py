@@ -110,6 +110,7 @@ def test_fnv1a_known_values(spark):
     assert one(spark, "a", hashing.fnv1a) == 0xE40C292C
     assert one(spark, "foobar", hashing.fnv1a) == 0xBF9CF968
     assert one(spark, "", hashing.fnv1a) == 2166136261
+    assert one(spark, "\U0001f600", hashing.fnv1a) == 3409036472
 
 
 @pytest.mark.parametrize(
