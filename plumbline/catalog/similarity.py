@@ -158,6 +158,17 @@ def _records(spark, d):
     SELECT a, b, shared, round(shared / (total - shared), 6) AS sim FROM p WHERE shared / (total - shared) >= 0.8 ORDER BY shared DESC, sim DESC, a, b LIMIT 20""",
 )
 def projection_similarity(spark, d):
+    return similarity.projection_similarity(_records(spark, d), top=similarity.PROJECTION_ROWS).withColumn("sim", F.round("sim", 6))
+
+
+@query(
+    "projection_pairs",
+    f"""WITH {FIELDS}, s AS (SELECT f, min(rec) AS shape FROM big GROUP BY f),
+    p AS (SELECT x.shape AS a, y.shape AS b, CAST(len(list_intersect(x.f, y.f)) AS BIGINT) AS shared, len(x.f) + len(y.f) AS total FROM s x JOIN s y ON x.shape < y.shape)
+    SELECT a, b, shared, round(shared / (total - shared), 6) AS sim FROM p WHERE shared / (total - shared) >= 0.8
+    UNION ALL SELECT shape, rec, CAST(len(big.f) AS BIGINT), 1.0 FROM big JOIN s ON s.f = big.f WHERE rec <> shape""",
+)
+def projection_pairs(spark, d):
     return similarity.projection_similarity(_records(spark, d)).withColumn("sim", F.round("sim", 6))
 
 

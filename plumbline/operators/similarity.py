@@ -218,15 +218,18 @@ def projection_similarity(
     fields: str = "fields",
     min_fields: int = PROJECTION_MIN_FIELDS,
     min_sim: float = PROJECTION_MIN_SIMILARITY,
-    top: int | None = PROJECTION_ROWS,
+    top: int | None = None,
 ) -> DataFrame:
     """``a, b, shared, sim``: record pairs whose field-name sets have Jaccard >= ``min_sim``.
 
+    All pairs of different sets, named by their smallest records, and each
+    record with the smallest of its own set; with ``top`` a report of the
+    strongest pairs of single records.
+
     Exact prefix-filter join. Equal sets are folded into one representative
     first, so a shape used by a third of all records is one row; within a set,
     fields are ordered rarest first, and two sets can only reach the threshold
     if they meet on one of the first ``size - ceil(sim * size) + 1`` fields.
-    Members of equal sets are paired off at the end, bounded by ``top``.
     """
     sets = (
         records.select(F.col(rec).alias("rec"), F.sort_array(F.array_distinct(fields)).alias("fields"))
