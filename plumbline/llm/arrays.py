@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 MULT = 0x9E3779B97F4A7C15
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,18 +25,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices ``(first row, end row, bytes, offsets)`` of a string column, of ``most`` bytes or a single longer text.
 
     Null texts are empty.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if not pa.types.is_string(column.type):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return
+    # The bytes are looked at where they lie, not copied.
     _, places, data = column.buffers()
-    offsets = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    offsets = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):

@@ -28,6 +28,8 @@ LANGUAGES = 1000
 # Bytes of evidence after which the score grows no more certain.
 EVIDENCE = 64
 UNKNOWN = "und"
+# Bytes of text looked at together.
+PART = 1 << 18
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,11 +196,14 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "tex
     fields = [docs.schema[c] for c in columns]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
+    # The text goes to the task once, whether it is among the columns or not.
+    at = columns.index(text) + 1 if text in columns else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for batch in batches:
             pred, score, bits = [], [], []
-            for lo, hi, data, offsets in chunks(batch.column(0), 1 << 20):
+            for lo, hi, data, offsets in chunks(batch.column(at or 1), PART):
                 size = np.diff(offsets)
                 if not model.langs:
                     pred += [UNKNOWN] * (hi - lo)
@@ -207,8 +212,8 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "tex
                     continue
                 total = np.zeros((hi - lo, len(model.langs)))
                 # A very long text is read in parts.
-                for a in range(0, len(data), 1 << 20):
-                    b = min(len(data), a + (1 << 20))
+                for a in range(0, len(data), PART):
+                    b = min(len(data), a + PART)
                     first = max(0, a - model.order)
                     cut = np.clip(offsets, first, b) - first
                     code, row = grams(data[first:b], cut, model.order)
@@ -220,13 +225,14 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "tex
                 least = total[np.arange(hi - lo), best]
                 scale = np.minimum(1.0, EVIDENCE / np.maximum(size, 1))
                 share = 1 / np.exp2(-(total - least[:, None]) * scale[:, None]).sum(axis=1)
-                known = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+                known = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 pred += [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
                 score += np.where(known, share, 0.0).tolist()
                 bits += [x if ok else None for x, ok in zip((least / np.maximum(size, 1)).tolist(), known, strict=True)]
             arrays = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *arrays], names=[*columns, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1 if at else 2 :], *arrays], names=[*columns, "lang_pred", "score", "bits_per_byte"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(text).alias("_text"), has_letter.alias("_letter"), *columns)
+    own = [] if at else [F.col(text).alias("_text")]
+    rows = docs.select(has_letter.alias("_letter"), *own, *columns)
     return rows.mapInArrow(run, out + ", lang_pred string, score double, bits_per_byte double")
