@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts pass between the JVM and Python ``rows`` at a time, so the buffers on both sides stay a few MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
