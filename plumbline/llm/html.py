@@ -3,7 +3,8 @@
 A page is a sequence of text blocks, each under a root-to-leaf path of tags. Per path the mean text length and the mean
 punctuation of its blocks are taken; both are smoothed along the page, fused, weighed down by the share of link text,
 and compared with a threshold. The blocks above it point to the element that holds the main text; all its blocks are
-kept in page order, but for those in elements that are never main text (menus, forms, notices, comments, ...).
+kept in page order. Left out are elements that are never main text, by their tag, or by a word of their class (menus,
+forms, notices, comments, ...) if what they hold is little or mostly links.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ SKIP_WORDS = frozenset(
     "gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply responses search share sharing sidebar signup social "
     "sponsor sponsored sponsors subscribe subscription toolbar widget".split()
 )
+# Those of them that name sections of articles too, and words before one of them that tell what a wrapper holds.
+SECTION_WORDS = frozenset("complementary disclaimer discussion dialog form header notice notices recommended related replies reply responses search".split())
+ABOUT = frozenset("has have with no without show hide".split())
+# Characters from which on such a section may hold main text, and what its score is multiplied by.
+SMALL = 200
+LOWERED = 0.5
 # Start tags that end an open element of the same kind or of the kinds listed.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body article main section div nav header footer aside table ul ol dl form blockquote".split())
@@ -49,25 +56,72 @@ THRESHOLD = 0.25
 def skipped(tag: str, attributes: str) -> bool:
     if tag in SKIP:
         return True
+    return tag not in ("html", "body") and bool(HIDDEN.search(attributes))
+
+
+def marked(tag: str, attributes: str) -> str | None:
+    """``never`` or ``seldom`` by the words of class, id and role; a word after one of ``ABOUT`` says what is inside."""
     if not attributes.strip() or tag in ("html", "body"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
+        return None
+    found = None
     for _, *value in ATTRIBUTE.findall(attributes):
-        spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(value)).lower()
-        if not SKIP_WORDS.isdisjoint(WORDS.findall(spaced)):
-            return True
-    return False
+        words = WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(value)).lower())
+        for before, word in zip(["", *words], words, strict=False):
+            if word in SKIP_WORDS and before not in ABOUT:
+                if word not in SECTION_WORDS:
+                    return "never"
+                found = "seldom"
+    return found
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "parent", "link")
+    __slots__ = ("tag", "path", "skip", "parent", "link", "mark", "low")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Element | None, skip: bool, mark: str | None = None) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.path = f"{parent.path} {tag}" if parent else tag
         self.skip = skip or bool(parent and parent.skip)
         self.link = tag == "a" or bool(parent and parent.link)
+        self.low = False
+
+
+def around(e: Element | None) -> Iterator[Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def unmarked(found: list[tuple[str, Element, int]]) -> list[tuple[str, Element, int]]:
+    """The blocks without those of marked elements that are mostly links or hold little; others of these are ``low``.
+
+    Little is under ``SMALL`` characters, and for words that don't name a section of an article less than half of the
+    page; an element around half of the page with an article in it is never little.
+    """
+    held: dict[Element, list[int]] = {}
+    for text, e, linked in found:
+        article = 0
+        for x in around(e):
+            article |= x.tag in ("article", "main")
+            if x.mark:
+                t = held.setdefault(x, [0, 0, 0])
+                t[0] += len(text)
+                t[1] += linked
+                t[2] |= article
+    if not held:
+        return found
+    page = sum(len(text) for text, _, _ in found)
+    gone = set()
+    for x, (n, linked, article) in held.items():
+        half = 2 * n >= page
+        if 2 * linked > n or n < SMALL and not (half and article) or x.mark == "never" and not half:
+            gone.add(x)
+    out = [b for b in found if gone.isdisjoint(around(b[1]))]
+    for _, e, _ in out:
+        # An element that holds half of the page is a wrapper.
+        if not e.low and any(x.mark and 2 * held[x][0] < page for x in around(e)):
+            e.low = True
+            e.path += " *"
+    return out
 
 
 def blocks(html: str) -> list[tuple[str, Element, int]]:
@@ -145,11 +199,13 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
             at = close.end() if close else len(html)
             continue
         if not attributes.rstrip().endswith("/"):
-            stack.append(Element(tag, stack[-1], skipped(tag, attributes)))
+            mark = marked(tag, attributes)
+            # Inside a line of text no block could be left out later.
+            stack.append(Element(tag, stack[-1], skipped(tag, attributes) or bool(mark) and tag in INLINE, mark))
     else:
         say(html[at:])
     flush()
-    return out
+    return unmarked(out)
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -174,7 +230,7 @@ def extract(html: str) -> str:
     score = []
     for (_, e, _), x, y in zip(found, length, punctuation, strict=True):
         t = total[e.path]
-        score.append((x * (1 + y)) ** 0.5 * max(0.0, 1 - t[2] / t[0]))
+        score.append((x * (1 + y)) ** 0.5 * max(0.0, 1 - t[2] / t[0]) * (LOWERED if e.low else 1))
     threshold = THRESHOLD * max(score)
     # What the selected blocks weigh in each element around them.
     weight: dict[int, float] = {}

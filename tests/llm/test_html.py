@@ -32,6 +32,19 @@ def test_references_white_space_and_open_tags():
     assert extract('<article title="a > b"><p>x</p></article>') == "x"
 
 
+LONG = "A paragraph, with a comma, goes on for some time. Then it ends, as all do. " * 4
+
+
+def test_wrappers_and_sections_named_like_what_is_left_out():
+    for start, end in (("<div class='content has-sidebar'>", "</div>"), ("<main class='with-comments'>", "</main>"), ("<div id='sidebar-layout'>", "</div>")):
+        assert extract(f"<body>{start}<p>{LONG}</p><p>{LONG}</p>{end}</body>").count("A paragraph") == 8
+    for name in ("discussion", "related-work", "responses", "disclaimer"):
+        assert extract(f"<article><p>{LONG}</p><p>{LONG}</p><section id='{name}'><h2>Head</h2><p>{LONG}</p></section></article>").count("A paragraph") == 12, name
+    links = "<section id='related'>" + "<p><a href='/x'>Some other page, that is long enough to be read.</a></p>" * 9 + "</section>"
+    for extra in (links, f"<div id='comments'><p>{LONG}</p></div>"):
+        assert extract(f"<article><p>{LONG}</p><p>{LONG}</p>{extra}</article>") == " ".join(f"{LONG} {LONG}".split())
+
+
 def test_pages_like_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r for r in main_text(pages, ["page_id", "url"]).collect()}
