@@ -2,8 +2,8 @@
 
 A page is a sequence of text blocks, each under a root-to-leaf path of tags. Per path the mean text length and the mean
 punctuation of its blocks are taken; both are smoothed along the page, fused, weighed down by the share of link text,
-and compared with a threshold. The blocks above it point to the element that holds the main text; all its blocks are
-kept in page order. Left out are elements that are never main text, by their tag, or by a word of their class (menus,
+and compared with a threshold. The blocks above it are kept, and so are the shorter ones of the element that holds
+them, in page order. Left out are elements that are never main text, by their tag, or by a word of their class (menus,
 forms, notices, comments, ...) if what they hold is little or mostly links.
 """
 
@@ -232,30 +232,23 @@ def extract(html: str) -> str:
         t = total[e.path]
         score.append((x * (1 + y)) ** 0.5 * max(0.0, 1 - t[2] / t[0]) * (LOWERED if e.low else 1))
     threshold = THRESHOLD * max(score)
-    # What the selected blocks weigh in each element around them.
-    weight: dict[int, float] = {}
-    holder: dict[int, Element] = {}
-    chosen = 0.0
-    for (text, e, _), s in zip(found, score, strict=True):
-        if s >= threshold:
-            chosen += len(text)
-            while e is not None:
-                weight[id(e)] = weight.get(id(e), 0) + len(text)
-                holder[id(e)] = e
-                e = e.parent
-    if not chosen:
-        return ""
-    depth = {k: e.path.count(" ") for k, e in holder.items()}
-    named = [k for k, e in holder.items() if e.tag in ("article", "main") and weight[k] >= 0.3 * chosen]
-    if named:
-        main = max(named, key=lambda k: (weight[k], depth[k]))
-    else:
-        main = max((k for k in holder if weight[k] >= 0.8 * chosen), key=lambda k: (depth[k], weight[k]))
+    # How many of the selected blocks each element around them holds; one that holds all of them is around main text.
+    chosen = [s >= threshold for s in score]
+    holds: dict[Element, int] = {}
+    for (_, e, _), s in zip(found, chosen, strict=True):
+        if s:
+            for x in around(e):
+                holds[x] = holds.get(x, 0) + 1
+    whole = {x for x, n in holds.items() if n == sum(chosen)}
+    # The smallest of them that isn't a single block, with every article that holds selected blocks.
+    main = max(whole, key=lambda x: sum(1 for _ in around(x)))
+    if main.tag not in SCOPE and main.parent:
+        main = main.parent
+    articles = {x for x in holds if x.tag in ("article", "main")}
     kept = []
-    for text, e, _ in found:
-        while e is not None and id(e) != main:
-            e = e.parent
-        if e is not None:
+    for (text, e, linked), s in zip(found, chosen, strict=True):
+        outer = set(around(e))
+        if s or not articles.isdisjoint(outer) and not e.low or main in outer and not e.low and 2 * linked <= len(text):
             kept.append(text)
     return " ".join(kept)
 

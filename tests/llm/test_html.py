@@ -35,6 +35,14 @@ def test_references_white_space_and_open_tags():
 LONG = "A paragraph, with a comma, goes on for some time. Then it ends, as all do. " * 4
 
 
+def test_every_selected_block_stays():
+    n = lambda page, text: extract(page).count(text.split(".")[0])
+    assert extract("<body><div><p>" + "Very long, this one. " * 250 + "</p><p>" + "Other, words. " * 20 + "</p><p>" + "Third, words. " * 20 + "</p></div></body>").split().count("Third,") == 20
+    assert n(f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>", LONG) == 12
+    page = extract(f"<body><h1>The title</h1><p>Lead, in a few words. {LONG}</p><div class='body'><p>{LONG * 5}</p><p>Short.</p></div></body>")
+    assert page.startswith("The title Lead, in a few words.") and page.endswith("Short.")
+
+
 def test_wrappers_and_sections_named_like_what_is_left_out():
     for start, end in (("<div class='content has-sidebar'>", "</div>"), ("<main class='with-comments'>", "</main>"), ("<div id='sidebar-layout'>", "</div>")):
         assert extract(f"<body>{start}<p>{LONG}</p><p>{LONG}</p>{end}</body>").count("A paragraph") == 8
