@@ -12,17 +12,21 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import chunks, tables
+from plumbline.llm.arrays import MULT, chunks, mix, tables
 
 ORDER = 4
-# Bytes of training text per language, on average; whole texts are drawn by a hash of their key.
+# Bytes of training text per language, on average; texts are drawn by a hash of their key and text, longer ones than
+# ``PIECE`` bytes in pieces, by one of ``DRAWS`` numbers each.
 TRAIN_BYTES = 3_000_000
+PIECE = 1 << 14
+DRAWS = 1 << 40
+# Grams that a task counts together.
+MOST = 1 << 20
 # Languages learned at most, those with most text.
 LANGUAGES = 1000
 # Bytes of evidence after which the score grows no more certain.
@@ -51,24 +55,71 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 
 
 def train(sample: DataFrame, order: int = ORDER) -> list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Counts per language and order from ``lang, text``: one task counts one language, whose sample is bounded."""
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        total: tuple[np.ndarray, np.ndarray] | None = None
-        for _, _, data, offsets in chunks(pa.array(frame["text"], pa.large_string())):
-            code, n = np.unique(grams(data, offsets, order)[0], return_counts=True)
-            if total is not None:
-                code, where = np.unique(np.concatenate([total[0], code]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([total[1], n])).astype(np.int64)
-            total = code, n
-        if total is None:
-            return pd.DataFrame({"lang": [], "grams": [], "counts": []})
-        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "grams": [total[0].tobytes()], "counts": [total[1].astype(np.int64).tobytes()]})
-
-    found = sample.groupBy("lang").applyInPandas(count, "lang string, grams binary, counts binary").collect()
+    """Counts per language and order from ``lang, text``, and if there, ``share, h``.
+
+    Of a text longer than ``PIECE`` bytes the pieces drawn by ``h`` and their number with probability ``share`` count;
+    others count whole. Grams are counted in the tasks before they are put together, so no task holds a language's texts.
+    """
+    if "h" not in sample.columns:
+        sample = sample.withColumn("share", F.lit(1.0)).withColumn("h", F.lit(0).cast("long"))
+    names = ["lang", "code", "n"]
+
+    def drawn(data: np.ndarray, share: float, h: int) -> Iterator[tuple[int, int]]:
+        if len(data) <= PIECE or share >= 1:
+            yield 0, len(data)
+            return
+        begin = np.arange(0, len(data), PIECE)
+        with np.errstate(over="ignore"):
+            point = mix(np.arange(len(begin), dtype=np.uint64) * np.uint64(MULT) ^ np.uint64(h & 0xFFFFFFFFFFFFFFFF))
+        for a in begin[(point >> np.uint64(24)).astype(np.float64) < share * DRAWS].tolist():
+            yield a, min(a + PIECE, len(data))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for lang, codes in held.items():
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=names)
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            langs, shares, hashes = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                for r in range(lo, hi):
+                    own = data[offsets[r - lo] : offsets[r - lo + 1]]
+                    for a, b in drawn(own, shares[r], hashes[r]):
+                        # A very long text is read in parts, each with the bytes before it.
+                        for c in range(a, b, PART):
+                            first = max(0, c - order)
+                            part = own[first : min(b, c + PART)]
+                            held.setdefault(langs[r], []).append(grams(part, np.array([0, len(part)]), order)[0][c - first :])
+                            size += len(part)
+                            if size > MOST:
+                                yield from emptied()
+                                size = 0
+        yield from emptied()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            code, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            which = langs.indices.to_numpy(zero_copy_only=False)
+            rows = [(lang, code[which == i].tobytes(), n[which == i].tobytes()) for i, lang in enumerate(langs.dictionary.to_pylist())]
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            types = (pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "grams", "counts"])
+
+    counted = sample.select("lang", "text", "share", "h").mapInArrow(count, "lang string, code long, n long")
+    summed = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    found: dict[str, list[tuple[bytes, bytes]]] = {}
+    for lang, code, n in summed.mapInArrow(pack, "lang string, grams binary, counts binary").collect():
+        found.setdefault(lang, []).append((bytes(code), bytes(n)))
     out = []
-    for lang, code, n in sorted(found):
-        code, n = np.frombuffer(code, np.uint64), np.frombuffer(n, np.int64)
+    for lang in sorted(found):
+        code = np.frombuffer(b"".join(c for c, _ in found[lang]), np.int64).astype(np.uint64)
+        n = np.frombuffer(b"".join(c for _, c in found[lang]), np.int64)
         levels = []
         for k in range(order + 1):
             keys, where = np.unique(code & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
@@ -169,16 +220,19 @@ class Model:
 def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> Model:
     """The model from ``text, lang`` of the rows that ``learnt_from`` marks.
 
-    Each language's share of texts is drawn by a hash of ``key`` so that about ``train_bytes`` of it are read; a
-    language with less is read whole.
+    Each language's share of texts is drawn by a hash of ``key`` and text so that about ``train_bytes`` of it are read,
+    of texts longer than ``PIECE`` bytes a share of the pieces; a language with less is read whole. Rows that repeat
+    whole are drawn together, but add no grams.
     """
     labelled = docs.where(learnt_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     share = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.greatest("bytes", F.lit(1)))
     # One row a language, so the texts drawn are chosen before anything is shuffled.
     shares = sizes.orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).select("lang", share.alias("share"))
-    drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = labelled.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text")
+    point = F.pmod(F.col("h"), F.lit(DRAWS))
+    drawn = (F.octet_length("text") > PIECE) | (point < F.col("share") * DRAWS)
+    hashed = labelled.select("lang", "text", F.xxhash64(key, F.col("text")).alias("h"))
+    sample = hashed.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text", "share", "h")
     return Model(train(sample, order), order)
 
 

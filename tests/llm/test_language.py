@@ -49,6 +49,28 @@ def test_code_lengths_by_definition(spark, order):
         assert np.allclose(found, [plain_bits(texts[k], text, order) for k in "ab"], atol=1e-3)
 
 
+def test_the_sample_of_rows_without_ids_is_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n // 6))
+    rows = [(None, text(600), "a") for _ in range(600)] + [(i, text(300_000), "b") for i in range(2)] + [(9, "few words", "c")]
+    seen = {}
+    monkeypatch.setattr(language, "Model", lambda trained, order: seen.update({lang: int(levels[0][1].sum()) for lang, levels in trained}))
+    for first in range(3):
+        docs = spark.createDataFrame([(i if i is None else i + 10 * first, t, k) for i, t, k in rows], "doc_id long, text string, lang string")
+        language.learn(docs, F.lit(True), F.col("doc_id"), 1, 100_000)
+        assert 50_000 < seen["a"] < 200_000 and 30_000 < seen["b"] < 200_000 and seen["c"] == 9
+        seen.clear()
+
+
+def test_pieces_of_a_long_text_count_like_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(language, "PART", 1000)
+    text = "".join(chr(97 + i * i % 23) for i in range(5003))
+    ((_, levels),) = language.train(spark.createDataFrame([("a", text)], "lang string, text string"), 2)
+    whole = language.grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 2)[0]
+    code, n = np.unique(whole, return_counts=True)
+    assert levels[2][0].tolist() == code.tolist() and levels[2][1].tolist() == n.tolist()
+
+
 def test_held_out_accuracy_without_peeking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = queries.QUERIES["op3_identify_language"](spark, "/root/testdata/sf0.001")
