@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import bounds, chunks, windows, words
+from plumbline.llm.arrays import MULT, bounds, chunks, mix, windows, words
 from plumbline.llm.common import prefilter
 from plumbline.plans.lineage import materialize
 
@@ -24,7 +24,7 @@ WIDTH = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CONTENT = 0.5
-# Labelled texts to learn from, and lines of each: training windows of a bounded sample.
+# Labelled texts to learn from, and lines of each, from a hashed position on: training windows of a bounded sample.
 TRAIN_TEXTS = 3000
 TRAIN_LINES = 64
 FEATURES = (
@@ -200,11 +200,23 @@ PRIOR[:, BOILERPLATE] = [-3.0, 0.0, 4.0, 3.0, 1.0, 4.0, 0.0, -0.5, 3.0, 4.0, 0.5
 PRIOR_STEP = np.array([[0.5, -0.5], [-0.5, 0.5]])
 
 
+def window(hashes: np.ndarray, at: int) -> tuple[int, int]:
+    """First and end line of a text's training window; its lines, with these ``hashes``, begin at ``at``."""
+    n = len(hashes)
+    if n <= TRAIN_LINES:
+        return at, at + n
+    with np.errstate(over="ignore"):
+        point = int(mix(np.array([np.bitwise_xor.reduce(mix(hashes ^ np.uint64(MULT)))]))[0])
+    start = point % (n + TRAIN_LINES - 1) - TRAIN_LINES + 1
+    return at + max(start, 0), at + min(start + TRAIN_LINES, n)
+
+
 def learn(docs: DataFrame, quality: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Weights from at most about ``TRAIN_TEXTS`` labelled texts of each class, drawn by a hash of their id.
 
-    ``quality`` holds ``doc_id, quality``. Lines of good texts are content; lines of bad texts are boilerplate unless a
-    good text of the sample has the same line. Without labels of both classes the prior weights are returned.
+    ``quality`` holds ``doc_id, quality``. Of each a window of ``TRAIN_LINES`` lines is learned that begins at a hashed
+    position, so that every line of a text is as likely in it. Lines of good texts are content; lines of bad texts are
+    boilerplate unless a good text of the sample has the same line anywhere. Without labels of both classes the prior weights are returned.
     """
     sizes = quality.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(TRAIN_TEXTS)) / F.col("n"))
@@ -212,6 +224,7 @@ def learn(docs: DataFrame, quality: DataFrame, doc_id: str = "doc_id", text: str
     drawn = materialize(drawn.select("doc_id", "quality").dropDuplicates(["doc_id"]), "drawn")
     # Texts that aren't drawn stay out of the shuffle.
     rows = prefilter(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), F.col("doc_id"), drawn, F.col("doc_id")).join(drawn, "doc_id")
+    rows = materialize(rows.select("text", F.col("quality").cast("long").alias("quality")), "training")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,22 +233,30 @@ def learn(docs: DataFrame, quality: DataFrame, doc_id: str = "doc_id", text: str
             for lo, hi, data, offsets in chunks(batch.column(0)):
                 m = measure(data, offsets)
                 for r in range(hi - lo):
-                    a, b = m["line_edge"][r], min(m["line_edge"][r + 1], m["line_edge"][r] + TRAIN_LINES)
+                    a, b = m["line_edge"][r], m["line_edge"][r + 1]
                     if b > a:
+                        a, b = window(m["line_hash"][a:b], a)
                         out.append((quality[lo + r], m["features"][a:b].tobytes(), m["line_hash"][a:b].tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["quality", "features", "hashes"]
             )
 
-    found = rows.select("text", F.col("quality").cast("long")).mapInArrow(run, "quality long, features binary, hashes binary").collect()
+    found = rows.mapInArrow(run, "quality long, features binary, hashes binary").collect()
     if len({q for q, _, _ in found}) < 2:
         return PRIOR, PRIOR_STEP
     found = sorted(tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, f)) for f in found)
-    good = set()
-    for q, _, h in found:
-        if q == 1:
-            good.update(np.frombuffer(h, np.uint64).tolist())
+    # Of all lines of good texts those that are asked for, whose number the windows bound.
+    asked = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for q, _, h in found if q == 0]))
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.intersect1d(measure(data, offsets)["line_hash"], shared.value) for _, _, data, offsets in chunks(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *held])).view(np.int64))], names=["h"])
+
+    same = rows.where("quality = 1").mapInArrow(lines, "h long").distinct().collect()
+    good = {h & 0xFFFFFFFFFFFFFFFF for (h,) in same}
     features = np.zeros((len(found), TRAIN_LINES, len(FEATURES)), np.float32)
     labels, mask = np.zeros((len(found), TRAIN_LINES), np.int8), np.zeros((len(found), TRAIN_LINES), np.float32)
     for i, (q, f, h) in enumerate(found):

@@ -62,6 +62,19 @@ def test_content_lines_are_kept_in_order(spark):
     assert row.content == good + "\n" + other
 
 
+def test_lines_after_the_first_of_long_texts_are_learned(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(line_rules, "fit", lambda features, labels, mask: held.update(labels=labels, mask=mask))
+    good = [(i, "\n".join([f"Line {i} {k} is plain text." for k in range(100)] + ["Shared line at the end."])) for i in range(20)]
+    bad = [(100 + i, "\n".join([f"Junk {i} {k} ###" for k in range(200)])) for i in range(20)] + [(200, "Shared line at the end.\nBuy ###")]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    line_rules.learn(docs, docs.selectExpr("doc_id", "int(doc_id < 100) as quality"))
+    # The shared line is content in the bad text, though it is the last of every good one.
+    assert sum(m.sum() == 2 and l[:2].tolist() == [line_rules.CONTENT, line_rules.BOILERPLATE] for l, m in zip(held["labels"], held["mask"], strict=True)) == 1
+    starts = [line_rules.window(np.arange(i, i + 200, dtype=np.uint64), 7) for i in range(0, 40_000, 200)]
+    assert all(7 <= a < b <= 207 and b - a <= 64 for a, b in starts) and any(b == 207 for _, b in starts) and any(a == 7 for a, _ in starts)
+
+
 def test_viterbi_finds_the_best_labels():
     rng = np.random.default_rng(1)
     state, step = rng.normal(size=(17, 2)), rng.normal(size=(2, 2))
