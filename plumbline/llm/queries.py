@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, language, line_rules, lm, mixing, ngram_join, packing, substrings, urls, vectors
+from plumbline.llm import divergence, html, language, line_dedup, line_rules, lm, mixing, ngram_join, packing, substrings, urls, vectors, whitening
 from plumbline.llm.common import WORD, load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,67 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return lm.score(docs, F.coalesce(remainder(F.col("doc_id"), 10), F.lit(0)))
+
+
+@register("op11_whiten")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(load(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINE_SQL = f"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM texts),
+    keyed AS (SELECT *, {LOWERED.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+    shared AS (
+        SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {line_dedup.CHARS}
+        GROUP BY key HAVING count(DISTINCT r) >= {line_dedup.DOCUMENTS}),
+    met AS (
+        SELECT k.r, k.doc_id, k.line, k.pos, s.keeper IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id < s.keeper) AS lost
+        FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+    FROM met GROUP BY r, doc_id"""
+
+
+@register("op12_dedup_lines", LINE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+DIVERGENCE_SQL = f"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    found AS (
+        SELECT r, lang, source, {LOWERED.format(r"unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))")} AS term FROM texts),
+    kept AS (SELECT lang, term, count(*) AS total FROM found GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.DOCUMENTS}),
+    langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS (SELECT DISTINCT lang, source FROM texts),
+    sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+    shares AS (
+        SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * l.v) AS p,
+               1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS q
+        FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang)
+        LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    parts AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM ranked WHERE part = 'pair' OR rank <= {divergence.RANKS}"""
+
+
+@register("op13_divergence", DIVERGENCE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
