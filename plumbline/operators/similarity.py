@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -140,31 +140,50 @@ def sketch_jaccard(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     ).drop("_ka", "_kb")
 
 
+def _joined(ranks: Column, step: Column) -> Column:
+    """One number for each two runs that start ``step`` apart."""
+    left = F.slice(ranks, F.lit(1), F.greatest(F.size(ranks) - step, F.lit(0)))
+    return F.transform(left, lambda x, i: F.xxhash64(x, F.get(ranks, i + step)))
+
+
+def common_run(a: Column, b: Column) -> Column:
+    """Length of the longest contiguous stretch that two arrays of hashes share, in about ``n log n`` steps.
+
+    Prefix doubling: a run of ``2 w`` elements is numbered by the numbers of its two halves. Both arrays' numbers are
+    doubled as long as they have one in common; between the last such width and its double the longest shared length
+    is bisected, as a run of ``w + d`` elements is two of ``w`` that start ``d`` apart.
+    """
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(F.least(F.size(a), F.size(b)), F.lit(2)))).cast("int"))
+    state = lambda x, y, w, more: F.struct(x.alias("a"), y.alias("b"), w.alias("w"), more.alias("more"))
+
+    def double(s: Column, _: Column) -> Column:
+        wider = F.struct(_joined(s["a"], s["w"]).alias("a"), _joined(s["b"], s["w"]).alias("b"))
+        meets = lambda n: F.when(
+            F.arrays_overlap(n["a"], n["b"]), state(n["a"], n["b"], s["w"] * 2, F.lit(True))
+        ).otherwise(state(s["a"], s["b"], s["w"], F.lit(False)))
+        return F.when(s["more"], tx.bind(wider, meets)).otherwise(s)
+
+    def bisect(s: Column) -> Column:
+        def narrow(d: Column, j: Column) -> Column:
+            half = F.call_function("shiftright", s["w"], j)
+            longer = F.arrays_overlap(_joined(s["a"], d + half), _joined(s["b"], d + half))
+            return F.when((half > 0) & longer, d + half).otherwise(d)
+
+        return s["w"] + F.aggregate(rounds, F.lit(0), narrow)
+
+    widest = F.aggregate(rounds, state(a, b, F.lit(1), F.lit(True)), double)
+    return F.when(F.arrays_overlap(a, b), tx.bind(widest, bisect)).otherwise(F.lit(0)).cast("bigint")
+
+
 def longest_common_run(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds ``run``: the longest contiguous block of equal lines of both documents.
+    """Adds ``run``: the longest contiguous block of equal lines of both documents; 0 for a document without lines.
 
-    Equal lines of a pair lie on diagonals. Only where a block begins or ends
-    (its neighbours differ) a row is made, so a text that repeats one line costs
-    a row per diagonal; on a diagonal beginnings and ends alternate.
+    Both line arrays meet in the pair's row, and the work there grows with their length, not with the number of equal
+    lines of both, so texts that repeat one line many times cost no more than others.
     """
-    place = F.transform(
-        "seq", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.get("seq", i - 1).alias("before"), F.get("seq", i + 1).alias("after"))
-    )
-    lines = sequences.select("doc", F.explode(place).alias("x"))
-    side = lambda k: lines.select(
-        F.col("doc").alias(k), "x.h", *[F.col(f"x.{c}").alias(f"{c}_{k}") for c in ("pos", "before", "after")]
-    )
-    keys = pairs.select("a", "b").distinct()
-    left, right = keys.join(side("a"), "a"), keys.join(side("b"), "b")
-    differ = lambda x: F.col(f"{x}_a").isNull() | F.col(f"{x}_b").isNull() | (F.col(f"{x}_a") != F.col(f"{x}_b"))
-    edges = left.join(right, ["a", "b", "h"]).where(differ("before") | differ("after")).select(
-        "a", "b", (F.col("pos_a") - F.col("pos_b")).alias("diagonal"), F.col("pos_a").alias("pos"), differ("before").alias("begins"), differ("after").alias("ends")
-    )
-    on = Window.partitionBy("a", "b", "diagonal").orderBy("pos")
-    last = F.when(F.col("ends"), F.col("pos")).otherwise(F.lead("pos").over(on))
-    runs = edges.withColumn("run", last - F.col("pos") + 1).where("begins")
-    best = runs.groupBy("a", "b").agg(F.max("run").cast("bigint").alias("run"))
-    return pairs.join(best, ["a", "b"], "left").withColumn("run", F.coalesce("run", F.lit(0).cast("bigint")))
+    both = with_sets(pairs.select("a", "b").distinct(), sequences, "seq", "_sa", "_sb")
+    runs = both.select("a", "b", common_run(F.col("_sa"), F.col("_sb")).alias("run"))
+    return pairs.join(runs, ["a", "b"], "left").withColumn("run", F.coalesce("run", F.lit(0).cast("bigint")))
 
 
 def duplicate_scores(

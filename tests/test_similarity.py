@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -35,8 +36,21 @@ def test_longest_common_run_against_definition(spark):
 
 
 def test_run_of_repeated_lines_stays_cheap(spark):
-    frame = spark.createDataFrame([(1, [7] * 4000), (2, [7] * 3000)], "doc int, seq array<bigint>")
-    assert sim.longest_common_run(spark.createDataFrame([(1, 2)], "a int, b int"), frame).first().run == 3000
+    rnd = random.Random(8)
+    same, other = [7] * 100_000, [rnd.randrange(1 << 60) for _ in range(5000)]
+    frame = spark.createDataFrame([(1, same), (2, [*same[:60_000], 8, *other, *same]), (3, other[100:4000] + same[:9]), (4, [])], "doc int, seq array<bigint>")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (1, 4), (1, 9)], "a int, b int")
+    start = time.time()
+    got = {(r.a, r.b): r.run for r in sim.longest_common_run(pairs, frame).collect()}
+    assert got == {(1, 2): 100_000, (2, 3): 3900, (1, 3): 9, (1, 4): 0, (1, 9): 0}
+    assert time.time() - start < 60
+
+
+def test_lengths_around_powers_of_two(spark):
+    runs = [1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 64, 65]
+    seqs = [(i, list(range(n)) + [1000 + i] * 3) for i, n in enumerate(runs)] + [(99, [5000, *range(200), 5001])]
+    got = sim.longest_common_run(spark.createDataFrame([(i, 99) for i in range(len(runs))], "a int, b int"), spark.createDataFrame(seqs, "doc int, seq array<bigint>"))
+    assert {r.a: r.run for r in got.collect()} == dict(enumerate(runs))
 
 
 def test_any_number_of_copies_is_found(spark, rows):
