@@ -10,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.lineage import materialize
+
 DOCUMENTS = 3
 CHARS = 20
-BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# White space at the beginning and at the end of lines; a run is tried once, from its first character.
+BLANK = r"[ \t\x0b\f\r]"
+EDGES = rf"(?:^|(?<=\n)){BLANK}++|(?<!{BLANK}){BLANK}++(?=\n|\z)"
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, A-Z in lower case."""
-    bare = F.btrim(line, F.lit(BLANK))
-    # Of ASCII lines lower() does the same, several times as fast.
-    return F.when(F.length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def line_keys(text: Column) -> Column:
+    """The text's lines without white space at both ends, A-Z in lower case."""
+    # Of an ASCII text lower() does the same, several times as fast.
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.split(F.regexp_replace(low, EDGES, ""), "\n", -1)
 
 
-def line_hashes(lines: Column, chars: int) -> Column:
+def line_hashes(text: Column, chars: int) -> Column:
     """For each line the hash of its key, null if the key is shorter than ``chars``."""
-    return F.transform(F.transform(lines, line_key), lambda key: F.when(F.length(key) >= chars, F.md5(key)))
+    return F.transform(line_keys(text), lambda key: F.when(F.length(key) >= chars, F.md5(key)))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = DOCUMENTS, chars: int = CHARS) -> DataFrame:
@@ -38,12 +42,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents
     empty table gives no rows; other columns are not read. Keys are compared by 128-bit MD5.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    lined = texts.withColumn("lines", F.split("text", "\n", -1))
-    hashed = lined.select("doc_id", F.xxhash64("text").alias("own"), line_hashes(F.col("lines"), chars).alias("keys"))
+    # Counted and then looked up, so hashed once.
+    hashed = materialize(texts.select("doc_id", F.xxhash64("text").alias("own"), line_hashes(F.col("text"), chars).alias("keys")), "line-hashes")
 
     held = hashed.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
     shared = held.groupBy(F.unhex("key").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
     shared = shared.where((F.col("n") >= documents) & F.col("keeper").isNotNull()).select("key", "keeper")
+    # Stored, so that the join can split a line that a third of the rows hold.
+    shared = materialize(shared, "shared-lines")
 
     placed = hashed.select("doc_id", "own", F.posexplode("keys").alias("at", "key")).where("key is not null")
     met = placed.withColumn("key", F.unhex("key")).join(shared, "key")
