@@ -8,32 +8,30 @@ are frozen after training, so a text's code length is an exact sum, and the lang
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import MULT, chunks, mix, tables
 
 ORDER = 4
-# Bytes of training text per language, on average; texts are drawn by a hash of their key and text, longer ones than
-# ``PIECE`` bytes in pieces, by one of ``DRAWS`` numbers each.
+# Bytes of training text per language and in all, on average; texts are drawn by a hash of their key and text, longer
+# ones than ``PIECE`` bytes in pieces, by one of ``DRAWS`` numbers each. Many languages share the whole alike.
 TRAIN_BYTES = 3_000_000
+ALL_BYTES = 24_000_000
 PIECE = 1 << 14
 DRAWS = 1 << 40
 # Grams that a task counts together.
 MOST = 1 << 20
-# Languages learned at most, those with most text.
-LANGUAGES = 1000
 # Bytes of evidence after which the score grows no more certain.
 EVIDENCE = 64
 UNKNOWN = "und"
-# Bytes of text looked at together.
+# Bytes of text looked at together, and costs (one per gram and language) held together.
 PART = 1 << 18
+COSTS = 1 << 22
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,111 +126,97 @@ def train(sample: DataFrame, order: int = ORDER) -> list[tuple[str, list[tuple[n
     return out
 
 
-class Table:
-    """Exact map from 64-bit keys to rows, by open addressing, for whole arrays at once."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(8, int(4 * len(keys)).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.rows = np.full(1 << self.bits, -1, np.int32)
-        left, slot = np.arange(len(keys)), self.slot(keys)
-        self.probes = 0
-        while len(left):
-            self.probes += 1
-            free = self.rows[slot] < 0
-            first = np.zeros(len(left), bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            put = free & first
-            self.keys[slot[put]], self.rows[slot[put]] = keys[left[put]], left[put]
-            left, slot = left[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where there is none."""
-        slot = self.slot(keys)
-        out = self.rows[slot]
-        wrong = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
-        slot = slot[wrong]
-        for _ in range(self.probes):
-            if not len(wrong):
-                break
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            got = self.rows[slot]
-            out[wrong] = got
-            again = (got >= 0) & (self.keys[slot] != keys[wrong])
-            wrong, slot = wrong[again], slot[again]
-        out[wrong] = -1
-        return out
+class Sparse:
+    """Per key the costs of those languages that have it: entries in key order, found by bisection."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, cost: np.ndarray) -> None:
+        order = np.lexsort((lang, key))
+        key, self.lang, self.cost = key[order], lang[order].astype(np.int32), cost[order].astype(np.float32)
+        self.keys, first = np.unique(key, return_index=True)
+        self.edge = np.append(first, len(key)).astype(np.int32 if len(key) < 1 << 31 else np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the key, language and cost of every entry of the given keys."""
+        none = np.zeros(0, np.int64)
+        if not len(self.keys):
+            return none, none, none
+        row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[row] == keys)
+        first = self.edge[row[at]].astype(np.int64)
+        size = self.edge[row[at] + 1] - first
+        entry = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        return np.repeat(at, size), self.lang[entry], self.cost[entry]
 
 
 class Model:
-    """Frozen statistics of all languages: per order the cost of every known gram, and of an escape from every context."""
+    """Frozen statistics of all languages: per order the cost of each language's own grams, and of an escape from its contexts.
+
+    A gram costs a language that lacks it the escape from the context, if it has that, and what the gram costs in the
+    next shorter context; so only what a language has seen is held.
+    """
 
     def __init__(self, trained: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], order: int = ORDER) -> None:
         self.order, self.langs = order, [lang for lang, _ in trained]
-        width = len(self.langs)
-        self.cost: list[tuple[Table, np.ndarray]] = []
-        self.escape: list[tuple[Table, np.ndarray]] = []
+        self.cost: list[Sparse] = []
+        self.escape: list[Sparse] = []
+        none = [np.zeros(0, np.uint64)]
         for k in range(order + 1):
-            keys = np.unique(np.concatenate([levels[k][0] for _, levels in trained] or [np.zeros(0, np.uint64)]))
-            contexts = np.unique(keys >> np.uint64(8))
-            escape = np.zeros((len(contexts), width), np.float32)
-            own = np.full((len(keys), width), np.nan, np.float32)
+            known, leave = [], []
             for j, (_, levels) in enumerate(trained):
                 code, n = levels[k]
                 above, where, kinds = np.unique(code >> np.uint64(8), return_inverse=True, return_counts=True)
-                total = np.bincount(where, n) + kinds
-                escape[np.searchsorted(contexts, above), j] = -np.log2(kinds / total)
-                own[np.searchsorted(keys, code), j] = -np.log2(n / total[where])
-            self.escape.append((Table(contexts), escape))
-            if k:
-                shorter = self.lengths(keys & np.uint64((1 << 8 * k) - 1), k - 1)
-            else:
-                shorter = np.full((len(keys), width), 8, np.float32)
-            paid = escape[np.searchsorted(contexts, keys >> np.uint64(8))] + shorter
-            self.cost.append((Table(keys), np.where(np.isnan(own), paid, own).astype(np.float32)))
+                total = np.bincount(where, n, len(above)) + kinds
+                known.append((code, np.full(len(code), j), -np.log2(n / total[where])))
+                leave.append((above, np.full(len(above), j), -np.log2(kinds / total)))
+            for found, out in ((known, self.cost), (leave, self.escape)):
+                out.append(Sparse(*(np.concatenate([x[i] for x in found] or none) for i in range(3))))
 
     def lengths(self, code: np.ndarray, order: int) -> np.ndarray:
         """Bits that each language needs for the last byte of each gram after the ``order`` bytes before it."""
-        out = np.zeros((len(code), len(self.langs)), np.float32)
-        left = np.arange(len(code))
-        for k in range(order, -1, -1):
-            own = code[left] & np.uint64((1 << 8 * (k + 1)) - 1)
-            table, cost = self.cost[k]
-            row = table.find(own)
-            if k == order and (row >= 0).all():
-                return cost[row]
-            known = row >= 0
-            out[left[known]] += cost[row[known]]
-            left, own = left[~known], own[~known]
-            if not len(left):
-                return out
-            table, escape = self.escape[k]
-            row = table.find(own >> np.uint64(8))
-            out[left[row >= 0]] += escape[row[row >= 0]]
-        out[left] += 8
+        out = np.full((len(code), len(self.langs)), 8, np.float32)
+        for k in range(order + 1):
+            own = code & np.uint64((1 << 8 * (k + 1)) - 1)
+            at, lang, cost = self.escape[k].find(own >> np.uint64(8))
+            out[at, lang] += cost
+            at, lang, cost = self.cost[k].find(own)
+            out[at, lang] = cost
+        return out
+
+    def totals(self, code: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Bits that each language needs for each of ``rows`` texts, of the grams of each in order."""
+        out = np.zeros((rows, len(self.langs)))
+        kinds, where = np.unique(code, return_inverse=True)
+        step = max(1, COSTS // max(1, len(self.langs)))
+        if len(kinds) <= step:
+            costs = self.lengths(kinds, self.order)
+        for a in range(0, len(code), step):
+            cost = costs[where[a : a + step]] if len(kinds) <= step else self.lengths(code[a : a + step], self.order)
+            part = row[a : a + step]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            out[part[starts]] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
         return out
 
 
-def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> Model:
+def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER, train_bytes: int = TRAIN_BYTES, all_bytes: int = ALL_BYTES) -> Model:
     """The model from ``text, lang`` of the rows that ``learnt_from`` marks.
 
     Each language's share of texts is drawn by a hash of ``key`` and text so that about ``train_bytes`` of it are read,
-    of texts longer than ``PIECE`` bytes a share of the pieces; a language with less is read whole. Rows that repeat
-    whole are drawn together, but add no grams.
+    of texts longer than ``PIECE`` bytes a share of the pieces; a language with less is read whole. Where that would
+    be more than ``all_bytes`` of all languages, each gets an equal part of these, so the model is bounded and every
+    label is learned. Rows that repeat whole are drawn together, but add no grams.
     """
     labelled = docs.where(learnt_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    # Languages of little text leave their part of the whole to the others only where all of them fit.
+    known = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.col("bytes"), F.lit(train_bytes))).alias("bytes")).first()
+    if (known["bytes"] or 0) > all_bytes:
+        train_bytes = all_bytes // known["n"]
     share = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.greatest("bytes", F.lit(1)))
-    # One row a language, so the texts drawn are chosen before anything is shuffled.
-    shares = sizes.orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).select("lang", share.alias("share"))
+    shares = sizes.select("lang", share.alias("share"))
     point = F.pmod(F.col("h"), F.lit(DRAWS))
     drawn = (F.octet_length("text") > PIECE) | (point < F.col("share") * DRAWS)
     hashed = labelled.select("lang", "text", F.xxhash64(key, F.col("text")).alias("h"))
-    sample = hashed.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text", "share", "h")
+    sample = hashed.join(shares, "lang").where(drawn).select("lang", "text", "share", "h")
     return Model(train(sample, order), order)
 
 
@@ -242,51 +226,40 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "tex
     ``score`` is the winner's share when every language gets ``2 ** -bits``, the bits scaled to ``EVIDENCE`` bytes of
     text at most. A null text, one without any letter, and every text if no language was learned are ``und`` with
     score 0 and no bits. Ties go to the first language in order. Rows are independent: repeated rows, null ids and
-    other columns play no part. Memory is one slice of a batch.
+    other columns play no part. Only the text goes to Python, only the verdict comes back. Memory is one slice of a
+    batch and the model, which ``ALL_BYTES`` bounds.
     """
-    # The model's size is bounded by the training bytes and the number of languages.
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    columns = [c for c in columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    fields = [docs.schema[c] for c in columns]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-    # The text goes to the task once, whether it is among the columns or not.
-    at = columns.index(text) + 1 if text in columns else 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(shared.value)
-        for batch in batches:
-            pred, score, bits = [], [], []
-            for lo, hi, data, offsets in chunks(batch.column(at or 1), PART):
-                size = np.diff(offsets)
-                if not model.langs:
-                    pred += [UNKNOWN] * (hi - lo)
-                    score += [0.0] * (hi - lo)
-                    bits += [None] * (hi - lo)
-                    continue
-                total = np.zeros((hi - lo, len(model.langs)))
-                # A very long text is read in parts.
-                for a in range(0, len(data), PART):
-                    b = min(len(data), a + PART)
-                    first = max(0, a - model.order)
-                    cut = np.clip(offsets, first, b) - first
-                    code, row = grams(data[first:b], cut, model.order)
-                    code, row = code[a - first :], row[a - first :]
-                    cost = model.lengths(code, model.order)
-                    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    np.add.at(total, row[starts], np.add.reduceat(cost, starts, axis=0, dtype=np.float64))
-                best = total.argmin(axis=1)
-                least = total[np.arange(hi - lo), best]
-                scale = np.minimum(1.0, EVIDENCE / np.maximum(size, 1))
-                share = 1 / np.exp2(-(total - least[:, None]) * scale[:, None]).sum(axis=1)
-                known = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                pred += [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
-                score += np.where(known, share, 0.0).tolist()
-                bits += [x if ok else None for x, ok in zip((least / np.maximum(size, 1)).tolist(), known, strict=True)]
-            arrays = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1 if at else 2 :], *arrays], names=[*columns, "lang_pred", "score", "bits_per_byte"])
-
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = "struct<lang_pred string, score double, bits_per_byte double>"
+
+    def judged(column: pa.Array, letters: pa.Array) -> pa.Array:
+        model = shared.value
+        pred, score, bits = [], [], []
+        letter = letters.to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, data, offsets in chunks(column, PART):
+            size = np.diff(offsets)
+            total = np.zeros((hi - lo, len(model.langs)))
+            # A very long text is read in parts.
+            for a in range(0, len(data) if model.langs else 0, PART):
+                b = min(len(data), a + PART)
+                first = max(0, a - model.order)
+                cut = np.clip(offsets, first, b) - first
+                code, row = grams(data[first:b], cut, model.order)
+                total += model.totals(code[a - first :], row[a - first :], hi - lo)
+            known = letter[lo:hi] & bool(model.langs)
+            best = total.argmin(axis=1) if model.langs else np.zeros(hi - lo, int)
+            least = total[np.arange(hi - lo), best] if model.langs else np.zeros(hi - lo)
+            scale = np.minimum(1.0, EVIDENCE / np.maximum(size, 1))
+            share = 1 / np.maximum(1, np.exp2(-(total - least[:, None]) * scale[:, None]).sum(axis=1))
+            pred += [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
+            score += np.where(known, share, 0.0).tolist()
+            bits += [x if ok else None for x, ok in zip((least / np.maximum(size, 1)).tolist(), known, strict=True)]
+        arrays = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
+        return pa.StructArray.from_arrays(arrays, names=["lang_pred", "score", "bits_per_byte"])
+
+    # Not to be evaluated again in a filter on its result.
+    judge = F.arrow_udf(judged, returnType=found).asNondeterministic()
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    own = [] if at else [F.col(text).alias("_text")]
-    rows = docs.select(has_letter.alias("_letter"), *own, *columns)
-    return rows.mapInArrow(run, out + ", lang_pred string, score double, bits_per_byte double")
+    names = [c for c in columns if c not in ("lang_pred", "score", "bits_per_byte")]
+    rows = docs.select(*names, judge(F.col(text), has_letter).alias("_found"))
+    return rows.select(*names, "_found.lang_pred", "_found.score", "_found.bits_per_byte")

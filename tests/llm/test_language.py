@@ -99,3 +99,25 @@ def test_a_long_text_in_parts_costs_the_same(spark):
     ((_, _, data, offsets),) = chunks(pa.array([text]))
     whole = model.lengths(language.grams(data, offsets, 4)[0], 4).sum(axis=0, dtype=np.float64)
     assert found.bits_per_byte == pytest.approx(whole.min() / len(data), rel=1e-6)
+
+
+def test_every_label_is_learned_within_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [["".join(rng.choice(list("abcdefghijklmnop"), 4)) for _ in range(40)] for _ in range(60)]
+    rows = [(f"l{j}", " ".join(rng.choice(words[j], 30))) for j in range(60) for _ in range(40)]
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language.learn(docs, F.lit(True), F.col("doc_id"), all_bytes=60_000)
+    assert len(model.langs) == 60 and model.cost[0].cost.size < 60 * 20
+    found = language.identify(docs, model, ["doc_id", "lang"])
+    right = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.95
+    monkeypatch.setattr(language, "COSTS", 1000)
+    ((_, _, data, offsets),) = chunks(pa.array([r[1] for r in rows[:50]]))
+    code, row = language.grams(data, offsets, 4)
+    want = np.array([model.lengths(code[row == r], 4).sum(axis=0) for r in range(50)])
+    assert np.allclose(model.totals(code, row, 50), want, rtol=1e-5)
+
+
+def test_held_out_and_null_labels_are_never_learned(spark):
+    docs = spark.createDataFrame([(1, "x", "aaa aaa"), (2, None, "bbb bbb"), (3, "z", "ccc ccc")], "doc_id long, lang string, text string")
+    assert language.learn(docs, F.col("doc_id") != 3, F.col("doc_id")).langs == ["x"]
