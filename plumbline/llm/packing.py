@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,16 +35,22 @@ def encoder(name: str = TOKENIZER):
     """Ids of a text by a public byte-level vocabulary, as an array.
 
     ``*.json`` names a tokenizer file whose ranks also exist as ``*.tiktoken``; both give the same ids (see the tests),
-    the second several times as fast. Strings of special tokens are ordinary text.
+    the second several times as fast. Strings of the file's special tokens have their ids.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(name.removesuffix(".json") + ".tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    special = {}
+    if name.endswith(".json"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    coding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: coding.encode_to_numpy(text, allowed_special="all")
 
 
 def best_fit(held: dict[int, int], length: int, window: int) -> int | None:
@@ -118,13 +123,15 @@ def pack(
 def merge(pieces: DataFrame, window: int) -> DataFrame:
     """All pieces, those of open windows packed anew: ``FAN_IN`` tasks' open windows at a time, so a group is bounded."""
 
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start", "part"], ascending=[False, True, True, True], kind="stable")
-        following = MERGED + (int(frame["level"].iloc[0]) << 56) + (int(frame["part"].iloc[0]) << 28)
+    def group(rows: pa.Table) -> pa.Table:
+        plain = {c: rows.column(c).fill_null(0).to_numpy() for c in ("length", "doc_id", "start", "part", "level")}
+        nulls = rows.column("doc_id").is_null().to_numpy()
+        order = np.lexsort((plain["part"], plain["start"], plain["doc_id"], nulls, -plain["length"]))
+        following = MERGED + (int(plain["level"][0]) << 56) + (int(plain["part"][0]) << 28)
         held: dict[int, int] = {}
         used: dict[int, int] = {}
         ids, offsets = [], []
-        for length in frame["length"].tolist():
+        for length in plain["length"][order].tolist():
             k = best_fit(held, length, window)
             if k is None:
                 k, following = following, following + 1
@@ -134,9 +141,9 @@ def merge(pieces: DataFrame, window: int) -> DataFrame:
             used[k] = held[k] = used[k] + length
             if held[k] >= window:
                 del held[k]
-        frame["sequence_id"], frame["offset"] = ids, offsets
-        frame["open"] = frame["sequence_id"].map(used) < CLOSED * window
-        return frame.drop(columns="level")
+        new = {"sequence_id": pa.array(ids, pa.int64()), "offset": pa.array(offsets, pa.int64()), "open": pa.array([used[k] < CLOSED * window for k in ids], pa.bool_())}
+        rows = rows.take(pa.array(order))
+        return pa.table({c: new[c] if c in new else rows.column(c) for c in [x.split()[0] for x in STATE.split(", ")]})
 
     finished = [pieces.where("not open")]
     left = pieces.where("open")
@@ -145,7 +152,7 @@ def merge(pieces: DataFrame, window: int) -> DataFrame:
     while parts > 1 or not level:
         parts = -(-parts // FAN_IN)
         step = left.withColumn("part", F.expr(f"part div {FAN_IN}")).withColumn("level", F.lit(level))
-        step = materialize(step.groupBy("part").applyInPandas(group, STATE), "merged")
+        step = materialize(step.groupBy("part").applyInArrow(group, STATE), "merged")
         finished.append(step.where("not open") if parts > 1 else step)
         left, level = step.where("open"), level + 1
     out = finished[0]

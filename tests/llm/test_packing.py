@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -12,15 +13,18 @@ from plumbline.llm import packing
 from tests.llm.common import awkward
 
 
+@cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def reference(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_ids_equal_the_tokenizer_file():
     encode = packing.encoder()
-    for text in ("", "Hello  world\n\n x", "naïve \U0001f600 ‮", "a" * 3000, "<|endoftext|> don't 12,345", "\x00\x85 "):
+    for text in ("", "Hello  world\n\n x", "naïve \U0001f600 ‮", "a" * 3000, "<|endoftext|> don't 12,345", "a<|endoftext|>", "<|endoftext|><|endoftext|> <|endoftext", "\x00\x85 "):
         assert [*encode(text).tolist(), 0] == reference(text)
 
 
@@ -65,5 +69,19 @@ def test_little_padding(spark, window, most_open, parts):
     assert padding < 2 * window * most_open + 0.02 * sum(p.length for p in pieces)
 
 
+def test_large_ids_beside_null_ids(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, (1 << 62) + 7, None, -(1 << 61) - 5]
+    docs = spark.createDataFrame([(i, f"text number {n} <|endoftext|>") for n, i in enumerate(ids)], "doc_id long, text string")
+    found = packing.pack(docs).collect()
+    assert sorted((p.doc_id for p in found), key=repr) == sorted(ids, key=repr)
+    holds([p for p in found if p.doc_id is not None], {i: [f"text number {n} <|endoftext|>"] for n, i in enumerate(ids) if i is not None}, 1 << 40)
+
+
+def test_very_long_text(spark):
+    text = "Some words of a long text, over and over. " * 50_000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    assert holds(packing.pack(docs).collect(), {1: [text], 2: ["short"]}, 1024) < 1024
+
+
 def test_empty_table(spark):
     assert packing.pack(awkward(spark).where("false")).collect() == []
