@@ -25,7 +25,7 @@ INLINE = frozenset(
 )
 # Elements that never hold main text, by tag and by a word of their class, id or role.
 SKIP = frozenset(
-    "head script style title noscript template iframe svg math nav header footer aside form button select option textarea menu dialog noembed noframes object audio video canvas".split()
+    "head script style title noscript template iframe svg math nav header footer aside button select option textarea menu dialog noembed noframes object audio video canvas".split()
 )
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disclaimer discussion dialog disqus footer form "
@@ -45,27 +45,36 @@ SCOPE = frozenset("html body article main section div nav header footer aside ta
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"(?:^|[\s/\"'])hidden(?:[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 SPREAD = (0.25, 0.5, 0.25)
 THRESHOLD = 0.25
 
 
-def skipped(tag: str, attributes: str) -> bool:
-    if tag in SKIP:
+def attributes_of(tag: str, text: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of equal names; of ``html`` and ``body`` none counts."""
+    out: dict[str, str] = {}
+    if text.strip() and tag not in ("html", "body"):
+        for name, *value in ATTRIBUTE.findall(text):
+            out.setdefault(name.lower(), "".join(value))
+    return out
+
+
+def skipped(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in SKIP or "hidden" in attributes:
         return True
-    return tag not in ("html", "body") and bool(HIDDEN.search(attributes))
+    return attributes.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
 
 
-def marked(tag: str, attributes: str) -> str | None:
-    """``never`` or ``seldom`` by the words of class, id and role; a word after one of ``ABOUT`` says what is inside."""
-    if not attributes.strip() or tag in ("html", "body"):
-        return None
+def marked(tag: str, attributes: dict[str, str]) -> str | None:
+    """``form``, or ``never`` or ``seldom`` by the words of class, id and role; a word after one of ``ABOUT`` says what is inside."""
+    if tag == "form":
+        return "form"
     found = None
-    for _, *value in ATTRIBUTE.findall(attributes):
-        words = WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(value)).lower())
+    for name in ("class", "id", "role"):
+        words = WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attributes.get(name, "")).lower())
         for before, word in zip(["", *words], words, strict=False):
             if word in SKIP_WORDS and before not in ABOUT:
                 if word not in SECTION_WORDS:
@@ -95,25 +104,31 @@ def unmarked(found: list[tuple[str, Element, int]]) -> list[tuple[str, Element,
     """The blocks without those of marked elements that are mostly links or hold little; others of these are ``low``.
 
     Little is under ``SMALL`` characters, and for words that don't name a section of an article less than half of the
-    page; an element around half of the page with an article in it is never little.
+    page; an element around half of the page with an article in it is never little. A form stays only where it wraps
+    the page: it holds half of its text or more, most of that in paragraphs or an article.
     """
     held: dict[Element, list[int]] = {}
     for text, e, linked in found:
-        article = 0
+        article = paragraph = 0
         for x in around(e):
             article |= x.tag in ("article", "main")
+            paragraph |= x.tag in ("article", "main", "p")
             if x.mark:
-                t = held.setdefault(x, [0, 0, 0])
+                t = held.setdefault(x, [0, 0, 0, 0])
                 t[0] += len(text)
                 t[1] += linked
                 t[2] |= article
+                t[3] += len(text) * paragraph
     if not held:
         return found
     page = sum(len(text) for text, _, _ in found)
     gone = set()
-    for x, (n, linked, article) in held.items():
+    for x, (n, linked, article, written) in held.items():
         half = 2 * n >= page
-        if 2 * linked > n or n < SMALL and not (half and article) or x.mark == "never" and not half:
+        if x.mark == "form":
+            if not half or 2 * written < n or 2 * linked > n:
+                gone.add(x)
+        elif 2 * linked > n or n < SMALL and not (half and article) or x.mark == "never" and not half:
             gone.add(x)
     out = [b for b in found if gone.isdisjoint(around(b[1]))]
     for _, e, _ in out:
@@ -199,9 +214,10 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
             at = close.end() if close else len(html)
             continue
         if not attributes.rstrip().endswith("/"):
-            mark = marked(tag, attributes)
+            named = attributes_of(tag, attributes)
+            mark = marked(tag, named)
             # Inside a line of text no block could be left out later.
-            stack.append(Element(tag, stack[-1], skipped(tag, attributes) or bool(mark) and tag in INLINE, mark))
+            stack.append(Element(tag, stack[-1], skipped(tag, named) or bool(mark) and tag in INLINE, mark))
     else:
         say(html[at:])
     flush()

@@ -53,6 +53,45 @@ def test_wrappers_and_sections_named_like_what_is_left_out():
         assert extract(f"<article><p>{LONG}</p><p>{LONG}</p>{extra}</article>") == " ".join(f"{LONG} {LONG}".split())
 
 
+def test_words_in_attribute_values_hide_nothing():
+    kept = [
+        "<div title='The hidden life of trees'>{}</div>", "<article data-title=\"A hidden gem, display: none\">{}</article>", "<div data-hidden-by=x>{}</div>",
+        "<section title='aria-hidden=true'>{}</section>", "<div title='class=\"sidebar\"'>{}</div>", "<div alt='no' data-class='menu'>{}</div>", "<div style='display:block'>{}</div>",
+        "<div aria-hidden='false'>{}</div>",
+    ]
+    for page in kept:
+        assert extract(f"<body><p>{LONG}</p>{page.format(f'<p>{LONG}</p>')}</body>").count("A paragraph") == 8, page
+    gone = ["<div hidden>{}</div>", "<div hidden=''>{}</div>", "<div class=x HIDDEN id=y>{}</div>", "<div aria-hidden=true>{}</div>", "<div style='color: red; DISPLAY : none'>{}</div>"]
+    for page in gone:
+        assert extract(f"<body><p>{LONG}</p>{page.format(f'<p>{LONG}</p>')}</body>").count("A paragraph") == 4, page
+
+
+def test_pages_inside_a_form():
+    fields = "<label>Name</label><input name=n><select><option>One, two, three.</option></select>"
+    for body in (f"<p>{LONG}</p><p>{LONG}</p>", f"<article><div>{LONG}</div><div>{LONG}</div></article>"):
+        text = extract(f"<body><form id='aspnetForm' action='/x'><input type=hidden name=v value='...'>{body}{fields}</form></body>")
+        assert text.count("A paragraph") == 8 and "three" not in text
+        assert extract(f"<body>{body}<form><p>{LONG[:150]}</p>{fields}</form></body>").count("A paragraph") == 8
+    assert extract(f"<body><form>{fields}</form></body>") == ""
+
+
+def plain_blocks(tables: str) -> str:
+    return " ".join(plain.unescape(re.sub(r"<[^>]*>", " ", tables)).split())
+
+
+def test_pages_without_an_article_and_with_tables():
+    cells = "".join(f"<tr><td>{LONG}</td><td><p>{LONG}</p></td></tr>" for _ in range(3))
+    menu = "<tr><td><ul>" + "".join(f"<li><a href='/{i}'>Page {i}</a></li>" for i in range(20)) + "</ul></td></tr>"
+    assert extract(f"<body><table>{menu}{cells}</table></body>") == plain_blocks(cells)
+    two = f"<article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article>"
+    assert extract(f"<body><nav><a href='/'>Home</a></nav><div>{two}</div><footer>End, of it.</footer></body>") == plain_blocks(two)
+
+
+def test_a_very_long_text():
+    many = "".join(f"<p>Paragraph {i}, with words. And a second sentence.</p>" for i in range(20_000))
+    assert extract(f"<body><nav><a href='/'>Home</a></nav>{many}</body>") == plain_blocks(many)
+
+
 def test_pages_like_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r for r in main_text(pages, ["page_id", "url"]).collect()}
