@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,34 +39,26 @@ def prefilter(df: DataFrame, on: Column, wanted: DataFrame, by: Column, flag: st
     With ``flag`` all rows stay, and a column of that name says which these are.
 
     Keeps rows that can't match out of the shuffle of the join that follows. What is sent around is a bitmap of
-    ``SLOTS`` bits, whatever the size of ``wanted``; when that fills up, fewer rows are kept out.
+    ``SLOTS`` bits, whatever the size of ``wanted``; when that fills up, fewer rows are kept out. Rows don't leave the
+    JVM for it.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)) + 1
     found = (
         wanted.select(slot(by).alias("s"))
-        .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
+        .groupBy(F.bitmap_bucket_number("s").alias("page"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
         .collect()
     )
-    pages = {row["bucket"]: bytes(row["bits"]) for row in found}
     names = df.columns
-    marked = df.select(F.bitmap_bucket_number(slot(on)).alias("_bucket"), F.bitmap_bit_position(slot(on)).cast("int").alias("_bit"), *names)
-    shared = df.sparkSession.sparkContext.broadcast(pages)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = sorted(shared.value)
-        bits = np.unpackbits(np.frombuffer(b"".join(shared.value[k] for k in order), np.uint8), bitorder="little")
-        place = np.full(max(order, default=0) + 2, -1, np.int64)
-        place[order] = np.arange(len(order))
-        for batch in batches:
-            bucket, bit = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            page = place[np.minimum(bucket, len(place) - 1)]
-            keep = np.zeros(len(bucket), bool)
-            known = page >= 0
-            keep[known] = bits[page[known] * 32768 + bit[known]] > 0
-            if flag:
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(keep)], names=[*names, flag])
-            else:
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[2:], names=names)
-
-    return marked.mapInArrow(run, df.schema.add(flag, "boolean") if flag else df.schema)
+    if not found:
+        return df.withColumn(flag, F.lit(False)) if flag else df.where("false")
+    pages = [(row["page"], np.frombuffer(bytes(row["bits"]), "<i8").tolist()) for row in found]
+    # At most SLOTS / 32768 rows of 512 numbers: 1 MB.
+    bits = F.broadcast(df.sparkSession.createDataFrame(pages, "_pf_page long, _pf_bits array<long>").coalesce(1))
+    placed = df.withColumn("_pf_slot", slot(on))
+    at = F.bitmap_bit_position("_pf_slot").cast("int")
+    held = F.coalesce(F.getbit(F.get("_pf_bits", F.floor(at / 64).cast("int")), at % 64) == 1, F.lit(False))
+    met = placed.join(bits, F.bitmap_bucket_number("_pf_slot") == F.col("_pf_page"), "left")
+    if flag:
+        return met.select(*names, held.alias(flag))
+    return met.where(held).select(*names)
