@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import MULT, chunks, mix, tables
+from plumbline.plans.lineage import materialize
 
 ORDER = 4
 # Bytes of training text per language and in all, on average; texts are drawn by a hash of their key and text, longer
@@ -212,7 +213,8 @@ def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER,
     if (known["bytes"] or 0) > all_bytes:
         train_bytes = all_bytes // known["n"]
     share = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.greatest("bytes", F.lit(1)))
-    shares = sizes.select("lang", share.alias("share"))
+    # One row a language: stored, so that it is sent to the texts as long as it is small.
+    shares = materialize(sizes.select("lang", share.alias("share")), "shares")
     point = F.pmod(F.col("h"), F.lit(DRAWS))
     drawn = (F.octet_length("text") > PIECE) | (point < F.col("share") * DRAWS)
     hashed = labelled.select("lang", "text", F.xxhash64(key, F.col("text")).alias("h"))
