@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from plumbline.llm import mixing
 from plumbline.llm.common import load
 from tests.llm.common import awkward, tokens
 from tests.llm.test_ngram_join import shingle_set
@@ -54,3 +58,29 @@ def test_stages_on_awkward_rows(spark, tmp_path):
 def test_stages_on_no_rows(spark, tmp_path):
     out = stages(spark, awkward(spark).where("false"), tmp_path)
     assert [x.count() for x in out] == [0] * 6
+
+
+def test_the_mix_has_each_text_as_often_as_it_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "COPIES", 3)
+    rows = [(1, "one two three", "en", "a", 13), (2, "four", "en", "b", 4), (None, "five six", None, None, 8), (3, None, "en", "a", None), (4, "  ", "en", "a", 2)]
+    docs = spark.createDataFrame(rows + [(9, "same old words", "en", "a", 14)] * 20, "doc_id long, text string, lang string, source string, n_chars long")
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(*docs.columns).cast("string"))
+    want, names = Counter(), {repr(r.doc_id): r.text for r in docs.collect()}
+    for r in mixing.mix(docs.withColumn("name", F.col("doc_id")), key).collect():
+        text = names[r.doc_key.split(":")[0] if r.doc_key.count(":") else "None"]
+        if r.taken:
+            want[text] += r.taken // r.size
+            want[" ".join(tokens(text)[: r.taken % r.size])] += 1
+    found = Counter(r.text for r in corpus_pipeline.mixed(spark, docs, DIR).collect())
+    want.pop("", None)
+    assert found == +want and sum(len(tokens(t)) * n for t, n in found.items()) > 60
+
+
+def test_intermediate_tables_go_when_the_next_stage_begins(spark, tmp_path):
+    docs = load(spark, DIR, "documents").limit(50)
+    stored = corpus_pipeline._left.__dict__.setdefault("stored", [])
+    corpus_pipeline.mixed(spark, docs, DIR).write.parquet(str(tmp_path / "mixed"))
+    held = list(stored)
+    assert held and all(Path(p.removeprefix("file:")).exists() for p in held)
+    corpus_pipeline.known_language(spark, docs, DIR).write.parquet(str(tmp_path / "known"))
+    assert not any(Path(p.removeprefix("file:")).exists() for p in held)
