@@ -10,10 +10,35 @@ executor costs only the running stage: finished rounds live in shared storage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Tables stored since `passing` was entered, if it was.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(stored: list[str]) -> Iterator[None]:
+    """Notes in ``stored`` where intermediate tables are put, for ``remove`` once nothing reads them any more."""
+    token = _passing.set(stored)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+
+
+def remove(spark: SparkSession, stored: list[str]) -> None:
+    """Deletes the intermediate tables noted by ``passing``, through the file system that holds them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while stored:
+        path = jvm.org.apache.hadoop.fs.Path(stored.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's ``spark.checkpoint.dir``, else its checkpoint folder.
 
@@ -27,7 +52,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/plumbline/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/plumbline/{app}/{name}-{uuid.uuid4().hex}"
+    stored = _passing.get()
+    if stored is not None:
+        stored.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
