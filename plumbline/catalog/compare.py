@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, sql_lines, sql_trim, table
 from plumbline.catalog.derived import DOCS, LINES, doc_lines, docs
+from plumbline.catalog.graph import MERGED, merged_history
 from plumbline.functions import text as tx
 from plumbline.operators import compare
+from plumbline.plans.lineage import materialize
 
 MANIFEST = """o AS (SELECT l_suppkey AS k, max(l_partkey) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1),
 w AS (SELECT l_suppkey AS k, max(l_partkey) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY 1)"""
@@ -135,24 +137,24 @@ def scope_dropped(spark, d):
 
 @query(
     "resolution_check",
-    """WITH h AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
-    tip AS (SELECT o_custkey, k FROM h JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY k DESC) = 3)
-    SELECT o_orderkey AS finding, CASE WHEN h.k <= tip.k THEN 'resolved' ELSE 'context only' END AS state, CASE WHEN h.k <= tip.k THEN 'discuss' ELSE 'important' END AS severity FROM h LEFT JOIN tip USING (o_custkey)""",
+    f"""WITH RECURSIVE {MERGED}, ranked AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders),
+    tips AS (SELECT o_custkey, o_orderkey AS tip FROM ranked WHERE r = 3), reached AS (SELECT tip, tip AS node FROM tips UNION SELECT r.tip, m.parent FROM reached r JOIN merged m ON m.child = r.node),
+    claims AS (SELECT o_orderkey, tip FROM orders LEFT JOIN tips USING (o_custkey)),
+    judged AS (SELECT o_orderkey, CASE WHEN tip IS NULL THEN 'unverified' WHEN (tip, o_orderkey) IN (SELECT tip, node FROM reached) THEN 'resolved' ELSE 'context only' END AS state FROM claims)
+    SELECT o_orderkey AS finding, state, CASE WHEN state = 'resolved' THEN 'discuss' ELSE 'important' END AS severity FROM judged""",
 )
 def resolution_check(spark, d):
+    """Every order, claimed as resolved at its customer's third last order."""
     from pyspark.sql import Window
 
-    from plumbline.catalog.graph import order_history
-    from plumbline.operators.graph import ancestors
-
-    parents, _ = order_history(spark, d)
-    rich = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
+    parents, _ = merged_history(spark, d)
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    tips = o.join(rich, "o_custkey").withColumn("r", F.row_number().over(w)).where("r = 3").select(F.col("o_orderkey").alias("tip"))
-    reach = ancestors(parents, tips)
-    claims = o.select(F.col("o_orderkey").alias("finding"), F.col("o_orderkey").alias("commit"), F.lit("important").alias("severity"))
-    return compare.resolution_check(claims, reach).select("finding", "state", "severity")
+    tips = o.withColumn("r", F.row_number().over(w)).where("r = 3").select("o_custkey", F.col("o_orderkey").alias("tip"))
+    claims = o.join(tips, "o_custkey", "left").select(
+        F.col("o_orderkey").alias("finding"), F.col("o_orderkey").alias("commit"), "tip", F.lit("important").alias("severity")
+    )
+    return compare.resolution_check(materialize(claims, "claims"), parents).select("finding", "state", "severity")
 
 
 @query(

@@ -10,15 +10,17 @@ from plumbline.catalog.derived import (
     DOCS,
     MODULES,
     PART_EDGES,
+    PART_STEPS,
     SUCCESSOR,
     main_successor,
     modules,
     part_edges,
+    part_steps,
     sized_docs,
     supply_changes,
 )
 from plumbline.catalog.profile import PROFILE
-from plumbline.operators import changelog, graph, profile
+from plumbline.operators import changelog, dag, graph, profile
 from plumbline.plans.lineage import materialize
 
 COMPONENTS = """reach AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT r.x, CASE WHEN e.a = r.y THEN e.b ELSE e.a END FROM reach r JOIN e ON r.y IN (e.a, e.b)),
@@ -55,10 +57,10 @@ sizes AS (SELECT string_split(path, '/')[1] AS folder, count(*) AS modules FROM
 {CORE}"""
 
 
-@query("instability", f"WITH {FOLDERS} SELECT folder, ca, ce, modules, round(instability, 6) AS instability FROM inst WHERE folder <> 'Brand3'")
+@query("instability", f"WITH {FOLDERS} SELECT folder, ca, ce, modules, round(instability, 6) AS instability FROM inst")
 def instability(spark, d):
     out = graph.instability(part_edges(spark, d), modules(spark, d))
-    return out.where("folder <> 'Brand3'").withColumn("instability", F.round("instability", 6))
+    return out.withColumn("instability", F.round("instability", 6))
 
 
 @query(
@@ -125,7 +127,7 @@ def cycle_steps(spark, d):
 def ancestors(spark, d):
     tips = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("tip"))
     parents = materialize(main_successor(spark, d), "succ").select(F.col("src").alias("child"), F.col("dst").alias("parent"))
-    return graph.ancestors(parents, tips).select("tip", "node")
+    return dag.ancestors(parents, tips).select("tip", "node")
 
 
 # History of a customer's orders: each order follows the customer's previous one.
@@ -159,13 +161,87 @@ def commit_range(spark, d):
         F.when(F.col("o_custkey") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("a"),
         F.when(F.col("o_custkey") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("b"),
     )
-    return graph.commit_range(parents, pairs).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "node")
+    return dag.commit_range(parents, pairs).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "node")
 
 
 @query("merge_base", f"WITH {HISTORY} SELECT a, b, a AS base FROM ends")
 def merge_base(spark, d):
     parents, ends = order_history(spark, d)
-    return graph.merge_base(parents, ends.select("a", "b"))
+    return dag.merge_base(parents, ends.select("a", "b"))
+
+
+# The same with merges: every fifth order also follows the order before it on its day, mostly another customer's.
+MERGED = f"""{HISTORY}, days AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS parent FROM orders),
+merged AS (SELECT child, parent FROM seq WHERE parent IS NOT NULL UNION SELECT child, parent FROM days WHERE parent IS NOT NULL AND child % 5 = 0)"""
+# Whatever is reached from the orders of `tips`.
+REACHED = "reached AS (SELECT tip, tip AS node FROM tips UNION SELECT r.tip, m.parent FROM reached r JOIN merged m ON m.child = r.node)"
+
+
+def merged_history(spark, d):
+    """``child, parent`` with merges, and each customer's second and fifth order ``o_custkey, a, b``."""
+    from pyspark.sql import Window
+
+    parents, ends = order_history(spark, d)
+    w = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
+    days = table(spark, d, "orders").select(F.col("o_orderkey").alias("child"), F.lag("o_orderkey").over(w).alias("parent"))
+    days = days.where("parent IS NOT NULL AND child % 5 = 0")
+    return materialize(parents.unionByName(days).distinct(), "merged"), ends
+
+
+@query(
+    "is_ancestor",
+    f"""WITH RECURSIVE {MERGED}, tips AS (SELECT o_orderkey AS tip FROM orders), {REACHED},
+    pairs AS (SELECT lag(o_orderkey, 3) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS a, o_orderkey AS b FROM orders)
+    SELECT a, b, (b, a) IN (SELECT tip, node FROM reached) AS is_ancestor FROM pairs WHERE a IS NOT NULL
+    UNION ALL SELECT a, b, true FROM ends WHERE b IS NOT NULL UNION ALL SELECT b, a, false FROM ends WHERE b IS NOT NULL""",
+)
+def is_ancestor(spark, d):
+    from pyspark.sql import Window
+
+    parents, ends = merged_history(spark, d)
+    w = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
+    near = table(spark, d, "orders").select(F.lag("o_orderkey", 3).over(w).alias("a"), F.col("o_orderkey").alias("b")).where("a IS NOT NULL")
+    pairs = near.unionByName(ends.select("a", "b")).unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return dag.is_ancestor(parents, materialize(pairs, "pairs"))
+
+
+@query(
+    "ancestors_merged",
+    f"""WITH RECURSIVE {MERGED}, tips AS (SELECT b AS tip FROM ends WHERE b IS NOT NULL),
+    r AS (SELECT tip, tip AS node, 0 AS depth FROM tips UNION SELECT r.tip, m.parent, r.depth + 1 FROM r JOIN merged m ON m.child = r.node)
+    SELECT tip, node, min(depth) AS depth FROM r GROUP BY tip, node""",
+)
+def ancestors_merged(spark, d):
+    parents, ends = merged_history(spark, d)
+    return dag.ancestors(parents, ends.select(F.col("b").alias("tip")))
+
+
+@query(
+    "commit_range_merged",
+    f"""WITH RECURSIVE {MERGED}, tips AS (SELECT a AS tip FROM ends WHERE b IS NOT NULL UNION SELECT b FROM ends WHERE b IS NOT NULL), {REACHED}
+    SELECT a, b, node FROM ends JOIN reached ON tip = b WHERE (a, node) NOT IN (SELECT tip, node FROM reached)""",
+)
+def commit_range_merged(spark, d):
+    parents, ends = merged_history(spark, d)
+    return dag.commit_range(parents, ends.select("a", "b"))
+
+
+@query(
+    "merge_base_merged",
+    f"""WITH RECURSIVE {MERGED}, pairs AS (SELECT b AS a, lead(b) OVER (ORDER BY o_custkey) AS b FROM ends WHERE b IS NOT NULL),
+    tips AS (SELECT a AS tip FROM pairs WHERE b IS NOT NULL UNION SELECT b FROM pairs WHERE b IS NOT NULL),
+    r AS (SELECT tip, tip AS node, 0 AS depth FROM tips UNION SELECT r.tip, m.parent, r.depth + 1 FROM r JOIN merged m ON m.child = r.node),
+    n AS (SELECT tip, node, min(depth) AS depth FROM r GROUP BY tip, node),
+    j AS (SELECT a, b, x.node, row_number() OVER (PARTITION BY a, b ORDER BY x.depth + y.depth, x.node) AS k FROM pairs JOIN n x ON x.tip = a JOIN n y ON y.tip = b AND y.node = x.node)
+    SELECT a, b, node AS base FROM j WHERE k = 1""",
+)
+def merge_base_merged(spark, d):
+    from pyspark.sql import Window
+
+    parents, ends = merged_history(spark, d)
+    # Neighbouring customers; the list of customers is small beside their orders.
+    pairs = ends.select(F.col("b").alias("a"), F.lead("b").over(Window.orderBy("o_custkey")).alias("b")).where("b IS NOT NULL")
+    return dag.merge_base(parents, materialize(pairs, "pairs"))
 
 
 @query(
@@ -176,7 +252,7 @@ def merge_base(spark, d):
     SELECT n.node, CASE WHEN n.node NOT IN (SELECT origin FROM bad) THEN CAST((SELECT count(*) FROM w WHERE w.origin = n.node) AS INTEGER) END AS level FROM n""",
 )
 def topo_levels(spark, d):
-    return graph.topo_levels(materialize(main_successor(spark, d), "succ").select(F.col("src").alias("node"), F.col("dst").alias("needs")))
+    return dag.topo_levels(materialize(main_successor(spark, d), "succ").select(F.col("src").alias("node"), F.col("dst").alias("needs")))
 
 
 @query(
@@ -187,7 +263,19 @@ def topo_levels(spark, d):
 )
 def topo_levels_acyclic(spark, d):
     deps = main_successor(spark, d).where("src < dst").select(F.col("src").alias("node"), F.col("dst").alias("needs"))
-    return graph.topo_levels(deps)
+    return dag.topo_levels(deps)
+
+
+@query(
+    "topo_levels_all",
+    f"""WITH RECURSIVE {PART_STEPS}, d AS (SELECT a AS node, b AS needs FROM steps WHERE a < b), n AS (SELECT node FROM d UNION SELECT needs FROM d),
+    l AS (SELECT node, 0 AS level FROM n UNION SELECT d.node, l.level + 1 FROM l JOIN d ON d.needs = l.node)
+    SELECT node, max(level) AS level FROM l GROUP BY node""",
+)
+def topo_levels_all(spark, d):
+    """Every edge between parts, from the smaller to the larger key."""
+    deps = materialize(part_steps(spark, d).where("a < b").select(F.col("a").alias("node"), F.col("b").alias("needs")), "deps")
+    return dag.topo_levels(deps)
 
 
 # Symbols of a document: lines that start with a capitalised ASCII word.

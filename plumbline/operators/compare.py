@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.functions import text as tx
+from plumbline.operators import dag
 
 # Which signal speaks for a subject, best first.
 PRECEDENCE = {
@@ -165,19 +166,22 @@ def scope_filter(rows: DataFrame, scope: DataFrame, item: str = "item") -> tuple
     return kept, dropped
 
 
-def resolution_check(claims: DataFrame, reach: DataFrame | None) -> DataFrame:
-    """``finding, commit, state, severity``: a claimed fix counts only if its commit is an ancestor of the tip.
+def resolution_check(claims: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """``finding, commit, state, severity``: a claimed fix counts only if its commit is an ancestor of its tip.
 
-    ``reach(node)`` are the tip's ancestors; None means no ancestry is known.
+    ``claims`` is ``finding, commit, tip, severity``, ``parents`` the history as ``child, parent``. Without a history,
+    and for claims without a tip or commit, nothing is verified. Each tip is searched once, no history is closed.
     """
-    if reach is None:
+    if parents is None:
         return claims.select("finding", "commit", F.lit("unverified").alias("state"), "severity")
-    hit = reach.select(F.col("node").alias("commit")).distinct().withColumn("_hit", F.lit(True))
-    j = claims.join(hit, "commit", "left")
+    pairs = claims.select(F.col("commit").alias("a"), F.col("tip").alias("b")).distinct()
+    hits = dag.is_ancestor(parents, pairs).where("is_ancestor").select(F.col("a").alias("commit"), F.col("b").alias("tip"), F.lit(True).alias("_hit"))
+    j = claims.join(hits, ["commit", "tip"], "left")
+    unknown = F.col("tip").isNull() | F.col("commit").isNull()
     return j.select(
         "finding",
         "commit",
-        F.when(F.col("_hit"), "resolved").otherwise("context only").alias("state"),
+        F.when(unknown, "unverified").when(F.col("_hit"), "resolved").otherwise("context only").alias("state"),
         F.when(F.col("_hit"), F.lit("discuss")).otherwise(F.col("severity")).alias("severity"),
     )
 

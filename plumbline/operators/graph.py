@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.operators.changelog import GROUP_MIN_SUPPORT
+from plumbline.operators.dag import NotConverged
 from plumbline.plans.lineage import Accumulator, materialize
 
 # Defaults of the graph lenses.
@@ -34,10 +35,6 @@ BEHAVIOURAL = (BEHAVIOURAL_KEYWORD_RE, BEHAVIOURAL_VALUE_RE)
 IDENTIFIER_RE = r"(?<![\w$])[A-Za-z_$][\w$]*"
 
 
-class NotConverged(RuntimeError):
-    """An iterative operator reached its round limit."""
-
-
 def _checksum(df: DataFrame, *cols: str) -> tuple[int, int]:
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*cols)), F.lit(0))).first()
     return row[0], row[1]
@@ -518,118 +515,3 @@ def volatile_hubs(
         .join(inbound.where(F.col("inbound") >= min_inbound), item)
         .select(item, "commits", "inbound", (F.col("commits") * F.col("inbound")).alias("score"))
     )
-
-
-def _linear_ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``ancestors`` where every child has one parent: round k adds the nodes up to 2^k steps away."""
-    strides = materialize(
-        parents.select(F.col("child").alias("node"), F.col("parent").alias("far"), F.lit(1).alias("steps")).distinct(), "strides"
-    )
-    seen = materialize(tips.select("tip", F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
-    total = seen.count()
-    for _ in range(max_rounds):
-        further = seen.join(strides, "node").select("tip", F.col("far").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
-        seen = materialize(seen.unionByName(further).groupBy("tip", "node").agg(F.min("depth").alias("depth")), "seen")
-        now = seen.count()
-        if now == total:
-            return seen
-        total = now
-        ahead = strides.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("steps").alias("_steps"))
-        strides = materialize(
-            strides.join(ahead, "far").select("node", F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps")), "strides"
-        )
-    raise NotConverged(f"linear history after {max_rounds} rounds")
-
-
-def ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """``tip, node, depth``: everything reachable from each tip over ``parents(child, parent)``, nearest depth first.
-
-    A linear history (no child with two parents) is walked with doubling
-    strides. Otherwise a frontier search runs for all tips at once: each round
-    joins only the newest nodes with the edges and drops what a tip has seen.
-    """
-    several = parents.select("child", "parent").distinct().groupBy("child").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    if several.isEmpty():
-        return _linear_ancestors(parents, tips)
-    e = parents.select(F.col("child").alias("node"), F.col("parent")).distinct()
-    seen = Accumulator(tips.select(F.col("tip"), F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
-    frontier = seen.all()
-    for depth in range(1, max_rounds + 1):
-        step = (
-            frontier.join(e, "node")
-            .select("tip", F.col("parent").alias("node"), F.lit(depth).alias("depth"))
-            .distinct()
-            .join(seen.all().select("tip", "node"), ["tip", "node"], "left_anti")
-        )
-        frontier = seen.add(step)
-        if frontier.isEmpty():
-            return seen.all()
-    raise NotConverged(f"reachability after {max_rounds} rounds")
-
-
-def is_ancestor(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds ``is_ancestor`` to ``pairs(a, b)``: a is reachable from b."""
-    reach = ancestors(parents, pairs.select(F.col("b").alias("tip")).distinct())
-    hits = reach.select(F.col("tip").alias("b"), F.col("node").alias("a"), F.lit(True).alias("is_ancestor"))
-    return pairs.join(hits, ["a", "b"], "left").withColumn("is_ancestor", F.coalesce("is_ancestor", F.lit(False)))
-
-
-def commit_range(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, node``: nodes reachable from the newer end but not from the older one.
-
-    The ends are swapped when ``b`` is an ancestor of ``a``; unrelated ends give no rows.
-    """
-    both = is_ancestor(parents, pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    both = materialize(both, "related").where("is_ancestor")
-    forward = pairs.join(both.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.col("a").alias("old"), F.col("b").alias("new"))
-    backward = (
-        pairs.join(both.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
-        .where(F.col("a") != F.col("b"))
-        .select("a", "b", F.col("b").alias("old"), F.col("a").alias("new"))
-    )
-    ends = materialize(forward.unionByName(backward), "ends")
-    reach = ancestors(parents, ends.select(F.col("old").alias("tip")).unionByName(ends.select(F.col("new").alias("tip"))).distinct())
-    newer = ends.join(reach.withColumnRenamed("tip", "new"), "new").select("a", "b", "node")
-    older = ends.join(reach.withColumnRenamed("tip", "old"), "old").select("a", "b", "node")
-    return newer.join(older, ["a", "b", "node"], "left_anti")
-
-
-def first_parent_chain(parents: DataFrame, tips: DataFrame) -> DataFrame:
-    """``tip, node, depth`` along the lowest-numbered parent of each child (``parents(child, parent, n)``)."""
-    first = parents.groupBy("child").agg(F.min_by("parent", "n").alias("parent"))
-    return ancestors(first, tips)
-
-
-def merge_base(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, base``: the nearest common ancestor (smallest summed depth, then id)."""
-    reach = ancestors(parents, pairs.select(F.col("a").alias("tip")).unionByName(pairs.select(F.col("b").alias("tip"))).distinct())
-    of_a = pairs.select("a", "b").join(reach.select(F.col("tip").alias("a"), "node", F.col("depth").alias("da")), "a")
-    of_b = reach.select(F.col("tip").alias("b"), "node", F.col("depth").alias("db"))
-    common = of_a.join(of_b, ["b", "node"])
-    return common.groupBy("a", "b").agg(F.min_by("node", F.struct((F.col("da") + F.col("db")).alias("d"), "node")).alias("base"))
-
-
-def topo_levels(deps: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """``node, level``: dependency-free nodes are 0, others one above their deepest dependency.
-
-    ``deps(node, needs)``. Nodes on or behind a cycle never become free; they
-    are returned with a NULL level.
-    """
-    edges = materialize(deps.select("node", "needs").distinct(), "deps")
-    nodes = edges.select("node").unionByName(edges.select(F.col("needs").alias("node"))).distinct()
-    waiting = edges
-    placed: Accumulator | None = None
-    remaining = materialize(nodes, "nodes")
-    for level in range(max_rounds):
-        free = remaining.join(waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level))
-        if placed is None:
-            placed = Accumulator(free, "placed")
-            free = placed.all()
-        else:
-            free = placed.add(free)
-        if free.isEmpty():
-            return placed.all().unionByName(remaining.withColumn("level", F.lit(None).cast("int")))
-        gone = free.select("node")
-        remaining = materialize(remaining.join(gone, "node", "left_anti"), "nodes")
-        waiting = materialize(waiting.join(gone.withColumnRenamed("node", "needs"), "needs", "left_anti"), "deps")
-    raise NotConverged(f"levels after {max_rounds} rounds")

@@ -123,7 +123,12 @@ def test_precedence_fold_scope_keys(spark, rows):
 
 
 def test_resolution_check(spark, rows):
-    claims = spark.createDataFrame([("F1", "c1", "critical"), ("F2", "c9", "critical")], "finding string, commit string, severity string")
-    reach = spark.createDataFrame([("c1",), ("c2",)], "node string")
-    assert rows(compare.resolution_check(claims, reach)) == [("F1", "c1", "resolved", "discuss"), ("F2", "c9", "context only", "critical")]
-    assert rows(compare.resolution_check(claims, None), "state") == [("unverified",), ("unverified",)]
+    claims = [("F1", "c1", "t", "critical"), ("F2", "c9", "t", "critical"), ("F3", "c3", "c2", "Low"), ("F4", "t", "t", "Low"), ("F5", "c1", None, "Low"), ("F6", None, "t", "Low")]
+    claims = spark.createDataFrame(claims, "finding string, commit string, tip string, severity string")
+    # t merges c3 into c2, both after c1.
+    parents = spark.createDataFrame([("t", "c2"), ("t", "c3"), ("c2", "c1"), ("c3", "c1"), ("c9", "c1")], "child string, parent string")
+    assert rows(compare.resolution_check(claims, parents)) == [
+        ("F1", "c1", "resolved", "discuss"), ("F2", "c9", "context only", "critical"), ("F3", "c3", "context only", "Low"), ("F4", "t", "resolved", "discuss"),
+        ("F5", "c1", "unverified", "Low"), ("F6", None, "unverified", "Low"),
+    ]
+    assert set(rows(compare.resolution_check(claims, None), "state")) == {("unverified",)}

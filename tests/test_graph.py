@@ -84,25 +84,6 @@ def test_strongly_connected_against_brute_force(spark):
     assert {frozenset(v) for v in got.values()} == brute_scc(pairs)
 
 
-def test_ancestry(spark, rows):
-    # c1 <- c2 <- c3 <- c5, c2 <- c4, c5 merges c4
-    parents = spark.createDataFrame(
-        [("c2", "c1", 1), ("c3", "c2", 1), ("c4", "c2", 1), ("c5", "c3", 1), ("c5", "c4", 2)], "child string, parent string, n int"
-    )
-    pairs = spark.createDataFrame([("c1", "c5"), ("c4", "c3")], "a string, b string")
-    assert rows(graph.is_ancestor(parents, pairs)) == [("c1", "c5", True), ("c4", "c3", False)]
-    assert rows(graph.commit_range(parents, spark.createDataFrame([("c5", "c2"), ("c4", "c3")], "a string, b string"))) == [
-        ("c5", "c2", "c3"), ("c5", "c2", "c4"), ("c5", "c2", "c5"),
-    ]
-    assert rows(graph.merge_base(parents, spark.createDataFrame([("c3", "c4")], "a string, b string"))) == [("c3", "c4", "c2")]
-    assert rows(graph.first_parent_chain(parents, spark.createDataFrame([("c5",)], "tip string")), "node") == [("c1",), ("c2",), ("c3",), ("c5",)]
-
-
-def test_topo_levels(spark, rows):
-    deps = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x")], "node string, needs string")
-    assert rows(graph.topo_levels(deps)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("x", None), ("y", None), ("z", None)]
-
-
 def test_conformance(spark, rows):
     elements = spark.createDataFrame([("app.ui", ["ui"]), ("app.core", ["core"]), ("lib", ["flux", "helpers/h1.ts:12"])], "fqn string, prefixes array<string>")
     relations = spark.createDataFrame([("app", "lib", "uses"), ("app.ui", "app.core", "calls"), ("lib", "app.ui", "wish")], "src string, dst string, title string")
