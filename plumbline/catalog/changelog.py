@@ -81,16 +81,17 @@ def co_change_window(spark, d):
 
 
 HIDDEN = f"""{PAIRS}, near AS (SELECT DISTINCT least(x.l_suppkey, y.l_suppkey) AS a, greatest(x.l_suppkey, y.l_suppkey) AS b FROM lineitem x
-    JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R' AND x.l_quantity > y.l_quantity),
+    JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 AND y.l_shipdate = x.l_shipdate),
   hub AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0),
   hidden AS (SELECT * FROM pairs WHERE (a, b) NOT IN (SELECT a, b FROM near) AND a NOT IN (SELECT s_suppkey FROM hub) AND b NOT IN (SELECT s_suppkey FROM hub))"""
 
 
 def hidden(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    x = li.select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("src"), F.col("l_quantity").alias("q"))
-    y = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("k"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("r"))
-    edges = x.join(y, ["l_orderkey", "k"]).where("q > r").select("src", "dst").distinct()
+    """Suppliers of two lines in a row that were shipped on one day are linked."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    x = li.select("l_orderkey", "l_shipdate", F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("src"))
+    y = li.select("l_orderkey", "l_shipdate", (F.col("l_linenumber") - 1).alias("k"), F.col("l_suppkey").alias("dst"))
+    edges = x.join(y, ["l_orderkey", "l_shipdate", "k"]).select("src", "dst").distinct()
     hubs = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("item"))
     return changelog.hidden_only(_pairs(spark, d), edges, hubs)
 

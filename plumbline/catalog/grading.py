@@ -41,7 +41,7 @@ def ground_quotes(spark, d):
 
 
 GROUND = """gt AS (SELECT l_orderkey % 500 AS item, l_suppkey AS path, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_partkey END AS line, 2 AS min_files FROM lineitem WHERE l_returnflag = 'R'),
-ct AS (SELECT l_suppkey AS path, l_partkey AS line FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40)"""
+ct AS (SELECT l_suppkey AS path, l_partkey AS line FROM lineitem WHERE l_returnflag = 'A')"""
 
 
 @query(
@@ -58,7 +58,7 @@ def recall(spark, d):
         F.when(F.col("l_linenumber") != 3, F.col("l_partkey")).alias("line"),
         F.lit(2).alias("min_files"),
     )
-    cites = li.where("l_returnflag = 'A' AND l_quantity > 40").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("line"))
+    cites = li.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("line"))
     return grading.recall(ground, cites, radius=5)
 
 
@@ -195,7 +195,7 @@ def run_costs(spark, d):
 @query(
     "compound_contract",
     """WITH f AS (SELECT l_orderkey AS compound, count(DISTINCT CASE WHEN l_quantity > 5 THEN l_suppkey END) AS files, count(CASE WHEN l_returnflag = 'A' AND l_discount > 0.09 THEN 1 END) AS bad_quotes FROM lineitem GROUP BY 1),
-    p AS (SELECT compound, count(*) AS parsed, count(CASE WHEN p_partkey IS NULL THEN 1 END) AS alien FROM (SELECT DISTINCT l_orderkey AS compound, l_partkey AS id FROM lineitem WHERE l_linenumber < 6) c LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 45) ON p_partkey = id GROUP BY 1)
+    p AS (SELECT compound, count(*) AS parsed, count(CASE WHEN p_partkey IS NULL THEN 1 END) AS alien FROM (SELECT DISTINCT l_orderkey AS compound, l_partkey AS id FROM lineitem) c LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 45) ON p_partkey = id GROUP BY 1)
     SELECT o_orderkey AS compound, coalesce(files, 0) AS files, coalesce(bad_quotes, 0) AS bad_quotes, coalesce(alien, 0) AS alien, coalesce(parsed, 0) AS parsed,
       coalesce(files, 0) >= 2 AND coalesce(bad_quotes, 0) = 0 AND coalesce(alien, 0) = 0 AND coalesce(parsed, 0) > 0 AS passed FROM orders LEFT JOIN f ON f.compound = o_orderkey LEFT JOIN p ON p.compound = o_orderkey""",
 )
@@ -207,7 +207,7 @@ def compound_contract(spark, d):
         (F.col("l_quantity") > 5).alias("resolved"),
         (~((F.col("l_returnflag") == "A") & (F.col("l_discount") > 0.09))).alias("grounded"),
     )
-    parts = li.where("l_linenumber < 6").select(F.col("l_orderkey").alias("compound"), F.col("l_partkey").alias("id"))
+    parts = li.select(F.col("l_orderkey").alias("compound"), F.col("l_partkey").alias("id"))
     supplied = table(spark, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("id"))
     return grading.compound_contract(table(spark, d, "orders").select(F.col("o_orderkey").alias("compound")), cites, parts, supplied)
 

@@ -261,8 +261,8 @@ def report_scope(spark, d):
 @query(
     "theater_matrix",
     f"""WITH {COVER}, cov AS (SELECT path, {_cov('stmt')}, {_cov('branch')} FROM hits GROUP BY path),
-    den AS (SELECT l_suppkey AS path, sum(l_tax) / sum(l_discount) AS ratio FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' GROUP BY l_suppkey),
-    mut AS (SELECT s_suppkey AS path, CAST(s_acctbal / 100 AS BIGINT) AS score FROM supplier WHERE s_acctbal > 1000),
+    den AS (SELECT l_suppkey AS path, sum(l_tax) / sum(l_discount) AS ratio FROM lineitem GROUP BY l_suppkey),
+    mut AS (SELECT s_suppkey AS path, CASE WHEN s_acctbal > 1000 THEN CAST(s_acctbal / 100 AS BIGINT) END AS score FROM supplier),
     j AS (SELECT coalesce(cov.path, den.path, mut.path) AS path, ratio, stmt, branch, score FROM den FULL JOIN cov ON den.path = cov.path FULL JOIN mut ON mut.path = coalesce(cov.path, den.path))
     SELECT path, CASE WHEN coalesce(stmt, 0) > 0 AND branch = 0 THEN 'coverage gap' WHEN coalesce(stmt, 0) > 0 AND coalesce(ratio, 0) < 0.8 THEN 'theater'
       WHEN coalesce(stmt, 0) > 0 AND score IS NULL THEN 'unknown' WHEN coalesce(stmt, 0) > 0 AND score < 40 THEN 'definitive theater'
@@ -272,13 +272,12 @@ def theater_matrix(spark, d):
     li = table(spark, d, "lineitem")
     cov = coverage_rollup(spark, d).where(F.col("path").isNotNull())
     density = (
-        li.where(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp"))
-        .groupBy(F.col("l_suppkey").alias("path"))
+        li.groupBy(F.col("l_suppkey").alias("path"))
         .agg((F.sum("l_tax") / F.sum("l_discount")).alias("ratio"))
     )
-    mut = table(spark, d, "supplier").where("s_acctbal > 1000").select(
-        F.col("s_suppkey").alias("path"), F.round(F.col("s_acctbal") / 100).cast("bigint").alias("score")
-    )
+    # Suppliers without a score have a report that says nothing.
+    score = F.when(F.col("s_acctbal") > 1000, F.round(F.col("s_acctbal") / 100).cast("bigint")).alias("score")
+    mut = table(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), score)
     return quality.theater_matrix(density, cov, mut, scope="partial", asserted_at=0.8).select("path", "verdict")
 
 

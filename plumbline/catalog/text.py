@@ -179,6 +179,38 @@ def sink_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(scripts).cast("bigint").alias("scripts")).join(total, "page_id")
 
 
+# A line of code per page, with and without what the sink rules look for, and the rules without look-arounds.
+CODE_LINES = [
+    "const out = execSync(cmd);", "subprocess.run([x])", "re_exec(x); my.execute(x)", "spawn('ls', { shell: true })", "Popen(cmd, shell=True)", "os.system(line)",
+    "readFile('/tmp/' + name)", "reopen(a + b)", "path.join(root, req.query.f)", "sendFile(`${base}/x`)", "open('plain.txt')",
+    "fetch(url)", "fetch('/api')", "axios (target)", "axios ( \"https://x.io\")", "prefetch(url)", "http.get( u )", "urllib",
+    "API_KEY = 'abcdefghijklmnop'", "password: 'short'", "-----BEGIN RSA PRIVATE KEY-----", "see http://user:secret@host.io/", "let value = 1;",
+]
+SINK_SQL = {
+    "command-exec": r"(^|[^A-Za-z0-9_])exec(Sync)?\(|(^|[^A-Za-z0-9_])spawn\([^)]*shell:|subprocess\.run\(|Popen\([^)]*shell=True|os\.system\(|Runtime\.exec",
+    "path-traversal": r"((readFile|writeFile|createReadStream|sendFile)|(^|[^A-Za-z0-9_])open)\([^)]*(\+|\$\{)|path\.join\([^)]*(req|user|param)",
+    "ssrf": r"""((^|[^A-Za-z0-9_])fetch\(|axios|https?\.get\(|(^|[^A-Za-z0-9_])request\(|urllib|HttpClient)[\s(]*([^\s(\x27"]|$)""",
+    "secrets-in-diff": r"""(?i)[A-Z_]*(KEY|SECRET|TOKEN|PASSWORD|PASSWD)[A-Z_]*\s*[:=]\s*[\x27"][^\x27"]{12,}[\x27"]|-----BEGIN [A-Z ]*PRIVATE KEY-----|://[^\s:/@]+:[^\s/@]+@""",
+}
+
+
+def _code_sql() -> str:
+    quoted = ", ".join("'" + x.replace("'", "''") + "'" for x in CODE_LINES)
+    code = f"code AS (SELECT page_id, html || chr(10) || [{quoted}][page_id % {len(CODE_LINES)} + 1] AS text FROM pages)"
+    lines = f"l AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT page_id, {sql_lines('text')} AS x FROM code))"
+    return f"WITH {code}, {lines} " + " UNION ALL ".join(
+        f"SELECT page_id, CAST(line_no AS INTEGER) AS line_no, '{rule}' AS rule FROM l WHERE regexp_matches(line, '{pattern}')" for rule, pattern in SINK_SQL.items()
+    )
+
+
+@query("sink_rules", _code_sql())
+def sink_rules(spark, d):
+    """Every sink rule on every line of the pages, with a line of code added to each."""
+    line = F.element_at(F.array(*[F.lit(x) for x in CODE_LINES]), (F.col("page_id") % len(CODE_LINES) + 1).cast("int"))
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", F.lit("\n"), line).alias("text"))
+    return predicates.pattern_scan(pages, predicates.SINK_RULES, doc="page_id").select("page_id", "line_no", "rule")
+
+
 @query(
     "interesting_lines",
     f"""WITH l AS (SELECT doc_id, unnest({sql_lines('text')}) AS raw FROM documents), n AS (SELECT doc_id, {sql_norm('raw')} AS line FROM l)

@@ -16,8 +16,8 @@ from plumbline.operators import profile, verdicts
     f"""WITH {DOCS}, {PROFILE}, m AS (SELECT {sql_count('text', '!!')} AS s FROM docs),
     x AS (SELECT (SELECT count(*) FROM docs, lim WHERE loc > threshold) >= 1 AS g, (SELECT count(*) FROM m WHERE s > 0) >= 2 OR (SELECT max(s) FROM m) >= 3 AS fp,
       (SELECT max(w) FROM (SELECT count(DISTINCT l_suppkey) AS w FROM lineitem GROUP BY l_partkey)) >= 2 AS s)
-    SELECT (SELECT count(*) FROM docs WHERE lang = 'fr') AS file_count, array_to_string(list_filter([CASE WHEN g THEN 'G' END, CASE WHEN s THEN 'S' END, CASE WHEN fp THEN 'Fp' END], lambda v: v IS NOT NULL), ',') AS live,
-      'C' AS unmeasured, CASE WHEN (SELECT count(*) FROM docs WHERE lang = 'fr') >= 100 THEN 'full' WHEN g OR s OR fp THEN 'selective' ELSE 'skip' END AS band FROM x""",
+    SELECT (SELECT count(*) FROM docs) AS file_count, array_to_string(list_filter([CASE WHEN g THEN 'G' END, CASE WHEN s THEN 'S' END, CASE WHEN fp THEN 'Fp' END], lambda v: v IS NOT NULL), ',') AS live,
+      'C' AS unmeasured, CASE WHEN (SELECT count(*) FROM docs) >= 100 THEN 'full' WHEN g OR s OR fp THEN 'selective' ELSE 'skip' END AS band FROM x""",
 )
 def warrant(spark, d):
     t = sized_docs(spark, d)
@@ -31,7 +31,7 @@ def warrant(spark, d):
     writes = row("write-sites", owners, F.concat(F.col("part").cast("string"), F.lit("\twriters="), F.col("writers").cast("string")))
     ran_empty = table(spark, d, "region").select(F.lit("low-cohesion").alias("label"), F.lit(None).cast("string").alias("line"))
     blocks = big.unionByName(swallows).unionByName(writes).unionByName(ran_empty)
-    count = t.where("lang = 'fr'").agg(F.count(F.lit(1)).alias("n")).scalar()
+    count = t.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = verdicts.warrant(blocks, count)
     return out.select("file_count", F.array_join("live", ",").alias("live"), F.array_join("unmeasured", ",").alias("unmeasured"), "band")
 
