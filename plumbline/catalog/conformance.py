@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import query, table
 from plumbline.catalog.derived import PART_EDGES, part_edges
 from plumbline.operators import conformance as con
-from plumbline.plans.lineage import materialize
+from plumbline.plans.lineage import materialize, scratch_path
 from plumbline.sources import reports
 
 # Elements: brands 10 and up belong to group 'far', the others to 'near'; brand 7 is undeclared.
@@ -157,29 +157,24 @@ def strongly_connected_all(spark, d):
 @query(
     "declared_model",
     """WITH s AS (SELECT s_suppkey, s_name, 'nation' || s_nationkey AS nation FROM supplier)
-    SELECT nation || '.s' || s_suppkey AS fqn, 'dir/' || s_suppkey || '|' || 'src/a' || s_suppkey || '|src/b' AS prefixes, nation AS rel_src, nation || '.s' || s_suppkey AS rel_dst FROM s""",
+    SELECT nation || '.s' || s_suppkey AS fqn, CASE WHEN s_suppkey % 5 = 0 THEN 'moved/' || s_suppkey ELSE 'dir/' || s_suppkey || '|' || 'src/a' || s_suppkey || '|src/b' END AS prefixes,
+      nation AS rel_src, nation || '.s' || s_suppkey AS rel_dst FROM s""",
 )
 def declared_model(spark, d):
+    """A model file per nation, read with an override map for every fifth supplier."""
     key = F.col("s_suppkey").cast("string")
     fqn = F.concat(F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit(".s"), key)
-    as_map = F.to_json(
-        F.struct(
-            F.create_map(
-                fqn,
-                F.struct(
-                    F.col("s_name").alias("title"),
-                    F.struct(F.concat(F.lit("./dir/"), key, F.lit("/")).alias("dir"), F.concat(F.lit("src/a"), key, F.lit("; src/b ")).alias("sources")).alias("metadata"),
-                ),
-            ).alias("elements"),
-            F.array(
-                F.struct(
-                    F.struct(F.substring_index(fqn, ".", 1).alias("model")).alias("source"), F.struct(fqn.alias("id")).alias("target"), F.lit("owns").alias("title")
-                )
-            ).alias("relations"),
-        )
+    meta = F.struct(F.concat(F.lit("./dir/"), key, F.lit("/")).alias("dir"), F.concat(F.lit("src/a"), key, F.lit("; src/b ")).alias("sources"))
+    element = F.struct(fqn.alias("key"), F.struct(F.col("s_name").alias("title"), meta.alias("metadata")).alias("value"))
+    relation = F.struct(
+        F.struct(F.substring_index(fqn, ".", 1).alias("model")).alias("source"), F.struct(fqn.alias("id")).alias("target"), F.lit("owns").alias("title")
     )
-    texts = table(spark, d, "supplier").select(as_map.alias("text"))
-    elems, rels = reports.model_of(texts)
+    suppliers = table(spark, d, "supplier")
+    models = suppliers.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(element)).alias("elements"), F.collect_list(relation).alias("relations"))
+    path = scratch_path(spark, "models")
+    models.select(F.to_json(F.struct("elements", "relations")).alias("value")).repartition(4).write.option("maxRecordsPerFile", 1).text(path)
+    override = suppliers.where("s_suppkey % 5 = 0").select(fqn.alias("fqn"), F.array(F.concat(F.lit("./moved/"), key, F.lit("/"))).alias("prefixes"))
+    elems, rels = reports.read_declared_model(spark, path, override)
     return elems.join(rels, elems["fqn"] == rels["dst"]).select(
         "fqn", F.array_join("prefixes", "|").alias("prefixes"), F.col("src").alias("rel_src"), F.col("dst").alias("rel_dst")
     )
