@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import MULT, bounds, chunks, mix, shingles, signed, words
-from plumbline.llm.common import prefilter
+from plumbline.llm.common import prefilter, tidy
 from plumbline.operators.graph import connected_components
 from plumbline.plans.lineage import materialize
 
@@ -114,7 +114,7 @@ def describe(docs: DataFrame, key: str, text: str, width: int, counters: int) ->
         yield pa.RecordBatch.from_arrays([*empty, *own], names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, schema), "sets")
+    return materialize(rows.mapInArrow(tidy(run), schema), "sets")
 
 
 def shrink(counts: np.ndarray) -> bytes:
@@ -230,7 +230,7 @@ def signatures(docs: DataFrame, text: str, width: int, frequent: np.ndarray) ->
                 arrays = [signed(sig), fp[of], left.astype(np.int32), n[of].astype(np.int32), last[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "sig long, fp long, left int, n int, last int")
+    return docs.select(F.col(text).cast("string")).mapInArrow(tidy(run), "sig long, fp long, left int, n int, last int")
 
 
 def sets_of(docs: DataFrame, key: str, text: str, width: int, reps: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int, reps: DataFrame) -
     wanted = reps.select(F.col("key").alias("k")).distinct()
     found = near.join(wanted, near["key"].eqNullSafe(wanted["k"]), "left_semi").select("text")
     # Rows with equal ids may hold other texts; those sets are not asked for.
-    sets = found.mapInArrow(run, "fp long, tokens array<long>").join(reps.select("fp"), "fp", "left_semi")
+    sets = found.mapInArrow(tidy(run), "fp long, tokens array<long>").join(reps.select("fp"), "fp", "left_semi")
     return materialize(sets.dropDuplicates(["fp"]), "tokens")
 
 
