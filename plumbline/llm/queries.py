@@ -119,7 +119,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_repeated_passages")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.find_repeats(load(spark, sf_dir, "documents")).drop("key")
+    return substrings.find_repeats(load(spark, sf_dir, "documents")).drop("key", "text_hash")
 
 
 @register("op1_score_texts")
