@@ -15,15 +15,15 @@ SEQ = f"""norm_lines AS (SELECT doc_id AS doc, unnest(range(1, len(l) + 1)) AS r
 kept AS (SELECT doc, line, row_number() OVER (PARTITION BY doc ORDER BY raw_no) AS pos, count(*) OVER (PARTITION BY doc) AS n FROM norm_lines
   WHERE length(line) >= 12 AND NOT regexp_matches(line, '^(?:import\\b|export\\s+\\{{|export\\s+\\*|export\\s+type\\b|//|/\\*|\\*|@)')
     AND NOT regexp_matches(line, '^[A-Za-z_$][\\w$]*,?$') AND NOT regexp_matches(line, '^[)}}\\];,{{(]+$')),
-seqs AS (SELECT doc, line, pos FROM kept WHERE n >= 8),
-sets AS (SELECT DISTINCT doc, line FROM seqs),
-sets_rep AS (SELECT doc, min(doc) OVER (PARTITION BY f) AS rep FROM (SELECT doc, list(line ORDER BY pos) AS f FROM seqs GROUP BY doc))"""
+seqs AS MATERIALIZED (SELECT doc, line, pos FROM kept WHERE n >= 8),
+sets AS MATERIALIZED (SELECT DISTINCT doc, line FROM seqs),
+sets_rep AS MATERIALIZED (SELECT doc, min(doc) OVER (PARTITION BY f) AS rep FROM (SELECT doc, list(line ORDER BY pos) AS f FROM seqs GROUP BY doc))"""
 
 SKETCH = f"""toks AS (SELECT doc_id AS doc, {sql_tokens('text')} AS t FROM documents),
-sk AS (SELECT doc, list_slice(list_sort(list_distinct(list_transform(range(1, len(t) - 7),
+sk AS MATERIALIZED (SELECT doc, list_slice(list_sort(list_distinct(list_transform(range(1, len(t) - 7),
     lambda i: CAST('0x' || substr(md5(array_to_string(t[i:i + 8], ' ')), 1, 15) AS BIGINT)))), 1, 128) AS hashes FROM toks WHERE len(t) >= 120),
-sketches AS (SELECT doc, unnest(hashes) AS h FROM sk),
-sketches_rep AS (SELECT doc, min(doc) OVER (PARTITION BY hashes) AS rep FROM sk)"""
+sketches AS MATERIALIZED (SELECT doc, unnest(hashes) AS h FROM sk),
+sketches_rep AS MATERIALIZED (SELECT doc, min(doc) OVER (PARTITION BY hashes) AS rep FROM sk)"""
 
 
 def _candidates(rel: str, key: str) -> str:
@@ -74,9 +74,9 @@ def hash_groups(spark, d):
     return groups.where("docs > 6").groupBy("docs").agg(F.count(F.lit(1)).alias("lines"), F.min("first_doc").alias("first_doc"))
 
 
-OVERLAP = f"""cand AS ({_candidates('sets', 'line')}),
+OVERLAP = f"""cand AS MATERIALIZED ({_candidates('sets', 'line')}),
 sizes AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
-shared AS (SELECT a, b, count(*) AS shared FROM cand JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b AND y.line = x.line GROUP BY ALL)"""
+shared AS MATERIALIZED (SELECT a, b, count(*) AS shared FROM cand JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b AND y.line = x.line GROUP BY ALL)"""
 
 
 @query(
@@ -90,7 +90,7 @@ def overlap(spark, d):
 
 @query(
     "sketch_jaccard",
-    f"""WITH {SKETCH}, cand AS ({_candidates('sketches', 'h')}), i AS (SELECT a, b, count(*) AS n FROM cand JOIN sketches x ON x.doc = a JOIN sketches y ON y.doc = b AND y.h = x.h GROUP BY ALL)
+    f"""WITH {SKETCH}, cand AS MATERIALIZED ({_candidates('sketches', 'h')}), i AS (SELECT a, b, count(*) AS n FROM cand JOIN sketches x ON x.doc = a JOIN sketches y ON y.doc = b AND y.h = x.h GROUP BY ALL)
     SELECT a, b, round(i.n / (len(p.hashes) + len(q.hashes) - i.n), 6) AS token_sim FROM i JOIN sk p ON p.doc = a JOIN sk q ON q.doc = b""",
 )
 def sketch_jaccard(spark, d):
@@ -110,15 +110,15 @@ def longest_common_run(spark, d):
     return similarity.longest_common_run(similarity.candidate_pairs(seq), seq)
 
 
-FLAGGED = f"""{SEQ}, {SKETCH}, cand AS (SELECT a, b FROM ({_candidates('sets', 'line')}) UNION SELECT a, b FROM ({_candidates('sketches', 'h')})),
+FLAGGED = f"""{SEQ}, {SKETCH}, cand AS MATERIALIZED (SELECT a, b FROM ({_candidates('sets', 'line')}) UNION SELECT a, b FROM ({_candidates('sketches', 'h')})),
 sizes AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
-shared AS (SELECT a, b, count(*) AS shared FROM cand JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b AND y.line = x.line GROUP BY ALL),
+shared AS MATERIALIZED (SELECT a, b, count(*) AS shared FROM cand JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b AND y.line = x.line GROUP BY ALL),
 inter AS (SELECT a, b, count(*) AS n FROM cand JOIN sketches x ON x.doc = a JOIN sketches y ON y.doc = b AND y.h = x.h GROUP BY ALL),
 {RUNS.format(min_run=6)},
 scored AS (SELECT a, b, coalesce(shared, 0) AS shared, coalesce(run, 0) AS run,
     coalesce(inter.n / (len(p.hashes) + len(q.hashes) - inter.n), 0.0) AS token_sim
   FROM cand LEFT JOIN shared USING (a, b) LEFT JOIN runs USING (a, b) LEFT JOIN inter USING (a, b) LEFT JOIN sk p ON p.doc = a LEFT JOIN sk q ON q.doc = b),
-flagged AS (SELECT *, CASE WHEN run >= 6 AND token_sim >= 0.4 THEN 'both' WHEN token_sim >= 0.4 THEN 'structural' ELSE 'lines' END AS via
+flagged AS MATERIALIZED (SELECT *, CASE WHEN run >= 6 AND token_sim >= 0.4 THEN 'both' WHEN token_sim >= 0.4 THEN 'structural' ELSE 'lines' END AS via
   FROM scored WHERE run >= 6 OR token_sim >= 0.4)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.records import round_half_up
+from plumbline.plans.lineage import materialize
 from plumbline.plans.skew import salted_join
 
 # Absolute size limits for a corpus with one document, by language.
@@ -173,27 +174,32 @@ def nearest_preceding(
 ) -> DataFrame:
     """Attribute each call to the closest earlier marker of its key within ``max_gap`` (exclusive).
 
-    Positions are cut into blocks of ``max_gap``; a marker is visible in its own
-    and the next block, which covers the whole gap, so a long key is split over
-    many tasks without losing a match.
+    Of markers at one position the last in order of their labels counts. An as-of join over ranges: rows are dealt to
+    tasks by key and position, so a key with most of the rows lies in many ranges, and a call sees the markers of its
+    own range and the last one of its key in the ranges before, which a scan over one row per range and key hands on.
     """
     key = list(key)
-    block = F.floor(F.col(pos) / max_gap).cast("bigint")
-    m = markers.select(
-        *key, F.col(pos), F.col(label), F.explode(F.array(block, block + 1)).alias("_block"), F.lit(0).alias("_call")
-    )
+    m = markers.select(*key, F.col(pos), F.col(label), F.lit(0).alias("_call"))
     # A call may carry further columns; they travel in one struct.
     extra = [c for c in calls.columns if c not in {*key, pos}]
-    c = calls.select(*key, F.col(pos), block.alias("_block"), F.lit(1).alias("_call"), F.struct(F.lit(1), *extra).alias("_row"))
-    both = m.unionByName(c, allowMissingColumns=True)
+    c = calls.select(*key, F.col(pos), F.lit(1).alias("_call"), F.struct(F.lit(1), *extra).alias("_row"))
+    both = m.unionByName(c, allowMissingColumns=True).withColumn("_tie", F.xxhash64("_row"))
     # A call sorts before a marker at the same position: only earlier markers count.
-    earlier = (
-        Window.partitionBy(*key, "_block")
-        .orderBy(F.col(pos), F.col("_call").desc(), F.col(label))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    last = F.last(F.when(F.col("_call") == 0, F.struct(F.col(pos).alias("at"), F.col(label).alias("label"))), ignorenulls=True)
-    matched = both.withColumn("_m", last.over(earlier)).where(F.col("_call") == 1)
+    order = [F.col(pos), F.col("_call").desc(), F.col(label)]
+    ranged = both.repartitionByRange(*key, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged.drop("_tie"), "ranges")
+    marker = F.when(F.col("_call") == 0, F.struct(F.col(pos).alias("at"), F.col(label).alias("label")))
+    unbounded = Window.unboundedPreceding
+    lasts = ranged.groupBy("_range", *key).agg(F.max(marker).alias("_last"))
+    handed = F.last("_last", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_range").rowsBetween(unbounded, -1))
+    handed = lasts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], handed.alias("_before"))
+    handed = handed.where("_before IS NOT NULL")
+    earlier = Window.partitionBy("_range", *key).orderBy(*order).rowsBetween(unbounded, -1)
+    matched = ranged.withColumn("_m", F.last(marker, ignorenulls=True).over(earlier)).where(F.col("_call") == 1)
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    matched = matched.join(handed, same, "left").withColumn("_m", F.coalesce("_m", "_before"))
     near = F.col(pos) - F.col("_m.at") < max_gap
     return matched.select(
         *key, pos, *[F.col(f"_row.{e}").alias(e) for e in extra], F.when(near, F.col("_m.label")).alias(label)

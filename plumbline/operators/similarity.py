@@ -59,7 +59,7 @@ def minhash_sketch(
 def equal_documents(features: DataFrame) -> DataFrame:
     """``doc, rep``: each document and the smallest one with the same features (all columns but ``doc``)."""
     same = [c for c in features.columns if c != "doc"]
-    keyed = features.select("doc", F.xxhash64(*same).alias("_f"), F.md5(F.to_json(F.struct(*same))).alias("_g"))
+    keyed = features.select("doc", F.xxhash64(*same).alias("_f"), F.xxhash64(F.lit(1), *same).alias("_g"))
     reps = keyed.groupBy("_f", "_g").agg(F.min("doc").alias("rep"))
     return keyed.join(reps, ["_f", "_g"]).select("doc", "rep")
 

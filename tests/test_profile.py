@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -98,6 +100,25 @@ def test_nearest_preceding_gap_and_blocks(spark, rows):
     assert rows(got, "pos", "label") == [(0, None), (1, "zero"), (1201, "far"), (1600, None), (399, "zero"), (400, "late"), (798, "late"), (799, None)]
 
 
+def test_nearest_preceding_of_a_key_in_many_ranges(spark, rows):
+    rnd = random.Random(4)
+    mark = [(None if k == 3 else k, rnd.randrange(3000), f"m{rnd.randrange(99)}") for k in (0, 0, 0, 1, 2, 3) for _ in range(150)]
+    call = [(None if k == 3 else k, rnd.randrange(3000) if k else rnd.choice([7, 1500, rnd.randrange(3000)]), i) for i, k in enumerate([0, 0, 0, 0, 1, 3] * 300)]
+    m = spark.createDataFrame(mark, "k int, pos bigint, label string").repartition(8)
+    c = spark.createDataFrame(call, "k int, pos bigint, id int").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {i: label for _, _, i, label in rows(profile.nearest_preceding(m, c, ["k"], "pos", "label", 40))}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k, p, i in call:
+        before = [(q, label) for j, q, label in mark if j == k and q < p]
+        at, label = max(before, default=(None, None))
+        want[i] = label if before and p - at < 40 else None
+    assert got == want and sum(v is None for v in want.values()) > 20
+
+
 def test_usage_unknown_inbound(spark, rows):
     df = spark.createDataFrame(
         [("a", "alpha uses beta"), ("b", "beta alone"), ("c", "beta and alpha"), ("d", "x")], "doc_id string, text string"
