@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.records import pct
+from plumbline.plans.lineage import materialize
 from plumbline.plans.skew import salted_join
 
 # Grounding and recall tolerances.
@@ -30,7 +31,8 @@ def ground_quotes(
     ``evidence(ev_id, path, start_line, quote)``, ``lines(path, line_no, line)``.
     Verdicts: grounded, missing document, line beyond end, not found. Each
     citation emits its ``2 * radius + 1`` line numbers and meets the lines by an
-    equi join; only quotes that fail look for the hint, in their document.
+    equi join; only quotes that fail look for the hint, the first line of their
+    document that holds them, through an index of the document's words.
     """
     want = tx.strip_ellipsis(tx.norm_ws(F.col("quote")))
     cited = evidence.select("ev_id", path, "start_line", "quote", want.alias("_want"))
@@ -58,19 +60,38 @@ def ground_quotes(
     )
     judged = judged.withColumn("verdict", verdict)
     lost = judged.where((F.col("verdict") == "not found") & (F.length("_want") > 0)).select("ev_id", path, "_want")
-    # Each document with a lost quote is put together once and searched inside the row.
-    searched = (
-        norm.join(lost.select(path).distinct(), path, "left_semi")
-        .groupBy(path)
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", "_line"))).alias("_doc"))
-    )
-    found = F.filter("_doc", lambda x: F.contains(x["_line"], F.col("_want")))
-    hits = salted_join(lost, searched, [path], spread_by=[F.col("ev_id")]).select(
-        "ev_id", F.get(found, F.lit(0))["line_no"].alias("hint")
-    )
+    hits = first_lines(materialize(lost, "lost"), norm, path)
     return judged.join(hits, "ev_id", "left").select("ev_id", path, "start_line", "quote", "verdict", "hint")
 
 
+def first_lines(lost: DataFrame, norm: DataFrame, path: str) -> DataFrame:
+    """``ev_id, hint``: the first line of the quote's document that contains it.
+
+    ``lost(ev_id, path, _want)``, ``norm(path, line_no, _line)``, both with single spaces. All words of a quote but the
+    first and the last stand in such a line as they are; the one that the fewest lines of the document hold fetches the
+    lines to compare. A quote of one or two words meets the document's different words instead and takes those around
+    its longer one. Documents stay cut into lines.
+    """
+    index = norm.join(lost.select(path).distinct(), path, "left_semi")
+    index = index.select(path, "line_no", F.explode(F.array_distinct(F.split("_line", " "))).alias("word"))
+    index = materialize(index.where("word != ''"), "word-index")
+    held = materialize(index.groupBy(path, "word").agg(F.count(F.lit(1)).alias("held")), "words")
+    parts = lost.withColumn("_parts", F.split("_want", " "))
+    inner = F.array_distinct(F.slice("_parts", F.lit(2), F.size("_parts") - 2))
+    long = parts.where(F.size("_parts") > 2).select("ev_id", path, F.explode(inner).alias("word"))
+    # A word that the document lacks is held by no line, and fetches none.
+    rarest = long.join(held, [path, "word"], "left").groupBy("ev_id", path).agg(
+        F.min_by("word", F.struct(F.coalesce("held", F.lit(0)).alias("n"), "word")).alias("word")
+    )
+    longer = F.array_max(F.transform("_parts", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = parts.where(F.size("_parts") <= 2).select("ev_id", path, longer.alias("_piece"))
+    around = salted_join(held.select(path, "word"), short, [path], spread_by=[F.col("word")]).where(F.contains("word", F.col("_piece")))
+    asked = rarest.unionByName(around.select("ev_id", path, "word"))
+    near = asked.join(index, [path, "word"]).select("ev_id", path, "line_no").distinct()
+    met = near.join(norm, [path, "line_no"]).join(lost.select("ev_id", "_want"), "ev_id").where(F.contains("_line", F.col("_want")))
+    return met.groupBy("ev_id").agg(F.min("line_no").alias("hint"))
+
+
 def recall(ground: DataFrame, cites: DataFrame, radius: int = RECALL_RADIUS) -> DataFrame:
     """``item, matched, wanted, passed`` per ground-truth item.
 

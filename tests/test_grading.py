@@ -28,6 +28,24 @@ def test_ground_quotes(spark, rows):
     }
 
 
+def test_first_lines_against_brute_force(spark, rows):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4)))
+    lines = [(f"p{p}", i, " ".join(word() for _ in range(rnd.randrange(0, 9)))) for p in range(3) for i in range(1, 40)]
+    lost = []
+    for i in range(200):
+        text = " ".join(word() for _ in range(rnd.randrange(1, 7))) if i % 3 else rnd.choice([t for _, _, t in lines if t])[rnd.randrange(2) : rnd.randrange(3, 30)].strip()
+        # A third of the quotes lie in one document.
+        lost.append((f"e{i}", f"p{rnd.choice([0, 0, 1, 2, 3])}", text or "a"))
+    want = {}
+    for i, p, t in lost:
+        hits = [n for q, n, line in lines if q == p and t in line]
+        if hits:
+            want[i] = min(hits)
+    found = grading.first_lines(spark.createDataFrame(lost, "ev_id string, path string, _want string"), spark.createDataFrame(lines, "path string, line_no bigint, _line string"), "path")
+    assert dict(rows(found, "ev_id", "hint")) == want and len(want) > 60
+
+
 def test_recall_against_brute_force(spark, rows):
     rnd = random.Random(4)
     ground = [(rnd.randrange(12), f"p{rnd.randrange(6)}", rnd.choice([None, rnd.randrange(1, 400)]), rnd.randrange(1, 4)) for _ in range(60)]
