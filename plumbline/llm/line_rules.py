@@ -216,15 +216,20 @@ def learn(docs: DataFrame, quality: DataFrame, doc_id: str = "doc_id", text: str
 
     ``quality`` holds ``doc_id, quality``. Of each a window of ``TRAIN_LINES`` lines is learned that begins at a hashed
     position, so that every line of a text is as likely in it. Lines of good texts are content; lines of bad texts are
-    boilerplate unless a good text of the sample has the same line anywhere. Without labels of both classes the prior weights are returned.
+    boilerplate unless a good text of the sample has the same line anywhere. Ids labelled both ways and null ids are
+    left out; of an id's texts that with the smallest hash is learned, so reruns learn the same. Without labels of both
+    classes the prior weights are returned.
     """
-    sizes = quality.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    sure = quality.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id")
+    sure = sure.agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    sizes = sure.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(TRAIN_TEXTS)) / F.col("n"))
-    drawn = quality.join(sizes, "quality").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    drawn = materialize(drawn.select("doc_id", "quality").dropDuplicates(["doc_id"]), "drawn")
+    drawn = sure.join(sizes, "quality").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = materialize(drawn.select("doc_id", "quality"), "drawn")
     # Texts that aren't drawn stay out of the shuffle.
     rows = prefilter(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), F.col("doc_id"), drawn, F.col("doc_id")).join(drawn, "doc_id")
-    rows = materialize(rows.select("text", F.col("quality").cast("long").alias("quality")), "training")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").cast("long").alias("quality"))
+    rows = materialize(rows.select("text", "quality"), "training")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

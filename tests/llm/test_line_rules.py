@@ -95,3 +95,15 @@ def test_learning_recovers_a_field():
     theta, step = line_rules.fit(x, y, mask)
     right = [(line_rules.viterbi(x[i][mask[i] > 0] @ theta, step, np.array([0, int(mask[i].sum())])) == y[i][mask[i] > 0]).mean() for i in range(200)]
     assert np.mean(right) > 0.93
+
+
+def test_contradicting_labels_and_repeated_ids_are_learned_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality").where("quality is not null").dropDuplicates(["doc_id"])
+    torn = [r.doc_id for r in labels.orderBy("doc_id").limit(8).collect()]
+    without = line_rules.learn(docs, labels.where(~F.col("doc_id").isin(torn)))
+    both = labels.unionByName(labels.where(F.col("doc_id").isin(torn)).withColumn("quality", 1 - F.col("quality")))
+    nulls = spark.createDataFrame([(None, 0), (None, 1)], labels.schema)
+    more = docs.union(docs).union(spark.createDataFrame([(None, "a null id\nof two lines")], docs.schema))
+    again = line_rules.learn(more.repartition(5), both.unionByName(nulls).repartition(3))
+    assert all(np.array_equal(a, b) for a, b in zip(without, again, strict=True))
