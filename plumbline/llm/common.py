@@ -22,16 +22,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run``, after which freed memory goes back to the system: a worker that waits for its next task holds little."""
+    """``run``, then ``trim``: a worker that waits for its next task holds little."""
 
     @wraps(run)
     def tidied(batches: Batches) -> Batches:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
     return tidied
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import MULT, chunks, mix, tables
+from plumbline.llm.common import trim
 from plumbline.plans.lineage import materialize
 
 ORDER = 4
@@ -132,8 +133,9 @@ class Sparse:
 
     def __init__(self, key: np.ndarray, lang: np.ndarray, cost: np.ndarray) -> None:
         order = np.lexsort((lang, key))
-        key, self.lang, self.cost = key[order], lang[order].astype(np.int32), cost[order].astype(np.float32)
-        self.keys, first = np.unique(key, return_index=True)
+        few = np.uint16 if lang.max(initial=0) < 1 << 16 else np.int32
+        key, self.lang, self.cost = key[order], lang[order].astype(few), cost[order].astype(np.float32)
+        self.keys, first = np.unique(key.astype(np.uint32) if key.max(initial=0) < 1 << 32 else key, return_index=True)
         self.edge = np.append(first, len(key)).astype(np.int32 if len(key) < 1 << 31 else np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +143,9 @@ class Sparse:
         none = np.zeros(0, np.int64)
         if not len(self.keys):
             return none, none, none
-        row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        # A key too large for the narrow type is none of them.
+        narrow = keys.astype(self.keys.dtype)
+        row = np.minimum(np.searchsorted(self.keys, narrow), len(self.keys) - 1)
         at = np.flatnonzero(self.keys[row] == keys)
         first = self.edge[row[at]].astype(np.int64)
         size = self.edge[row[at] + 1] - first
@@ -219,7 +223,9 @@ def learn(docs: DataFrame, learnt_from: Column, key: Column, order: int = ORDER,
     drawn = (F.octet_length("text") > PIECE) | (point < F.col("share") * DRAWS)
     hashed = labelled.select("lang", "text", F.xxhash64(key, F.col("text")).alias("h"))
     sample = hashed.join(shares, "lang").where(drawn).select("lang", "text", "share", "h")
-    return Model(train(sample, order), order)
+    model = Model(train(sample, order), order)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
