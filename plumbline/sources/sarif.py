@@ -42,7 +42,8 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     """``kind, id, result`` with the nested SARIF result struct."""
-    rules = sarif_rules(findings)
+    # Rules and kinds are few, and one of them may have most findings: no finding is shuffled for them.
+    rules = F.broadcast(sarif_rules(findings))
     f = findings.withColumn("kind", F.coalesce("kind", F.lit("ar"))).join(rules, ["kind", "lens"])
     locations = F.transform(
         "evidence",
@@ -103,7 +104,7 @@ def sarif_logs(findings: DataFrame, tool: str = "plumbline", per_log: int = PER_
     """
     results = sarif_results(findings)
     sizes = results.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / per_log).alias("_logs"))
-    dealt = results.join(sizes, "kind").withColumn("_log", F.pmod(F.xxhash64("id"), F.col("_logs")))
+    dealt = results.join(F.broadcast(sizes), "kind").withColumn("_log", F.pmod(F.xxhash64("id"), F.col("_logs")))
     groups = dealt.groupBy("kind", "_log").agg(F.sort_array(F.collect_list(F.struct("id", F.to_json("result").alias("r")))).alias("rs"))
     rules = sarif_rules(findings).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("rule_index", "lens"))).alias("ls"))
     described = F.transform(
@@ -117,7 +118,7 @@ def sarif_logs(findings: DataFrame, tool: str = "plumbline", per_log: int = PER_
     text = F.concat(
         F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":'), driver, F.lit('},"results":['), body, F.lit("]}]}")
     )
-    return groups.join(rules, "kind").select("kind", text.alias("log"))
+    return groups.join(F.broadcast(rules), "kind").select("kind", text.alias("log"))
 
 
 def write_sarif(findings: DataFrame, path: str, tool: str = "plumbline", per_log: int = PER_LOG) -> None:
