@@ -271,7 +271,8 @@ def _linear_ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 64)
     seen = materialize(tips.select("tip", F.col("tip").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
     total = seen.count()
     for _ in range(max_rounds):
-        further = seen.join(strides, "node").select("tip", F.col("far").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
+        # Files look small enough to broadcast, but each round would bring all strides through the driver twice.
+        further = seen.join(strides.hint("merge"), "node").select("tip", F.col("far").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
         seen = materialize(seen.unionByName(further).groupBy("tip", "node").agg(F.min("depth").alias("depth")), "seen")
         now = seen.count()
         if now == total:
@@ -279,7 +280,7 @@ def _linear_ancestors(parents: DataFrame, tips: DataFrame, max_rounds: int = 64)
         total = now
         ahead = strides.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("steps").alias("_steps"))
         strides = materialize(
-            strides.join(ahead, "far").select("node", F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps")), "strides"
+            strides.join(ahead.hint("merge"), "far").select("node", F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps")), "strides"
         )
     raise NotConverged(f"linear history after {max_rounds} rounds")
 

@@ -139,3 +139,19 @@ def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     chain = spark.range(1, 10_001).selectExpr("id as node", "id - 1 as needs").union(spark.range(1, 2000).selectExpr("id + 20000 as node", "id * 5 as needs"))
     assert dag.topo_levels(chain).where("level = if(node > 20000, (node - 20000) * 5 + 1, node)").count() == 12_000
     assert len(written) < 60
+
+
+def test_linear_ancestors_send_nothing_through_the_driver(spark, monkeypatch):
+    plans = []
+    stored = dag.materialize
+
+    def noted(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(dag, "materialize", noted)
+    parents = spark.createDataFrame([(i, i + 1) for i in range(40)], "child long, parent long")
+    tips = spark.createDataFrame([(0,), (30,), (99,)], "tip long")
+    found = {(r.tip, r.node, r.depth) for r in dag.ancestors(parents, tips).collect()}
+    assert found == {(0, i, i) for i in range(41)} | {(30, i, i - 30) for i in range(30, 41)} | {(99, 99, 0)}
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
