@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import MULT, bounds, chunks, mix, shingles, signed, words
-from plumbline.llm.common import prefilter, tidy
+from plumbline.llm.common import prefilter, release, tidy
 from plumbline.operators.graph import connected_components
 from plumbline.plans.lineage import materialize
 
@@ -307,9 +307,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     weights = materialize(shared.groupBy("fp").agg(F.sum("held").alias("w")), "weights")
 
     def placed(component: DataFrame | None) -> DataFrame:
-        state = weights if component is None else weights.join(component, "fp", "left")
-        c = F.col("fp") if component is None else F.coalesce("component", "fp")
-        return shared.join(state.select("fp", "w", c.alias("c")), "fp")
+        if component is None:
+            return shared.join(weights.withColumn("c", F.col("fp")), "fp")
+        # Both have a row per set at most, so they are put side by side by grouping.
+        none = F.lit(None).cast("long")
+        both = weights.select("fp", "w", none.alias("c")).unionByName(component.select("fp", none.alias("w"), F.col("component").alias("c")))
+        state = both.groupBy("fp").agg(F.max("w").alias("w"), F.max("c").alias("c")).where("w is not null")
+        return shared.join(state.select("fp", "w", F.coalesce("c", "fp").alias("c")), "fp")
 
     # Each set is compared with one other under its signatures, in a few rounds with other ones in the middle.
     links, component = None, None
@@ -322,6 +326,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         found = verified(best.select(F.col("fp").alias("a"), F.col("b.lead").alias("b")), docs, key, text, width, folded)
         links = found if links is None else links.unionByName(found)
         component = materialize(connected_components(links).select(F.col("node").alias("fp"), "component"), "component")
+        release(docs.sparkSession)
 
     placed = placed(component).withColumn("low", F.min("c").over(by_sig)).withColumn("high", F.max("c").over(by_sig))
     mixed = materialize(placed.where("low < high").select("sig", "fp", "left", "n", "last", "c"), "mixed")
