@@ -172,6 +172,20 @@ def test_lint(spark, rows):
     assert {e[0] for e in by["x.md"]} == {"empty"}
 
 
+def test_lint_reads_a_text_once(spark, rows):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(n):
+        reads.add(1)
+        return f"---\nparent: {n + 3}\nparent: {n + 2}\n---\nTODO"
+
+    df = spark.range(4).select(F.col("id").cast("string").alias("path"), read("id").alias("text"))
+    got = predicates.doc_lint(df, universe=spark.range(4).select(F.col("id").cast("string").alias("path")))
+    assert [r for r in rows(got, "path", "code", "value") if r[1] == "lost"] == [("2", "lost", "4"), ("3", "lost", "5")]
+    assert reads.value == 4
+
+
 def test_commit_sections(spark, rows):
     data = [("feat!: new api", None), ("fix(core): bug", None), ("test: x", None), ("chore(release): v1.2.3", None), ("1.2.3", None), ("docs: y", "a\nBREAKING CHANGE: z"), ("no type", None)]
     df = spark.createDataFrame(data, "subject string, body string")
