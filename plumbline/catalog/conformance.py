@@ -128,10 +128,13 @@ reach AS (SELECT src, dst FROM links UNION SELECT r.src, e.dst FROM reach r JOIN
 
 def _supply_links(spark, d):
     """Suppliers of consecutive lines of an order that ship one after the other."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("sup/"), F.col("l_suppkey").cast("string")).alias("s"), F.col("l_shipdate").alias("t"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s"), F.col("l_shipdate").alias("t"))
     x = li.select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("s").alias("src"), F.col("t").alias("tx"))
     y = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("k"), F.col("s").alias("dst"), F.col("t").alias("ty"))
-    return x.join(y, ["l_orderkey", "k"]).where("ty >= tx").select("src", "dst").distinct()
+    links = x.join(y, ["l_orderkey", "k"]).where("ty >= tx").select("src", "dst").distinct()
+    # Named after the lines have met, so that keys and not texts are sorted and compared.
+    name = lambda end: F.concat(F.lit("sup/"), F.col(end).cast("string")).alias(end)
+    return links.select(name("src"), name("dst"))
 
 
 @query(

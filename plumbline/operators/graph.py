@@ -354,13 +354,30 @@ def _rooted(edges: DataFrame, max_rounds: int) -> DataFrame:
     )
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between numbers, and the stored table ``node, id`` of these; which node gets which number doesn't matter."""
+    pairs = materialize(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "named")
+    nodes = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    numbers = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "numbers")
+    end = lambda name: numbers.select(F.col("node").alias(name), F.col("id").alias(f"{name}_id"))
+    both = pairs.join(end("src"), "src").join(end("dst"), "dst")
+    return both.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), numbers
+
+
 def strongly_connected(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``node, scc`` (scc = largest member) for strongly connected sets of two or more nodes.
 
     Forward and backward colouring: nodes are coloured with the largest node
     reaching them; those that reach it back form its set. Finished sets leave
-    the graph and the rest is trimmed and coloured again.
+    the graph and the rest is trimmed and coloured again. Named nodes go through
+    it as numbers, as the largest of many texts is found by sorting them.
     """
+    if edges.schema["src"].dataType.typeName() == "string":
+        links, numbers = _numbered(edges)
+        sets = strongly_connected(links, max_rounds).join(numbers.withColumnRenamed("node", "name"), F.col("node") == F.col("id"))
+        sets = materialize(sets.select("scc", "name"), "sets")
+        largest = sets.groupBy("scc").agg(F.max("name").alias("largest"))
+        return sets.join(largest, "scc").select(F.col("name").alias("node"), F.col("largest").alias("scc"))
     rest = trim_acyclic(edges, max_rounds)
     done: Accumulator | None = None
     for _ in range(max_rounds):

@@ -149,3 +149,13 @@ def test_lookup_near_path(spark, rows):
         "lib/gen/v.ts": ("lib/gen/v.ts", "exact"), "app/v.ts": ("app/gen/v.ts", "name+folder"), "q/v.ts": ("xlib/q/v.ts", "suffix"),
         "zz/u.ts": ("one/u.ts", "name"), "w.ts": ("a/w.ts", "first"), "lib/q/v.ts": ("xlib/q/v.ts", "name+folder"), "en/v.ts": ("app/gen/v.ts", "first"), "no.ts": (None, None),
     }
+
+
+def test_named_nodes_are_compared_as_numbers(spark, rows, monkeypatch):
+    kinds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name, keep=graph.materialize: (kinds.append((name, df.schema)), keep(df, name))[1])
+    pairs = [("b", "a"), ("a", "b"), ("b", "c10"), ("c10", "c9"), ("c9", "c10"), ("d", "d"), ("c9", "e"), (None, "a"), ("c9", None), ("b", "a")]
+    got = graph.strongly_connected(spark.createDataFrame(pairs, "src string, dst string"))
+    assert rows(got, "node", "scc") == [("a", "b"), ("b", "b"), ("c10", "c9"), ("c9", "c9")]
+    colors = [s["color"].dataType.typeName() for name, s in kinds if name == "color"]
+    assert colors and set(colors) == {"long"}
