@@ -54,7 +54,8 @@ def stream_intake(findings: DataFrame, table: str, rejected: str, checkpoint: st
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = materialize(batch.withColumn("_bucket", id_bucket(F.col("id"))), "intake")
+        # A micro-batch can be read again from its source, so its records needn't be stored before they are ranked.
+        rows = batch.withColumn("_bucket", id_bucket(F.col("id")))
         buckets = [r[0] for r in rows.select("_bucket").distinct().collect() if r[0] is not None]
         known = stored_ids(spark, ids, batch_id, buckets)
         names = [c for c in rows.columns if c not in ("_bucket", "unknown_keys")]
@@ -67,16 +68,16 @@ def stream_intake(findings: DataFrame, table: str, rejected: str, checkpoint: st
         if known is not None:
             ranked = ranked.join(known.withColumn("_known", F.lit(True)), "id", "left")
             duplicate = duplicate | F.coalesce("_known", F.lit(False))
-        checked = materialize(ranked.withColumn("errors", record_errors(duplicate, unknown=unknown)), "checked")
+        checked = materialize(ranked.withColumn("errors", record_errors(duplicate, unknown=unknown)), "checked", compression="zstd")
         quoted = F.flatten(F.transform("evidence", lambda e: e["quoted"]))
         good = checked.where(F.size("errors") == 0)
         stored = good.select(*names).withColumn("fp", fingerprint(F.col("lens"), quoted, F.col("symbol")))
         number = F.lit(batch_id).cast("bigint")
         place = lambda root: f"{root}/batch_id={batch_id}"
         good.select("id", F.col("_bucket").alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(place(ids))
-        stored.write.mode("overwrite").parquet(place(table))
+        stored.write.mode("overwrite").parquet(place(table), compression="zstd")
         bad = checked.where(F.size("errors") > 0).select(*names, "errors")
-        bad.withColumn("rejected_in", number).write.mode("overwrite").parquet(place(rejected))
+        bad.withColumn("rejected_in", number).write.mode("overwrite").parquet(place(rejected), compression="zstd")
 
     ids = f"{table.rstrip('/')}-ids"
     return (

@@ -142,3 +142,13 @@ def test_stream_intake_rejects_repetitions_and_can_be_replayed(spark, rows, tmp_
     frame(spark, {"title": "again"}, {"id": "N"}).write.mode("append").parquet(src)
     run(state)
     assert tables() == ([("D0",), ("D1",), ("N",)], [("D0", ["taken"]), ("D0", ["taken"]), ("D2", ["empty"])])
+
+
+def test_stream_intake_stores_a_batch_once_before_it_is_split(spark, rows, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(intake, "materialize", lambda df, name, keep=intake.materialize, **how: (stored.append(name), keep(df, name, **how))[1])
+    src, table, refused, state = (str(tmp_path / n) for n in ("in", "table", "refused", "state"))
+    frame(spark, {"id": "x"}, {"id": "x"}).write.parquet(src)
+    intake.stream_intake(spark.readStream.schema(FINDING_SCHEMA).parquet(src), table, refused, state).awaitTermination()
+    sides = [rows(spark.read.parquet(side), "id") for side in (table, refused)]
+    assert sides == [[("x",)], [("x",)]] and stored == ["checked"]
