@@ -9,6 +9,7 @@ round per change of path, whatever the length of the history; generation numbers
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from plumbline.plans.lineage import Accumulator, materialize
 # Levels computed, and pointers doubled, per stored round.
 LEVELS_PER_ROUND = 8
 DOUBLINGS_PER_ROUND = 3
-# A round contracts chains if that takes at least one in this many of the nodes left.
+# A round contracts chains if that takes at least one in this many of the nodes left. A loop goes on with the rows that
+# still change, and puts the others aside, once they are fewer than one in this many.
 WORTH = 4
 # Places of a path that are joined together.
 STRETCH = 256
@@ -35,25 +37,33 @@ def _followed(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     ``open`` marks the nodes that lie on a ring or above one. ``links`` is a stored table.
     """
     state, hops, total = links.select("node", "top", "w", "c"), 1, None
+    ends = links.select(F.col("node").alias("top"), F.lit(True).alias("open"))
+    ended: list[DataFrame] = []
+    few = False
     for _ in range(max_rounds):
-        for _ in range(DOUBLINGS_PER_ROUND):
-            ahead = state.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("w").alias("_w"), F.col("c").alias("_c"))
-            state = state.join(ahead, "top", "left").select(
+        # Few rows that still move meet the others without moving them: the smaller side of an inner join can be broadcast.
+        for _ in range(1 if few else DOUBLINGS_PER_ROUND):
+            known = reduce(DataFrame.unionByName, ended, state) if few else state
+            ahead = known.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("w").alias("_w"), F.col("c").alias("_c"))
+            state = state.join(ahead, "top", "inner" if few else "left").select(
                 "node",
                 F.coalesce("_top", "top").alias("top"),
                 (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
                 F.greatest("c", F.col("_c") + F.col("w")).alias("c"),
             )
             hops *= 2
-        ends = links.select(F.col("node").alias("top"), F.lit(True).alias("open"))
         marked = state.join(ends, "top", "left").select("node", "top", "w", "c", F.coalesce("open", F.lit(False)).alias("open"))
         marked = materialize(marked, "followed")
-        if marked.where("open").isEmpty():
-            return marked
-        total = links.count() if total is None else total
-        if hops >= total:
-            return marked
-        state = marked.drop("open")
+        moving = marked.where("open").count()
+        total = links.count() if total is None and moving else total
+        if not moving or hops >= total:
+            return reduce(DataFrame.unionByName, [d.withColumn("open", F.lit(False)) for d in ended], marked)
+        if few or moving * WORTH < total:
+            few = True
+            ended.append(marked.where("not open").drop("open"))
+            state = marked.where("open").drop("open")
+        else:
+            state = marked.drop("open")
     raise NotConverged(f"links after {max_rounds} rounds")
 
 
@@ -209,17 +219,24 @@ def reach(graph: Labels, tips: DataFrame, max_rounds: int = 100_000) -> DataFram
     start = tips.distinct().join(graph.places.withColumnRenamed("node", "tip"), "tip").select("tip", "floor", "path", "at")
     seen = Accumulator(start.select("tip", "path", "at"), "reach")
     frontier = materialize(start.withColumn("below", F.lit(-1).cast("long")), "frontier")
+    # What is seen of the tips that still go on; those that have ended leave it as the frontier shrinks.
+    going, size = seen, None
     for _ in range(max_rounds):
-        if frontier.isEmpty():
+        left = frontier.count()
+        if not left:
             return materialize(seen.all().groupBy("tip", "path").agg(F.max("at").alias("at")), "reach")
+        size = left if size is None else size
+        if left * WORTH <= size:
+            going, size = Accumulator(going.all().join(frontier.select("tip").distinct(), "tip", "left_semi"), "going"), left
         out = exits.select("path", "stretch", F.col("at").alias("leaves"), "path_to", "at_to", "gen_to")
         step = _in_stretches(frontier, "below", "at").join(out, ["path", "stretch"])
         step = step.where("leaves > below and leaves <= at and (floor is null or gen_to is null or gen_to >= floor)")
         step = step.groupBy("tip", "floor", F.col("path_to").alias("path")).agg(F.max("at_to").alias("at"))
-        held = seen.all().groupBy("tip", "path").agg(F.max("at").alias("below"))
+        held = going.all().groupBy("tip", "path").agg(F.max("at").alias("below"))
         new = step.join(held, ["tip", "path"], "left").where("below is null or at > below")
         frontier = materialize(new.select("tip", "floor", "path", "at", F.coalesce("below", F.lit(-1).cast("long")).alias("below")), "frontier")
-        seen.add(frontier.select("tip", "path", "at"))
+        for rows in {id(seen): seen, id(going): going}.values():
+            rows.add(frontier.select("tip", "path", "at"))
     raise NotConverged(f"reachability after {max_rounds} rounds")
 
 
@@ -294,12 +311,21 @@ def _spans(graph: Labels, tips: DataFrame, max_rounds: int = 100_000) -> DataFra
     start = tips.select("tip").distinct().join(graph.places.withColumnRenamed("node", "tip"), "tip")
     state = materialize(start.select("tip", "path", "at", F.lit(0).cast("long").alias("d")), "entries")
     frontier = state
+    ended = Accumulator(state.where("false"), "ended")
+    size = None
     downward = Window.partitionBy("tip", "path").orderBy(F.desc("at"))
     above = downward.rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(max_rounds):
-        if frontier.isEmpty():
+        left = frontier.count()
+        if not left:
             lower = F.coalesce(F.lead("at").over(downward), F.lit(-1).cast("long"))
-            return state.withColumn("below", lower)
+            return state.unionByName(ended.all()).withColumn("below", lower)
+        size = left if size is None else size
+        if left * WORTH <= size:
+            # Tips that have ended are put aside as the frontier shrinks.
+            tips_left, size = frontier.select("tip").distinct(), left
+            ended.add(state.join(tips_left, "tip", "left_anti"))
+            state = materialize(state.join(tips_left, "tip", "left_semi").select(*state.columns), "entries")
         out = exits.select("path", "stretch", F.col("at").alias("leaves"), "path_to", "at_to")
         step = _in_stretches(frontier.withColumn("below", F.lit(-1)), "below", "at").join(out, ["path", "stretch"]).where("leaves <= at")
         step = step.select("tip", F.col("path_to").alias("path"), F.col("at_to").alias("at"), F.expr("d + at - leaves + 1").alias("d"))

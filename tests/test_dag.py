@@ -155,3 +155,39 @@ def test_linear_ancestors_send_nothing_through_the_driver(spark, monkeypatch):
     found = {(r.tip, r.node, r.depth) for r in dag.ancestors(parents, tips).collect()}
     assert found == {(0, i, i) for i in range(41)} | {(30, i, i - 30) for i in range(30, 41)} | {(99, 99, 0)}
     assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_tips_that_have_ended_leave_the_rounds(spark, rows, monkeypatch):
+    # One tip changes its path eight times, forty others do so once.
+    places = [(i, i, 0, 10 - i) for i in range(9)] + [(1000 + i, 100, i, 1 + i) for i in range(40)] + [(2000, 101, 0, 0)]
+    exits = [(i, 0, i + 1, 0, 9 - i) for i in range(8)] + [(100, 0, 101, 0, 0)]
+    graph = dag.Labels(
+        spark.createDataFrame(places, "node int, path int, at long, gen int"),
+        spark.createDataFrame(exits, "path int, at long, path_to int, at_to long, gen_to int"),
+    )
+    kept = {}
+
+    class Noted(dag.Accumulator):
+        def add(self, rows):
+            kept.setdefault(self._name, []).append(rows.select("tip").distinct().count())
+            return super().add(rows)
+
+    monkeypatch.setattr(dag, "Accumulator", Noted)
+    tips = spark.createDataFrame([(0,), *[(1000 + i,) for i in range(40)]], "tip int")
+    found = dag.reach(graph, tips.withColumn("floor", F.lit(None).cast("int")))
+    others = [x for i in range(40) for x in ((1000 + i, 100, i), (1000 + i, 101, 0))]
+    assert rows(found) == sorted([(0, i, 0) for i in range(9)] + others, key=repr)
+    assert kept["going"][0] == 1
+    down = {(r.tip, r.node): r.depth for r in dag.ancestors(None, tips, graph=graph).collect()}
+    ways = {(1000 + i, 1000 + j): i - j for i in range(40) for j in range(i + 1)} | {(1000 + i, 2000): i + 1 for i in range(40)}
+    assert down == {(0, i): i for i in range(9)} | ways
+    assert 40 in kept["ended"]
+
+
+def test_few_links_that_still_move_meet_the_ended_ones(spark, rows):
+    # Many chains of two, one of a hundred, and a ring with a tail.
+    ends = [(1000 + i, 5000) for i in range(600)] + [(i, i + 1) for i in range(100)] + [(700, 701), (701, 702), (702, 700), (703, 700)]
+    links = spark.createDataFrame([(a, b, 1, 0) for a, b in ends], "node int, top int, w int, c int")
+    got = rows(dag._followed(dag.materialize(links, "links")), "node", "top", "w", "open")
+    assert [r for r in got if not r[3]] == sorted([(1000 + i, 5000, 1, False) for i in range(600)] + [(i, 100, 100 - i, False) for i in range(100)], key=repr)
+    assert sorted(r[0] for r in got if r[3]) == [700, 701, 702, 703]
