@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import MULT, SEGMENT, chunks, mix, powers, tables, words
+from plumbline.llm.arrays import MULT, chunks, mix, places, span_hashes, tables, words
 from plumbline.plans.lineage import materialize
 
 DOCUMENTS = 30
@@ -30,6 +30,10 @@ PAGE = 32768
 # Term occurrences that a task counts together, and bytes of a long text looked at together.
 MOST = 1 << 20
 PART = 1 << 22
+# Spans of up to so many bytes are hashed a byte at a time, all at once.
+SHORT = 16
+# Low bits of a number that say which of the texts counted together; the rest holds the low bits of a hash.
+ROW_BITS = 22
 # Terms and sources of one comparison.
 CHUNK, BLOCK = 1024, 32
 
@@ -45,19 +49,16 @@ def separators() -> np.ndarray:
 def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span, A-Z as a-z; spans are in order and don't overlap."""
     value = tables()[3]
+    longest = int((end - begin).max()) if len(begin) else 0
+    if longest > SHORT:
+        return span_hashes(data, begin, end, value)
     out = np.zeros(len(begin), np.uint64)
-    odd = MULT | 1
-    inverse = pow(odd, -1, 1 << 64)
-    w = 0
     with np.errstate(over="ignore"):
-        while w < len(begin):
-            v = max(w + 1, int(np.searchsorted(end, begin[w] + SEGMENT, side="right")))
-            a, b = begin[w], end[v - 1]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(value[data[a:b]] * powers(b - a, odd), out=total[1:])
-            out[w:v] = mix((total[end[w:v] - a] - total[begin[w:v] - a]) * powers(b - a, inverse)[begin[w:v] - a])
-            w = v
-    return out
+        for j in range(longest):
+            at = begin + j
+            inside = at < end
+            out += value[data[np.minimum(at, end - 1)]] * inside * np.uint64(pow(MULT | 1, j, 1 << 64))
+    return mix(out)
 
 
 def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,6 +76,28 @@ def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, data[a:], np.maximum(offsets, a) - a
 
 
+def numbered(row: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on for the different values of ``row``, which is in order."""
+    return np.cumsum(np.r_[False, row[1:] != row[:-1]]) if len(row) else row
+
+
+def holders(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low bits of each hash, without ``ROW_BITS``, and how many rows hold it; rows are in order.
+
+    One sort of plain numbers puts a hash's rows side by side. More rows than the bits can tell come in pieces.
+    """
+    row = numbered(row)
+    hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, int(row[-1]) + 1 if len(row) else 0, 1 << ROW_BITS):
+        own = slice(*np.searchsorted(row, [a, a + (1 << ROW_BITS)]))
+        pair = np.sort((h[own] << np.uint64(ROW_BITS)) | (row[own] - a).astype(np.uint64))
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]]] >> np.uint64(ROW_BITS)
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        hashes.append(pair[starts].view(np.int64))
+        counts.append(np.diff(np.r_[starts, len(pair)]))
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def salted(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(h ^ (lang * np.uint64(MULT)))
@@ -103,7 +126,8 @@ def bitmaps(found: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
 def level(texts: DataFrame, documents: int, before: int, length: int, kept: np.ndarray | None) -> DataFrame:
     """Hashes of prefixes of ``length`` bytes, and of whole terms up to it, that ``documents`` texts of a language hold.
 
-    Only terms longer than ``before`` count whose prefix of that length is ``kept``. The hash's last bit is 1 for whole terms.
+    Only terms longer than ``before`` count whose prefix of that length is ``kept``. The hash's last bit is 1 for whole terms;
+    its first ``ROW_BITS`` are left out.
     """
     shared = texts.sparkSession.sparkContext.broadcast(kept)
 
@@ -115,21 +139,12 @@ def level(texts: DataFrame, documents: int, before: int, length: int, kept: np.n
 
         def counted() -> pa.RecordBatch:
             row, h = (np.concatenate([x[i] for x in held] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            h = h.astype(np.uint64)
-            order = np.argsort(h, kind="stable")
-            row, h = row[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            starts = np.flatnonzero(new)
-            # Rows of one hash stand in order, so a text that holds it again follows itself.
-            new[1:] |= row[1:] != row[:-1]
-            n = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(n)], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in holders(row, h.astype(np.uint64))], names=["h", "n"])
 
         for batch in batches:
             lang = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, data, offsets in parts(batch.column(1)):
-                _, row, begin, end = words(data, offsets, separator=blank)
+                row, begin, end = places(data, offsets, blank)
                 row = row + lo
                 if bits is not None:
                     pick = np.flatnonzero(end - begin > before)
@@ -182,19 +197,25 @@ def occurrences(texts: DataFrame, whole: np.ndarray, documents: int) -> DataFram
             terms = pa.chunked_array([x[2] for x in held], pa.large_string()).combine_chunks()
             terms = (terms if isinstance(terms, pa.Array) else pa.array([], pa.large_string())).dictionary_encode()
             row, group = (np.concatenate([x[i] for x in held] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            key = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(names)) + group
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
+            # Texts are numbered group by group, so one sort puts a term's groups, and in them its texts, side by side.
+            row = numbered(row)
+            of = group[np.flatnonzero(np.r_[True, row[1:] != row[:-1]])] if len(row) else group
+            order = np.argsort(of, kind="stable")
+            rank = np.empty(len(of), np.int64)
+            rank[order] = np.arange(len(of))
+            width = len(of).bit_length()
+            pair = np.sort(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) << width | rank[row])
+            term, own = pair >> width, of[order][pair & ((1 << width) - 1)]
+            new = np.ones(len(pair), bool)
+            new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
             starts = np.flatnonzero(new)
-            new[1:] |= row[1:] != row[:-1]
-            own = key[starts] % max(1, len(names))
+            new[1:] = pair[1:] != pair[:-1]
             docs = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+            own = pa.array(own[starts])
             columns = [
-                pa.array([names[g][0] for g in own], pa.string()), pa.array([names[g][1] for g in own], pa.string()),
-                terms.dictionary.take(pa.array(key[starts] // max(1, len(names)))).cast(pa.string()),
-                pa.array(np.diff(np.r_[starts, len(key)]).astype(np.int64)), pa.array(docs),
+                pa.array([n[0] for n in names], pa.string()).take(own), pa.array([n[1] for n in names], pa.string()).take(own),
+                terms.dictionary.take(pa.array(term[starts])).cast(pa.string()),
+                pa.array(np.diff(np.r_[starts, len(pair)]).astype(np.int64)), pa.array(docs),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 

@@ -99,3 +99,24 @@ def test_levels_drop_rare_prefixes(spark):
     assert divergence.level(texts, 4, 4, 8, kept).count() == 0
     assert divergence.level(texts, 2, 4, 8, kept).count() == 2
     assert divergence.level(texts, 1, 4, 8, np.zeros_like(kept)).count() == 0
+
+
+def test_rows_that_hold_a_hash(monkeypatch):
+    row = np.array([3, 3, 3, 5, 5, 9, 9, 12, 40, 41])
+    h = np.array([7, 7, 8, 7, 9, 7, 8, 8, 7, 7], np.uint64) | np.uint64(1 << 60)
+    for bits in (22, 2, 1):
+        monkeypatch.setattr(divergence, "ROW_BITS", bits)
+        found = Counter()
+        for x, n in zip(*divergence.holders(row, h), strict=True):
+            found[int(x) & 15] += int(n)
+        assert found == {7: 5, 8: 3, 9: 1}
+    assert [len(x) for x in divergence.holders(row[:0], h[:0])] == [0, 0]
+
+
+def test_short_and_long_spans_have_one_hash():
+    data = np.frombuffer(b"Abc abc abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQ", np.uint8)
+    _, begin, end = divergence.places(data, np.array([0, len(data)]))
+    alone = [int(divergence.spans(data, begin[i : i + 1], end[i : i + 1])[0]) for i in range(len(begin))]
+    assert divergence.spans(data, begin, end).tolist() == alone == divergence.words(data, np.array([0, len(data)]))[0].tolist()
+    cut = np.minimum(end, begin + 3)
+    assert len(set(divergence.spans(data, begin, cut).tolist())) == 1
