@@ -314,20 +314,29 @@ def usage_by_text(
 ) -> DataFrame:
     """Substring variant of ``usage``: adds ``inbound``, the number of other documents that contain the stem anywhere.
 
-    A stem holds no white space, so it lies inside a run of other characters.
-    Each distinct run is cut at every position into seeds of at most ``seed``
-    characters; stems meet runs on their first characters and are then compared
-    as a whole, so the number of stems is free.
+    A stem holds no white space and lies inside a run of characters that occur in stems, so texts are cut at all others
+    (non-ASCII ones count as one). Each distinct run long enough for a stem is cut at every position into seeds of at
+    most ``seed`` characters, of the lengths that the stems' have; stems meet runs on their first characters and are
+    then compared as a whole, so the number of stems is free.
     """
-    stems = candidates.where(F.length(stem) > 0).select(F.col(stem).alias("_stem")).distinct()
+    stems = materialize(candidates.where(F.length(stem) > 0).select(F.col(stem).alias("_stem")).distinct(), "stems")
+    size = F.least(F.length("_stem"), F.lit(seed))
     keyed = stems.withColumn("_seed", F.substring("_stem", 1, seed))
-    words = docs.select(F.col(doc).alias("_hit"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_run"))
-    runs = words.select("_run").where(F.length("_run") > 0).distinct()
-    places = runs.select("_run", F.posexplode(F.split("_run", "")).alias("_at", "_c"))
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(seed)))
-    cuts = places.select("_run", "_at", sizes.alias("_n")).select("_run", "_at", F.expr("substring(_run, _at + 1, _n)").alias("_seed"))
-    found = cuts.join(keyed, "_seed").where(F.expr("substring(_run, _at + 1, length(_stem)) = _stem")).select("_run", "_stem").distinct()
-    hits = words.join(found, "_run").select("_hit", "_stem").distinct()
+    # At most 128 characters and ``seed`` lengths.
+    held = stems.select(F.explode(F.array_distinct(F.transform(F.split("_stem", ""), lambda c: F.least(F.ascii(c), F.lit(128))))).alias("c")).distinct()
+    codes = sorted(r["c"] for r in held.collect())
+    lengths = sorted(r["n"] for r in stems.select(size.alias("n")).distinct().collect()) or [seed]
+    inside = "".join(rf"\x{{{c:x}}}" if c < 128 else r"\x{80}-\x{10FFFF}" for c in codes if c > 127 or not chr(c) in " \t\n\v\f\r")
+    apart = rf"[^{inside}]+" if inside else r"[\s\S]+"
+    cut = F.filter(F.array_distinct(F.split(text, apart)), lambda r: F.length(r) >= lengths[0])
+    words = docs.select(F.col(doc).alias("_hit"), F.explode(cut).alias("_run"))
+    runs = words.select("_run").distinct()
+    sizes = F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("_run")))
+    places = runs.select("_run", sizes.alias("_n")).select("_run", "_n", F.explode(F.expr("sequence(1, length(_run) - _n + 1)")).alias("_at"))
+    cuts = places.select("_run", "_at", F.expr("substring(_run, _at, _n)").alias("_seed"))
+    found = cuts.join(keyed, "_seed").where(F.expr("substring(_run, _at, length(_stem)) = _stem")).select("_run", "_stem").distinct()
+    # Stored, as it is counted and looked up.
+    hits = materialize(words.join(found, "_run").select("_hit", "_stem").distinct(), "hits")
     per_stem = hits.groupBy("_stem").agg(F.count(F.lit(1)).alias("_docs"))
     own = hits.select(F.col("_hit").alias(doc), F.col("_stem").alias(stem), F.lit(1).alias("_self"))
     joined = candidates.join(per_stem.withColumnRenamed("_stem", stem), stem, "left").join(own, [doc, stem], "left")

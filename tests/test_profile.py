@@ -128,6 +128,19 @@ def test_usage_unknown_inbound(spark, rows):
     assert rows(got, "doc_id", "inbound") == [("a", 1), ("b", 2), ("c", None), ("d", None)]
 
 
+def test_usage_by_text_cuts_at_what_no_stem_holds(spark, rows):
+    texts = ["<p>alpha-beta</p> é\u00e4x [a]^\\b", "alphabeta al 12alpha3", "a-b éä \U0001f600z", "", None, "ALPHA al\tpha x^\\by", "al-pha pha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for stems in (["alpha", "beta", None, "pha"], ["a-b", "éä", "^\\b", "]", "\U0001f600z", "al pha", "", "a"], ["p>", "12"], [None], [""]):
+        wanted = spark.createDataFrame([(i % 7, s) for i, s in enumerate(stems)], "doc_id long, stem string")
+        got = profile.usage_by_text(docs, wanted)
+        # Where a stem is found is stored once; the texts aren't cut again for each of its uses.
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        held = lambda s, t: bool(s and t) and " " not in s and s in t
+        expected = [(i % 7, s, None if s is None else sum(held(s, t) for d, t in enumerate(texts) if d != i % 7)) for i, s in enumerate(stems)]
+        assert rows(got) == sorted(expected, key=repr), stems
+
+
 def test_shape_conflicts(spark, rows):
     df = spark.createDataFrame(
         [("A", ["x", "y", "z"]), ("A", ["x", "y"]), ("A", ["x", "y", "w"]), ("B", ["z", "y", "x"]), ("C", ["p", "q", "r"])],
