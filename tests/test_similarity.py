@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -110,6 +112,25 @@ def test_duplicates(spark, rows):
     assert {(r["a"], r["b"]) for r in report} >= {("blockA", "blockB"), ("cloneA", "cloneB")}
 
 
+def test_sketch_against_plain_python(spark):
+    marks = ["a", "z9", "A", "Z", "_x", "$y", "1.5", "9", "'q'", '"q"', "`q`", "if", "null", "@", "[", "{", "^", "~", "=>", "// no", "/* no */", "{", "%", "#", "é"]
+    rng = random.Random(3)
+    text = "\n".join(f"{rng.choice(marks)} {rng.choice(marks)} ;" for _ in range(300))
+    docs = spark.createDataFrame([(1, text), (2, "a ; " * 59), (3, None), (4, "a ; " * 60)], "doc_id int, text string")
+    tokens = []
+    for t in re.findall(tx.TOKEN_RE, text):
+        if not t.startswith(("//", "/*")):
+            tokens.append("S" if t[0] in "`'\"" else "N" if t[0].isdigit() else "I" if re.match(r"[A-Za-z_$]", t) and t not in tx.KEYWORDS else t)
+    shingles = {" ".join(tokens[i : i + 9]) for i in range(len(tokens) - 8)}
+    expected = sorted(int(hashlib.md5(s.encode()).hexdigest()[:15], 16) for s in shingles)
+    sketch = sim.minhash_sketch(docs, algorithm="md5")
+    found = {r["doc"]: r["hashes"] for r in sketch.collect()}
+    assert found.keys() == {1, 4} and found[1] == expected[:128] and len(expected) > 128
+    # A token's kind needs no pattern, and only the hashes that stay are made numbers.
+    plan = sketch._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("conv(") == 1
+
+
 def test_every_pair_that_shares_enough_is_scored(spark, rows):
     shared = "\n".join(line(i) for i in range(8))
     docs = spark.createDataFrame([(i, shared + f"\n{line(100 + i)}") for i in range(4)], "doc_id int, text string")
