@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from plumbline.catalog import changelog as catalog
 from plumbline.operators import changelog, graph
+from plumbline.plans import layout
 from plumbline.plans.skew import salted_join
 
 
@@ -95,3 +97,16 @@ def test_salted_join_equals_plain_join(spark, rows):
         got = salted_join(left, right, ["k"], how, buckets=8, min_rows=100)
         want = left.join(right, ["k"], how)
         assert rows(got.select(*want.columns)) == rows(want), how
+
+
+def test_recent_changes_come_in_pieces_of_bounded_size(spark, tmp_path, monkeypatch):
+    day = dt.date(2020, 1, 1)
+    orders = [(i, day + dt.timedelta(days=i * 10)) for i in range(150)]
+    lines = [(i, i * 7 % 11 + k) for i in range(150) for k in range(3)] + [(None, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(layout, "PIECE_ROWS", 25)
+    found = catalog.recent_changes(spark, str(tmp_path))
+    assert sorted((r.basket_id, r.item) for r in found.collect()) == sorted(x for x in lines if x[0] is not None and x[0] >= 59)
+    assert found.rdd.getNumPartitions() == layout.pieces(len(lines)) == 19
+    assert layout.pieces(10**9) == layout.MOST_PIECES
